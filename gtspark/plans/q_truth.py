@@ -62,3 +62,80 @@ def truth_sql(select: str) -> str:
 def storm_truth(spark, sf_dir):
     """The ground-truth table."""
     return truth_df(spark, sf_dir)
+
+
+# ---------------------------------------------------------------------------
+# Catalogue
+# ---------------------------------------------------------------------------
+
+from gtspark.operators import catalogue  # noqa: E402
+from gtspark.plans.views import v_storms  # noqa: E402
+
+_NOTABLE_SQL = ", ".join(f"'{n}'" for n in C.NOTABLE_NAMES)
+_REGION_SQL = """region AS (
+  SELECT * FROM v_storms WHERE storm_id IN (
+    SELECT storm_id FROM v_points WHERE lat BETWEEN 31.0 AND 37.8 AND lon BETWEEN -82.5 AND -73.0))"""
+
+
+def _pts_sql(body: str) -> str:
+    return with_views(body, "v_points", "v_storms")
+
+
+@register("track_category", _pts_sql(f"""
+SELECT storm_id, line_no, obs_time, max_wind_kt, {cat_sql('max_wind_kt')} AS saffir_simpson FROM v_points"""))
+def track_category(spark, sf_dir):
+    """P1 silver step: category per fix."""
+    return (medallion.with_category(v_points(spark, sf_dir))
+            .select("storm_id", "line_no", "obs_time", "max_wind_kt", "saffir_simpson"))
+
+
+@register("region_storms", _pts_sql(f""", {_REGION_SQL}
+SELECT storm_id, name, year FROM region"""))
+def region_storms(spark, sf_dir):
+    """F2 + P10: storms touching the Carolina box."""
+    return catalogue.region_storms(v_storms(spark, sf_dir), v_points(spark, sf_dir))
+
+
+@register("storm_cards", _pts_sql(f""", {_REGION_SQL},
+track AS (SELECT *, {cat_sql('max_wind_kt')} AS cat FROM v_points WHERE max_wind_kt IS NOT NULL),
+lf AS (SELECT storm_id, cat, ROW_NUMBER() OVER (PARTITION BY storm_id ORDER BY obs_time, line_no) AS rn
+       FROM track WHERE record_id = 'L' AND round(lat, 1) BETWEEN 33.5 AND 36.8
+                                        AND round(lon, 1) BETWEEN -78.7 AND -75.3),
+agg AS (SELECT storm_id, MAX(max_wind_kt) AS peak_wind, MIN(min_pressure_mb) AS min_pres,
+               MAX(cat) AS peak_cat, COUNT(*) AS n_track FROM track GROUP BY storm_id)
+SELECT r.storm_id AS id, upper(substr(r.name, 1, 1)) || lower(substr(r.name, 2)) AS name, r.year,
+       a.peak_wind, a.min_pres, a.peak_cat, lf.cat AS landfall_cat, a.n_track
+FROM region r JOIN agg a ON a.storm_id = r.storm_id
+LEFT JOIN lf ON lf.storm_id = r.storm_id AND lf.rn = 1"""))
+def storm_cards(spark, sf_dir):
+    """A14 + P17: cards of the region's storms."""
+    pts = v_points(spark, sf_dir)
+    region = catalogue.region_storms(v_storms(spark, sf_dir), pts)
+    return catalogue.storm_cards(region, pts)
+
+
+@register("notable_quota", _pts_sql(f""", {_REGION_SQL},
+flagged AS (SELECT *, upper(name) IN ({_NOTABLE_SQL}) AS notable FROM region)
+SELECT storm_id, name, year FROM flagged WHERE notable
+UNION ALL
+SELECT storm_id, name, year FROM (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY year DESC, storm_id) AS rn FROM flagged
+  WHERE notable IS NOT TRUE)
+WHERE rn <= greatest(0, {C.CATALOGUE_MAX} - (SELECT COUNT(*) FROM flagged WHERE notable))"""))
+def notable_quota(spark, sf_dir):
+    """O1 + O2: notable-first catalogue selection (cap 90)."""
+    pts = v_points(spark, sf_dir)
+    return catalogue.notable_quota(catalogue.region_storms(v_storms(spark, sf_dir), pts))
+
+
+@register("track_fields", _pts_sql(f"""
+SELECT storm_id, seq, round(lat, 1) AS lat, round(lon, 1) AS lon, max_wind_kt AS wind,
+       min_pressure_mb AS pres, cat, strftime(obs_time, '%Y-%m-%d %HZ') AS time,
+       coalesce(record_id = 'L', FALSE) AS landfall,
+       CASE WHEN cat = 0 THEN 'TS' ELSE 'C' || CAST(cat AS VARCHAR) END AS label, seq * 6 AS hours
+FROM (SELECT *, {cat_sql('max_wind_kt')} AS cat,
+             ROW_NUMBER() OVER (PARTITION BY storm_id ORDER BY obs_time, line_no) - 1 AS seq
+      FROM v_points WHERE max_wind_kt IS NOT NULL)"""))
+def track_fields(spark, sf_dir):
+    """Flattened card tracks."""
+    return catalogue.track_rows(v_points(spark, sf_dir))
