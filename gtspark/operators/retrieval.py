@@ -217,7 +217,7 @@ def rerank(hits: DataFrame, queries: DataFrame, items: DataFrame, strategy: str
     ``items`` (item_id, text).  'none' keeps the order.
     """
     h = (hits.join(queries.select("query_id", "query"), "query_id")
-         .join(items.select("item_id", "text"), "item_id"))
+         .join(items, "item_id"))
     if strategy == "none":
         return h
     if strategy != "lexical":
