@@ -58,21 +58,22 @@ def chunk_docs(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK
 # ---------------------------------------------------------------------------
 
 def embed(df: DataFrame, id_col: str = "id", text_col: str = "text",
-          dim: int = C.EMBEDDING_DIM) -> DataFrame:
-    """Hashed uni+bigram counts per text, L2-normalised: (id, bucket, w).
+          dim: int = C.EMBEDDING_DIM, keep: tuple = ()) -> DataFrame:
+    """Hashed uni+bigram counts per text, L2-normalised: (id, *keep, bucket, w).
 
     Texts are hash-partitioned by id once; exploding grams, the per-bucket
     count and the per-text norm then all run inside that partitioning (no
     shuffle of the exploded grams).  A text with no tokens has no rows
-    (the zero vector).
+    (the zero vector).  ``keep`` columns (functions of the id) ride along.
     """
-    t = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("_txt"))
+    t = (df.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("_txt"))
          .repartition("id")
-         .select("id", F.explode(F.array(X.tokens("_txt"))).alias("_tok")))
-    g = t.select("id", F.explode(X.grams("_tok")).alias("_g"))
-    c = g.groupBy("id", X.md5_bucket("_g", dim).alias("bucket")).agg(F.count(F.lit(1)).alias("_c"))
+         .select("id", *keep, F.explode(F.array(X.tokens("_txt"))).alias("_tok")))
+    g = t.select("id", *keep, F.explode(X.grams("_tok")).alias("_g"))
+    c = (g.groupBy("id", *keep, X.md5_bucket("_g", dim).alias("bucket"))
+         .agg(F.count(F.lit(1)).alias("_c")))
     norm = F.sqrt(F.sum(F.col("_c") * F.col("_c")).over(Window.partitionBy("id")))
-    return c.select("id", "bucket", (F.col("_c") / norm).alias("w"))
+    return c.select("id", *keep, "bucket", (F.col("_c") / norm).alias("w"))
 
 
 def cosine_pairs(pairs: DataFrame, a_vec: DataFrame, b_vec: DataFrame,

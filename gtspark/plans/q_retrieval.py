@@ -77,6 +77,12 @@ def retrieve_rerank(spark, sf_dir):
     return h.select("query_id", "rank", "chunk_id", "doc_id", "text", F.round("score", 6).alias("score"))
 
 
+def answer_ctes(bonus: bool = True, prior: bool = False) -> str:
+    """RETRIEVE_SQL plus CTEs ending in ``ans`` (query_id, query, context, contexts, answer)."""
+    full = _answer_sql(bonus, "", prior)
+    return full[:full.rindex("\nSELECT qa.query_id")]
+
+
 def _answer_sql(bonus: bool, model: str, prior: bool) -> str:
     bonus_sql = ("+ CASE WHEN (lower(query) LIKE '%landfall%' OR lower(query) LIKE '%ashore%') "
                  "AND (lower(sent) LIKE '%landfall%' OR lower(sent) LIKE '%ashore%') THEN 0.5 ELSE 0.0 END"
@@ -88,15 +94,16 @@ def _answer_sql(bonus: bool, model: str, prior: bool) -> str:
     prompt = ("greatest(1, length(qa.query) // 4)" if prior
               else "greatest(1, length(qa.query || qa.context) // 4)")
     return RETRIEVE_SQL + f""",
-ctx AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS context FROM hits GROUP BY 1),
-qa AS (SELECT q.query_id, q.query, coalesce(c.context, '') AS context
+ctx AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS context, list(text ORDER BY rank) AS contexts
+        FROM hits GROUP BY 1),
+qa AS (SELECT q.query_id, q.query, coalesce(c.context, '') AS context, coalesce(c.contexts, []::VARCHAR[]) AS contexts
        FROM v_queries q LEFT JOIN ctx c ON c.query_id = q.query_id),
 ex AS (SELECT query_id, query, unnest(s) AS sent, unnest(generate_series(0, len(s) - 1)) AS pos
        FROM (SELECT query_id, query, {raw_sents_sql('context')} AS s FROM qa)),
 sc AS (SELECT *, {overlap_sql('query', 'sent')} {bonus_sql} AS score FROM ex),
 b AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rn
                      FROM sc) WHERE rn = 1),
-ans AS (SELECT qa.query_id, qa.query, qa.context, {answer} AS answer
+ans AS (SELECT qa.query_id, qa.query, qa.context, qa.contexts, {answer} AS answer
         FROM qa LEFT JOIN b ON b.query_id = qa.query_id)
 SELECT qa.query_id, '{model}' AS model, ans.answer,
        {prompt} AS prompt_tokens, greatest(1, length(ans.answer) // 4) AS completion_tokens
