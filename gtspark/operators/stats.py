@@ -64,7 +64,7 @@ def paired_ab(evals: DataFrame, metric: str, model_a: str, model_b: str,
         ci = means.agg(F.lit(1).alias("_k"), F.percentile("m", F.lit(alpha / 2)).alias("ci_low"),
                        F.percentile("m", F.lit(1 - alpha / 2)).alias("ci_high"))
     out = stats.withColumn("_k", F.lit(1)).join(ci, "_k")  # both sides are single rows
-    t = F.col("diff") / (F.col("sd") / F.sqrt(F.col("n")))
+    t = F.try_divide(F.col("diff"), F.col("sd") / F.sqrt(F.col("n")))
     return out.select(F.lit(metric).alias("metric"), F.lit(model_a).alias("model_a"),
                       F.lit(model_b).alias("model_b"), "n", "mean_a", "mean_b", "diff",
                       "ci_low", "ci_high", t.alias("t_stat"), "max_abs")

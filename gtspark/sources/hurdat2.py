@@ -34,7 +34,7 @@ def read_hurdat2(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     storms: storm_key (position of the header line), storm_id, basin,
     cyclone_number, year, name (empty -> UNNAMED), n_track_points.
-    points: storm_key, storm_id, line_no (position), obs_time, record_id,
+    points: storm_key, storm_id, line_no (sortable file position), obs_time, record_id,
     status, lat, lon, max_wind_kt, min_pressure_mb, 12 radii, rmw_nm.
     """
     ln = _lines(spark, path)
@@ -67,7 +67,7 @@ def read_hurdat2(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     line_no = F.concat_ws(":", F.col("file"), F.col("block").cast("string"), F.col("pos").cast("string"))
     points = details.select(
         storm_key.alias("storm_key"),
-        line_no.alias("line_key"), "file", "block", "pos",
+        line_no.alias("line_key"), F.struct("file", "block", "pos").alias("line_no"),
         fix_time(tok(0), tok(1)).alias("obs_time"),
         F.nullif(tok(2), F.lit("")).alias("record_id"),
         tok(3).alias("status"),
