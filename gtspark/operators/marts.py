@@ -35,6 +35,21 @@ def latest_runs(evals: DataFrame, part: str = "model", order: str = "run_ts") ->
             .filter(F.col(order) == F.col("_last_ts")).drop("_last_ts"))
 
 
+def _xavg(c):
+    """Average over exact decimals: the rounded mean must not depend on the
+    order in which partitions are summed (a mean sitting on a rounding
+    boundary, e.g. .4815, otherwise flips with the summation order)."""
+    return F.avg(F.col(c).cast("decimal(38,12)"))
+
+
+def _xsum(c):
+    return F.sum(F.col(c).cast("decimal(38,12)"))
+
+
+def _xround(e, digits):
+    return F.round(e, digits).cast("double")
+
+
 def _rate(null_value=None):
     num = F.sum(F.when(_h(), 1.0).otherwise(0.0))
     den = F.nullif(F.sum(_checked()), F.lit(0))
@@ -51,12 +66,12 @@ def leaderboard(evals: DataFrame, dbt_names: bool = False) -> DataFrame:
     lat = "mean_latency_ms" if dbt_names else "latency_ms"
     out = (latest_runs(evals).groupBy("model").agg(
         F.count(F.lit(1)).alias("n_questions"),
-        F.round(F.avg("groundedness"), 3).alias(n("groundedness")),
-        F.round(F.avg("answer_relevance"), 3).alias(n("answer_relevance")),
-        F.round(F.avg("reward"), 3).alias(n("reward")),
+        _xround(_xavg("groundedness"), 3).alias(n("groundedness")),
+        _xround(_xavg("answer_relevance"), 3).alias(n("answer_relevance")),
+        _xround(_xavg("reward"), 3).alias(n("reward")),
         F.round(_rate(), 3).alias("hallucination_rate"),
-        F.round(F.avg("latency_ms"), 1).alias(lat),
-        F.round(F.sum("cost_usd"), 4).alias("total_cost_usd")))
+        _xround(_xavg("latency_ms"), 1).alias(lat),
+        _xround(_xsum("cost_usd"), 4).alias("total_cost_usd")))
     return out.orderBy(F.col(n("reward")).desc(), "model")
 
 
@@ -76,9 +91,9 @@ def leaderboard_dashboard(evals: DataFrame) -> DataFrame:
 def cost_latency(evals: DataFrame) -> DataFrame:
     """A4: means over all runs per model."""
     return (evals.groupBy("model").agg(
-        F.round(F.avg("reward"), 3).alias("mean_reward"),
-        F.round(F.avg("latency_ms"), 1).alias("mean_latency_ms"),
-        F.round(F.avg("cost_usd"), 6).alias("mean_cost_per_query"))
+        _xround(_xavg("reward"), 3).alias("mean_reward"),
+        _xround(_xavg("latency_ms"), 1).alias("mean_latency_ms"),
+        _xround(_xavg("cost_usd"), 6).alias("mean_cost_per_query"))
         .orderBy(F.col("mean_reward").desc(), "model"))
 
 
