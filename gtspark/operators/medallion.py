@@ -68,10 +68,12 @@ def link_narratives(events: DataFrame, storms: DataFrame, whole_word: bool = Fal
     """
     s = storms.select(F.col(id_col).alias("linked_storm_id"), F.col(name_col).alias("_name"),
                       F.col(year_col).alias("_syear"))
-    up = F.upper(F.col(narrative_col))
+    # upper-case each narrative once, before the join, not once per candidate pair
+    events = events.withColumn("_up", F.upper(F.col(narrative_col)))
+    up = F.col("_up")
     if whole_word:
-        cond = F.regexp_like(up, F.concat(F.lit("\\b"), F.col("_name"), F.lit("\\b")))
+        cond = F.regexp_like(up, F.concat(F.lit("\\b\\Q"), F.col("_name"), F.lit("\\E\\b")))
     else:
         cond = up.contains(F.col("_name"))
     j = events.join(s, (F.col(year_col) == F.col("_syear")) & cond, "left")
-    return j.drop("_name", "_syear")
+    return j.drop("_name", "_syear", "_up")
