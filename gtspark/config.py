@@ -80,3 +80,28 @@ NO_ANSWER_TEXT = "The retrieved context does not contain that information."
 INSUFFICIENT_TRACK_TEXT = "insufficient track history (need ≥4 fixes)"
 LIVE_DISCLAIMER = ("Model estimate from the storm's recent track — NOT an official "
                    "forecast. Always follow National Hurricane Center advisories.")
+
+# Prompt templates (placeholders {{ context }} and {{ query }}; rendered
+# without a trailing newline).
+PROMPT_TEMPLATES = {
+    "rag_v1": (
+        "You are a coastal-weather assistant. Answer the question using ONLY the context\n"
+        "below. If the context does not contain the answer, say so. Be specific and cite\n"
+        "figures (categories, wind speeds, pressures, dates) exactly as they appear.\n"
+        "\n"
+        "Context:\n"
+        "{{ context }}\n"
+        "\n"
+        "Question: {{ query }}\n"
+        "Answer:"),
+    "rag_v2": (
+        "Use the retrieved NOAA records to answer the question precisely. Quote exact\n"
+        "storm categories and measured values. Do not speculate beyond the context.\n"
+        "\n"
+        "--- Retrieved records ---\n"
+        "{{ context }}\n"
+        "--- End records ---\n"
+        "\n"
+        "Q: {{ query }}\n"
+        "A:"),
+}

@@ -315,3 +315,24 @@ def prior_answer(queries: DataFrame, hits: DataFrame, prior=C.NAIVE_PRIOR,
     return a.select("query_id", "query", F.lit(model).alias("model"), ans.alias("answer"),
                     X.approx_tokens("query").alias("prompt_tokens"),
                     X.approx_tokens(ans).alias("completion_tokens"), "contexts")
+
+
+# ---------------------------------------------------------------------------
+# P18 + P19 prompt rendering
+# ---------------------------------------------------------------------------
+
+def render_prompts(queries: DataFrame, hits: DataFrame, templates=None) -> DataFrame:
+    """P19 numbered context ('[i] text' blocks, blank line between) and P18
+    rendering of every template for every query.  Templates are a fixed,
+    small literal set, attached with a generator (no join)."""
+    templates = templates or C.PROMPT_TEMPLATES
+    ctx = _contexts(hits)
+    q = (queries.join(ctx, "query_id", "left")
+         .withColumn("contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+         .withColumn("context", X.numbered_context("contexts")))
+    t = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("body"))
+                            for k, v in templates.items()])).alias("t")
+    r = q.select("query_id", "query", "context", t)
+    prompt = F.replace(F.replace(F.col("t.body"), F.lit("{{ query }}"), F.col("query")),
+                       F.lit("{{ context }}"), F.col("context"))
+    return r.select("query_id", F.col("t.name").alias("template_name"), prompt.alias("prompt"))

@@ -122,3 +122,22 @@ def prior_answer(spark, sf_dir):
     """Prior-first answer, extractive fallback."""
     a = retrieval.prior_answer(v_queries(spark, sf_dir), hits_df(spark, sf_dir))
     return a.select("query_id", "model", "answer", "prompt_tokens", "completion_tokens")
+
+
+def _templates_sql() -> str:
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in C.PROMPT_TEMPLATES.items())
+    return f"tpl AS (SELECT * FROM (VALUES {rows}) t(name, body))"
+
+
+@register("prompt_render", RETRIEVE_SQL + f""",
+{_templates_sql()},
+pctx AS (SELECT query_id, string_agg('[' || CAST(rank AS VARCHAR) || '] ' || text, chr(10) || chr(10) ORDER BY rank)
+           AS context FROM hits GROUP BY 1),
+qc AS (SELECT q.query_id, q.query, coalesce(c.context, '') AS context
+       FROM v_queries q LEFT JOIN pctx c ON c.query_id = q.query_id)
+SELECT qc.query_id, tpl.name AS template_name,
+       replace(replace(tpl.body, '{{{{ query }}}}', qc.query), '{{{{ context }}}}', qc.context) AS prompt
+FROM qc, tpl""")
+def prompt_render(spark, sf_dir):
+    """Both RAG templates rendered with each question's numbered context."""
+    return retrieval.render_prompts(v_queries(spark, sf_dir), hits_df(spark, sf_dir))
