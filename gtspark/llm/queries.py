@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing
+from . import decontaminate, line_dedup, ngram_join, packing
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -14,6 +14,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_line_minhash(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_harmonic_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -22,6 +26,10 @@ def op6_prefix_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_prefix_tree_join(spark, sf_dir):
+    return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
 _OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -44,7 +52,9 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 QUERIES = {
+    "op1_line_minhash": op1_line_minhash,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op6_prefix_decontamination": op6_prefix_decontamination,
+    "op7_prefix_tree_join": op7_prefix_tree_join,
 }
 ORACLES = {"op6_prefix_decontamination": _OP6_SQL}
