@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, packing
+from . import decontaminate, line_dedup, ngram_join, packing, quality
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,10 @@ def op1_line_minhash(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op2_boosted_quality(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_harmonic_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -53,6 +57,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 
 QUERIES = {
     "op1_line_minhash": op1_line_minhash,
+    "op2_boosted_quality": op2_boosted_quality,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op6_prefix_decontamination": op6_prefix_decontamination,
     "op7_prefix_tree_join": op7_prefix_tree_join,
