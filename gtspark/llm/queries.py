@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality
+from . import decontaminate, line_dedup, ngram_join, packing, quality, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,10 @@ def op7_prefix_tree_join(spark, sf_dir):
     return ngram_join.similarity_components(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_boundary_chains(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 _OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -61,5 +65,6 @@ QUERIES = {
     "op4_harmonic_packing": op4_harmonic_packing,
     "op6_prefix_decontamination": op6_prefix_decontamination,
     "op7_prefix_tree_join": op7_prefix_tree_join,
+    "op8_warc_boundary_chains": op8_warc_boundary_chains,
 }
 ORACLES = {"op6_prefix_decontamination": _OP6_SQL}
