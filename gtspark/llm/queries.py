@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality, warc
+from . import decontaminate, graph_dedup, line_dedup, ngram_join, packing, quality, secrets, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op2_boosted_quality(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_randomness_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op4_harmonic_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -38,6 +42,10 @@ def op8_warc_boundary_chains(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_pruned_graph_dedup(spark, sf_dir):
+    return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 _OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -62,9 +70,11 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 QUERIES = {
     "op1_line_minhash": op1_line_minhash,
     "op2_boosted_quality": op2_boosted_quality,
+    "op3_randomness_secrets": op3_randomness_secrets,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op6_prefix_decontamination": op6_prefix_decontamination,
     "op7_prefix_tree_join": op7_prefix_tree_join,
     "op8_warc_boundary_chains": op8_warc_boundary_chains,
+    "op10_pruned_graph_dedup": op10_pruned_graph_dedup,
 }
 ORACLES = {"op6_prefix_decontamination": _OP6_SQL}
