@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, graph_dedup, line_dedup, ngram_join, packing, quality, secrets, warc
+from . import chat, decontaminate, graph_dedup, line_dedup, ngram_join, packing, pseudonyms, quality, secrets, warc
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op4_harmonic_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_feistel_pseudonyms(spark, sf_dir):
+    return pseudonyms.report(table(spark, sf_dir, "documents"))
+
+
 def op6_prefix_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,6 +46,10 @@ def op8_warc_boundary_chains(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_chat_role_repair(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op10_pruned_graph_dedup(spark, sf_dir):
     return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -72,9 +80,11 @@ QUERIES = {
     "op2_boosted_quality": op2_boosted_quality,
     "op3_randomness_secrets": op3_randomness_secrets,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op6_prefix_decontamination": op6_prefix_decontamination,
     "op7_prefix_tree_join": op7_prefix_tree_join,
     "op8_warc_boundary_chains": op8_warc_boundary_chains,
+    "op9_chat_role_repair": op9_chat_role_repair,
     "op10_pruned_graph_dedup": op10_pruned_graph_dedup,
 }
 ORACLES = {"op6_prefix_decontamination": _OP6_SQL}
