@@ -15,7 +15,7 @@ SENTENCE_RE = "[^.!?]+[.!?]"
 # match (and dropped afterwards) instead of being retried from every start
 # position, which is quadratic in the tail length.
 _SENTENCE_SCAN_RE = "[^.!?]+(?:[.!?]|\\z)"
-WORD_RE = "\\S+"
+WORD_RE = "(?U)[^\\s\\x1c-\\x1f]+"  # any Unicode white space separates
 
 
 def _col(c) -> Column:
@@ -34,7 +34,7 @@ def words(text) -> Column:
 
 def strip(c) -> Column:
     """Strip leading/trailing whitespace (``trim`` only removes spaces)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def sentence_matches(text) -> Column:

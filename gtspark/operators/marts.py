@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gtspark import config as C
+from gtspark.session import materialise
 
 def _h():
     return F.col("hallucinated")
@@ -30,9 +31,9 @@ def latest_runs(evals: DataFrame, part: str = "model", order: str = "run_ts") ->
     Computed as max(run_ts) per model (partial aggregate) joined back, so a
     model with most of the rows is never sorted in a single task.
     """
-    last = evals.groupBy(part).agg(F.max(order).alias("_last_ts"))
-    return (evals.join(last, part)
-            .filter(F.col(order) == F.col("_last_ts")).drop("_last_ts"))
+    last = evals.groupBy(F.col(part).alias("_last_of")).agg(F.max(order).alias("_last_ts"))
+    return (evals.join(last, F.col(part).eqNullSafe(F.col("_last_of")))
+            .filter(F.col(order) == F.col("_last_ts")).drop("_last_of", "_last_ts"))
 
 
 def _xavg(c):
@@ -116,13 +117,16 @@ def upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFr
     """sorted(values)[n div 2] per group, exactly.
 
     Values are first collapsed to (key, value, count) with a partial
-    aggregate, so the running-count window only walks distinct values.
+    aggregate; the running count goes over range-sorted partitions, so a run
+    with most of the rows is spread over many tasks.
     """
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    ranked = (counts.withColumn("_cum", F.sum("_c").over(w))
-              .withColumn("_n", F.sum("_c").over(total)))
+    cum = range_prefix(counts, [*keys, value], sums={"_c": "_cum"})
+    # a group's own running count: less what came before the group
+    group = cum.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(
+        F.min(F.col("_cum") - F.col("_c")).alias("_before"), F.sum("_c").alias("_n"))
+    same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
+    ranked = cum.join(group, same).withColumn("_cum", F.col("_cum") - F.col("_before"))
     return (ranked.filter(F.col("_cum") >= F.floor(F.col("_n") / 2) + 1)
             .groupBy(*keys).agg(F.min(value).alias(out)))
 
@@ -136,26 +140,38 @@ def run_summary(evals: DataFrame, key: str = "run_id") -> DataFrame:
         _rate(0.0).alias("hallucination_rate"),
         F.sum("cost_usd").alias("total_cost_usd"))
     p50 = upper_median(evals, [key], "latency_ms", "p50_latency_ms")
-    return agg.join(p50, key)
+    p50 = p50.withColumnRenamed(key, "_of")
+    return agg.join(p50, F.col(key).eqNullSafe(F.col("_of"))).drop("_of")
 
 
-def global_row_number(df: DataFrame, order_cols: list, name: str = "seq") -> DataFrame:
-    """1..n over a total order without moving all rows into one task.
+def range_prefix(df: DataFrame, order_cols: list, seq: str | None = None, sums: dict | None = None) -> DataFrame:
+    """Running totals over a total order without moving all rows into one task.
 
-    The frame is range-sorted; each sort partition numbers its own rows and
-    the per-partition row counts (one row per partition, a bounded table)
-    give the offsets.
+    ``seq`` names the row number 1..n, ``sums`` maps columns to the names of
+    their running sums (this row included).  The range-sorted frame is written
+    once with each row's partition and place, so the totals per partition (one
+    row each, a bounded table) and the rows they offset are the same rows.
     """
-    s = df.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id())
-    s = s.withColumn("_mid", F.monotonically_increasing_id())
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"))
-    offs = counts.withColumn(
-        "_off", F.coalesce(F.sum("_pc").over(Window.orderBy("_pid").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0))).select("_pid", "_off")
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy("_mid"))
-    return (s.join(F.broadcast(offs), "_pid")
-            .withColumn(name, (F.col("_off") + local).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+    s = materialise(df.orderBy(*order_cols).withColumn("_pid", F.spark_partition_id())
+                    .withColumn("_mid", F.monotonically_increasing_id()), "sorted")
+    sums = sums or {}
+    total = {"_n": F.count(F.lit(1))} | {f"_s_{c}": F.sum(c) for c in sums}
+    parts = s.groupBy("_pid").agg(*[e.alias(n) for n, e in total.items()])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = parts.select("_pid", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_off{n}") for n in total])
+    local = Window.partitionBy("_pid").orderBy("_mid")
+    out = s.join(F.broadcast(offs), "_pid")
+    if seq:
+        out = out.withColumn(seq, (F.col("_off_n") + F.row_number().over(local)).cast("bigint"))
+    for c, name in sums.items():
+        own = F.sum(c).over(local.rowsBetween(Window.unboundedPreceding, 0))
+        out = out.withColumn(name, F.col(f"_off_s_{c}") + own)
+    return out.drop("_pid", "_mid", *[f"_off{n}" for n in total])
+
+
+def global_row_number(df: DataFrame, order_cols: list, name: str = "seq") -> DataFrame:
+    """1..n over a total order."""
+    return range_prefix(df, order_cols, seq=name)
 
 
 def run_history(evals: DataFrame) -> DataFrame:

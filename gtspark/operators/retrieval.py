@@ -4,9 +4,8 @@ T4-T14 J7 J9 W4 W5 U3 A15 E21 SNK5.
 
 Vectors are sparse rows ``(id, bucket, w)`` with unit L2 norm.  Exact top-k
 search scores every (query, chunk) pair -- the operator's definition -- but
-never as rows: chunk partitions are scored against a size-checked block of
-query vectors with one matrix product per Arrow batch, and only each
-partition's k best per query leave the task.
+never as rows: each pair of a query block and an item block, both of bounded
+size, is one matrix product in one task, of which the k best per query leave.
 """
 
 from __future__ import annotations
@@ -17,10 +16,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gtspark import config as C
 from gtspark.functions import text as X
+from gtspark.session import materialise
 
 RANK_DIGITS = 9  # scores are ranked after rounding, so summation order cannot flip ties
 
@@ -119,91 +118,87 @@ def _array_matrix(pdf, dim: int) -> np.ndarray:
     return m
 
 
-def _local_topk(qids, qmat, qnorm, cids, cmat, k, digits, unit):
-    if unit:  # unit (or zero) vectors: cosine = dot / (1 + 1e-9)
-        sims = (cmat @ qmat.T) / (1.0 + 1e-9)
+def _local_topk(qids, qmat, cids, cmat, k, digits, unit):
+    """k best items of each query in one block pair; ``cids`` ascending, so ties go to the smaller id."""
+    sims = qmat @ cmat.T
+    if not unit:  # unit (or zero) vectors need no norms: cosine = dot / (1 + 1e-9)
+        norms = [np.sqrt((m * m).sum(axis=1)) for m in (qmat, cmat)]
+        sims /= np.outer(*norms) + 1e-9
     else:
-        cnorm = np.sqrt((cmat * cmat).sum(axis=1))
-        sims = (cmat @ qmat.T) / (np.outer(cnorm, qnorm) + 1e-9)
-    sims = np.round(sims, digits)  # chunks x queries
-    rows = []
-    n = sims.shape[0]
-    ids = np.asarray(cids, dtype=object)
-    for j, qid in enumerate(qids):
-        s = sims[:, j]
-        if n > k:
-            kth = np.partition(s, n - k)[n - k]
-            cand = np.nonzero(s >= kth)[0]
-        else:
-            cand = np.arange(n)
-        cand = sorted(cand, key=lambda i: (-s[i], ids[i]))[:k]
-        rows.extend((qid, ids[i], float(s[i])) for i in cand)
-    return rows
+        sims /= 1.0 + 1e-9
+    sims = np.round(sims, digits)
+    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    n = best.shape[1]
+    return pd.DataFrame({"query_id": np.repeat(qids, n), "item_id": cids[best.ravel()],
+                         "score": np.take_along_axis(sims, best, 1).ravel()})
+
+
+BLOCK_ROWS = 2048  # vectors of a side in one block: bounds the score matrix of a task
 
 
 def _topk_blocks(packed_q: DataFrame, packed_items: DataFrame, k: int, dim: int,
-                 to_matrix, unit: bool, block_bytes: int, digits: int) -> DataFrame:
-    spark = packed_q.sparkSession
-    n_q = packed_q.count()
-    per_block = max(1, block_bytes // (dim * 8))
-    n_blocks = max(1, math.ceil(n_q / per_block))
-    out_schema = T.StructType([T.StructField("query_id", T.StringType()),
-                               T.StructField("item_id", T.StringType()),
-                               T.StructField("score", T.DoubleType())])
-    results = None
-    for blk in range(n_blocks):
-        q_blk = packed_q if n_blocks == 1 else packed_q.filter(
-            F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == blk)
-        qpd = q_blk.toPandas()  # one block, at most block_bytes of vectors
-        qids = [str(x) for x in qpd["id"]]
-        qmat = to_matrix(qpd, dim)
-        bq = spark.sparkContext.broadcast((qids, qmat, np.sqrt((qmat * qmat).sum(axis=1))))
-
-        def score(batches, bq=bq):
-            qids_, qmat_, qnorm_ = bq.value
-            for pdf in batches:
-                if len(pdf) == 0 or not qids_:
-                    continue
-                rows = _local_topk(qids_, qmat_, qnorm_, [str(x) for x in pdf["id"]],
-                                   to_matrix(pdf, dim), k, digits, unit)
-                yield pd.DataFrame(rows, columns=["query_id", "item_id", "score"])
-
-        part = packed_items.mapInPandas(score, out_schema)
-        results = part if results is None else results.unionByName(part)
+                 to_matrix, unit: bool, block_rows: int, digits: int) -> DataFrame:
+    """Every query block meets every item block in a task of its own.
+
+    The vectors are written once (so counts and blocks see the same rows) and
+    dealt by hash of their id; each side is copied to the other side's blocks
+    by a shuffle, nothing passes through the driver.
+    """
+    q, items = materialise(packed_q, "queries"), materialise(packed_items, "items")
+    n_q, n_i = (max(1, math.ceil(d.count() / block_rows)) for d in (q, items))
+
+    def dealt(df, own, n_own, other, n_other, kind):
+        return df.select("*", F.pmod(F.xxhash64("id"), F.lit(n_own)).alias(own),
+                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))).alias(other),
+                         F.lit(kind).alias("_kind"))
+
+    both = dealt(q, "_qb", n_q, "_ib", n_i, 0).unionByName(dealt(items, "_ib", n_i, "_qb", n_q, 1))
+    schema = "query_id string, item_id string, score double"
+
+    def score(pdf):
+        qs, its = pdf[pdf["_kind"] == 0], pdf[pdf["_kind"] == 1].sort_values("id")
+        if len(qs) == 0 or len(its) == 0:
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+        return _local_topk(qs["id"].to_numpy(), to_matrix(qs, dim), its["id"].to_numpy(),
+                           to_matrix(its, dim), k, digits, unit)
+
+    results = both.groupBy("_qb", "_ib").applyInPandas(score, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id"))
     return results.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def topk_dense(query_vec: DataFrame, item_vec: DataFrame, k: int = C.TOP_K,
-               dim: int = C.EMBEDDING_DIM, block_bytes: int = 64 << 20,
-               digits: int = RANK_DIGITS, item_ids: DataFrame | None = None) -> DataFrame:
+               dim: int = C.EMBEDDING_DIM, block_rows: int = BLOCK_ROWS,
+               digits: int = RANK_DIGITS, item_ids: DataFrame | None = None,
+               query_ids: DataFrame | None = None) -> DataFrame:
     """Exact cosine top-k of every query over every item.
 
     Inputs are sparse unit vectors (id, bucket, w); output (query_id,
-    item_id, score, rank).  Query vectors reach the tasks as a broadcast
-    only in blocks whose dense size is at most ``block_bytes`` (checked from
-    the count); more queries mean more blocks, each one pass over the item
-    partitions.  Each task keeps k candidates per query, so the final
-    per-query ranking sees k x partitions rows.  Ties: higher score (rounded
-    to ``digits``), then smaller item id.  Items with no shared bucket score
-    0 and still fill the list when fewer than k items match.
+    item_id, score, rank).  ``item_ids`` and ``query_ids`` list texts that may
+    have no token: those are zero vectors, score 0 and still take part.  Each
+    block pair keeps k candidates per query.  ``digits`` is a parameter of the
+    ranking: scores are rounded to it before they are compared, so that the
+    summation order cannot flip ties; ties go to the smaller item id.
     """
-    items = _to_packed(item_vec)
-    if item_ids is not None:  # keep items whose text has no token (zero vector)
-        items = item_ids.select(F.col(item_ids.columns[0]).alias("id")).join(items, "id", "left")
-    return _topk_blocks(_to_packed(query_vec), items, k, dim,
-                        _sparse_matrix, True, block_bytes, digits)
+    def packed(vec, ids):
+        v = _to_packed(vec)
+        if ids is not None:
+            v = ids.select(F.col(ids.columns[0]).alias("id")).join(v, "id", "left")
+        return v.select(F.col("id").cast("string").alias("id"), "b", "w")
+
+    return _topk_blocks(packed(query_vec, query_ids), packed(item_vec, item_ids), k, dim,
+                        _sparse_matrix, True, block_rows, digits)
 
 
 def topk_arrays(queries: DataFrame, items: DataFrame, k: int = C.TOP_K, dim: int | None = None,
-                id_col: str = "id", vec_col: str = "vec", block_bytes: int = 64 << 20,
+                id_col: str = "id", vec_col: str = "vec", block_rows: int = BLOCK_ROWS,
                 digits: int = RANK_DIGITS) -> DataFrame:
     """T6 + T7 on dense array columns: cosine = dot / (|a||b| + 1e-9)."""
-    q = queries.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).alias("vec"))
-    it = items.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).alias("vec"))
+    q, it = (d.select(F.col(id_col).cast("string").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+             for d in (queries, items))
     if dim is None:
         dim = it.agg(F.max(F.size("vec"))).first()[0] or 0
-    return _topk_blocks(q, it, k, int(dim), _array_matrix, False, block_bytes, digits)
+    return _topk_blocks(q, it, k, int(dim), _array_matrix, False, block_rows, digits)
 
 
 # ---------------------------------------------------------------------------
@@ -218,11 +213,11 @@ def rerank(hits: DataFrame, queries: DataFrame, items: DataFrame, strategy: str
     ``items`` (item_id, text).  'none' keeps the order.
     """
     h = (hits.join(queries.select("query_id", "query"), "query_id")
-         .join(items, "item_id"))
+         .join(items.join(hits.select("item_id").distinct(), "item_id", "leftsemi"), "item_id"))
     if strategy == "none":
         return h
     if strategy != "lexical":
-        raise ValueError(f"unknown rerank strategy: {strategy}")
+        raise ValueError(f"strategy must be lexical or none, not {strategy!r}")
     s = F.round(0.5 * F.col("score") + 0.5 * X.overlap(X.tokens("query"), X.tokens("text")), digits)
     h = h.withColumn("score", s)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("rank"))
@@ -241,10 +236,12 @@ def retrieve(queries: DataFrame, chunks: DataFrame, chunk_vec: DataFrame | None
     qv = embed(queries, "query_id", "query", dim)
     cv = chunk_vec if chunk_vec is not None else embed(chunks, "chunk_id", "text", dim)
     n = max(k, top_k)
-    hits = topk_dense(qv, cv, n, dim, item_ids=chunks.select("chunk_id"))
+    hits = topk_dense(qv, cv, n, dim, item_ids=chunks.select("chunk_id"),
+                      query_ids=queries.select("query_id").distinct())
     items = chunks.select(F.col("chunk_id").alias("item_id"), "doc_id", "text")
     r = rerank(hits, queries, items, strategy).filter(F.col("rank") <= k)
-    return r.select("query_id", "rank", F.col("item_id").alias("chunk_id"), "doc_id", "text", "score")
+    r = r.select("query_id", "rank", F.col("item_id").alias("chunk_id"), "doc_id", "text", "score")
+    return materialise(r, "hits")  # at most k rows a query; answers and metrics read it many times
 
 
 # ---------------------------------------------------------------------------

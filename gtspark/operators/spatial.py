@@ -30,7 +30,7 @@ def _guarantee_km(lat, size):
 
 
 def nearest_station(points: DataFrame, stations: DataFrame, point_id: str = "place_id",
-                    station_id: str = "station_id", levels=(1.0, 8.0, 180.0),
+                    station_id: str = "station_id", levels=(1.0, 8.0, 30.0, 90.0, 180.0),
                     max_km: float | None = None) -> DataFrame:
     """Nearest station per point (ties: smaller station id); none -> NULL.
 
@@ -48,8 +48,8 @@ def nearest_station(points: DataFrame, stations: DataFrame, point_id: str = "pla
     for li, size in enumerate(levels):
         last = li == len(levels) - 1
         n_lon = int(math.ceil(360.0 / size))
-        sc = st.select("*", *[c.alias(n) for c, n in zip(_cells(F.col("_slat"), F.col("_slon"), size),
-                                                           ("_ca", "_co"))])
+        sa, so = _cells(F.col("_slat"), F.col("_slon"), size)
+        sc = st.select("*", sa.alias("_ca"), F.pmod(so, F.lit(n_lon)).alias("_co"))
         pa, po = _cells(F.col("_plat"), F.col("_plon"), size)
         offs = F.array(*[F.struct(F.lit(a).alias("da"), F.lit(o).alias("do")) for a in (-1, 0, 1)
                          for o in (-1, 0, 1)])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gtspark import config as C
-from gtspark.operators.marts import global_row_number
+from gtspark.operators.marts import global_row_number, range_prefix
 
 
 def latest_scores(evals: DataFrame, model: str, metric: str,
@@ -36,14 +36,14 @@ def paired_diffs(evals: DataFrame, metric: str, model_a: str, model_b: str) -> D
 
 def _draw_index(seed, b, i, n):
     key = F.concat_ws(":", F.lit(str(seed)), b.cast("string"), i.cast("string"))
-    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % n).cast("bigint")
+    return (F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("bigint") % n).cast("bigint")
 
 
 def paired_ab(evals: DataFrame, metric: str, model_a: str, model_b: str,
               alpha: float = C.ALPHA, n_boot: int = C.N_BOOT, seed: int = C.BOOT_SEED) -> DataFrame:
     """Means, mean difference, percentile bootstrap CI and the paired t statistic.
 
-    Draw ``i`` of resample ``b`` picks question md5('seed:b:i')[:8] mod n
+    Draw ``i`` of resample ``b`` picks question md5('seed:b:i')[:15] mod n
     (reproducible, and the same in any SQL engine).  The n_boot x n draws
     come from ``range``; each resample's mean is a partial + final
     aggregate by b, and the CI is an exact percentile over the n_boot means.
@@ -154,7 +154,7 @@ def preference_pairs(evals: DataFrame, answer_col: str = "event_id", order_col:
     return (g.filter(F.col("n") >= 2)
             .withColumn("margin", F.col("best.reward") - F.col("worst.reward"))
             .filter(F.col("margin") > 0)
-            .select(F.substring(F.sha2(F.col("question_id"), 256), 1, 12).alias("pair_id"), "question_id",
+            .select(F.sha2(F.col("question_id"), 256).alias("pair_id"), "question_id",
                     F.col("best.answer").alias("chosen"), F.col("worst.answer").alias("rejected"),
                     F.col("best.model").alias("chosen_model"), F.col("worst.model").alias("rejected_model"),
                     "margin"))
@@ -168,16 +168,8 @@ def best_of_n(pool: DataFrame, value_col: str = "reward", schedule=C.BEST_OF_N_S
     (value, count) rows first; the running count is a distributed prefix sum.
     """
     vc = pool.groupBy(F.col(value_col).alias("v")).agg(F.count(F.lit(1)).alias("c")).filter(F.col("v").isNotNull())
-    numbered = global_row_number(vc, ["v"], "_r")
-    # prefix sum of counts in value order: per sort partition, then offsets
-    parts = numbered.withColumn("_blk", (F.col("_r") / F.lit(4096)).cast("bigint"))
-    blk = parts.groupBy("_blk").agg(F.sum("c").alias("_bc"))
-    offs = blk.withColumn("_off", F.coalesce(F.sum("_bc").over(
-        Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.sum("c").over(Window.partitionBy("_blk").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
-    cum = (parts.join(offs.select("_blk", "_off"), "_blk")
-           .withColumn("c1", F.col("_off") + within).withColumn("c0", F.col("c1") - F.col("c")))
-    m = pool.filter(F.col(value_col).isNotNull()).count()
+    cum = range_prefix(vc, ["v"], sums={"c": "c1"}).withColumn("c0", F.col("c1") - F.col("c"))
+    m = vc.agg(F.sum("c")).first()[0] or 0
     ns = F.explode(F.array(*[F.lit(int(x)) for x in schedule])).alias("n_candidates")
     terms = cum.select("v", "c0", "c1", ns).select(
         "n_candidates",

@@ -10,13 +10,14 @@ from gtspark.plans.q_retrieval import answer_ctes, hits_df
 from gtspark.plans.q_text import hashed_sql, sents_sql
 from gtspark.plans.q_truth import TRUTH_BODY, truth_df
 from gtspark.plans.registry import register
+from gtspark.session import materialise
 from gtspark.plans.views import v_claims, v_queries, with_views
 
 
 def grounded_answers(spark, sf_dir):
     """(aid, query, answer, contexts) of the grounded answerer on the benchmark questions."""
     a = retrieval.grounded_answer(v_queries(spark, sf_dir), hits_df(spark, sf_dir))
-    return a.select(F.col("query_id").alias("aid"), "query", "answer", "contexts")
+    return materialise(a.select(F.col("query_id").alias("aid"), "query", "answer", "contexts"), "answers")
 
 
 _CLAIMS_SQL = f""",
@@ -102,9 +103,10 @@ def generations(spark, sf_dir):
     hits = hits_df(spark, sf_dir)
     parts = [retrieval.grounded_answer(q, hits), retrieval.prior_answer(q, hits)]
     g = parts[0].unionByName(parts[1])
-    return g.select(F.col("query_id").alias("question_id"), F.lit(None).cast("string").alias("storm_id"),
-                    F.col("query").alias("question"), "model", "answer", "prompt_tokens",
-                    "completion_tokens", "contexts")
+    return materialise(
+        g.select(F.col("query_id").alias("question_id"), F.lit(None).cast("string").alias("storm_id"),
+                 F.col("query").alias("question"), "model", "answer", "prompt_tokens",
+                 "completion_tokens", "contexts"), "generations")
 
 
 @register("benchmark_run")

@@ -39,7 +39,7 @@ def hurdat_parse(spark, sf_dir):
     pts = _radii_points(spark, sf_dir)
     storms = v_storms(spark, sf_dir).withColumn("code", _code())
     hurdat2.write_hurdat2(storms, pts, path)
-    st, pp = hurdat2.read_hurdat2(spark, path)
+    st, pp = hurdat2.read_hurdat2(spark, path, continued=True)
     return (pp.join(st.select("storm_key", "name", F.col("n_track_points").alias("n_declared")), "storm_key")
             .select("storm_id", "obs_time", "record_id", "status", "lat", "lon", "max_wind_kt",
                     "min_pressure_mb", "r34_ne", "r50_ne", "rmw_nm", "n_declared", "name"))
@@ -55,5 +55,5 @@ def hurdat_counts(spark, sf_dir):
     path = scratch_path(spark, "hurdat2")
     storms = v_storms(spark, sf_dir).withColumn("code", _code())
     hurdat2.write_hurdat2(storms, v_points(spark, sf_dir), path)
-    st, pp = hurdat2.read_hurdat2(spark, path)
+    st, pp = hurdat2.read_hurdat2(spark, path, continued=True)
     return hurdat2.count_check(st, pp).select("storm_id", "n_track_points", "n_found", "ok")

@@ -20,7 +20,7 @@ d AS (SELECT question_id, a, b, b - a AS d, ROW_NUMBER() OVER (ORDER BY question
       FROM la JOIN lb USING (question_id)),
 nn AS (SELECT COUNT(*) AS n FROM d),
 draws AS (SELECT r // n AS b, CAST(('0x' || substr(md5('{C.BOOT_SEED}:' || CAST(r // n AS VARCHAR) || ':'
-                                  || CAST(r % n AS VARCHAR)), 1, 8)) AS BIGINT) % n AS idx
+                                  || CAST(r % n AS VARCHAR)), 1, 15)) AS BIGINT) % n AS idx
           FROM nn, range(0, {C.N_BOOT} * (SELECT n FROM nn)) t(r)),
 means AS (SELECT draws.b, AVG(d.d) AS m FROM draws JOIN d ON d.idx = draws.idx GROUP BY 1)"""
 
@@ -44,7 +44,7 @@ def paired_ab_test(spark, sf_dir):
 
 
 @register("preference_pairs", with_views("""
-SELECT substr(sha256(question_id), 1, 12) AS pair_id, question_id, chosen, rejected, chosen_model, rejected_model,
+SELECT sha256(question_id) AS pair_id, question_id, chosen, rejected, chosen_model, rejected_model,
        margin FROM (
   SELECT question_id, COUNT(*) AS n,
          arg_max(event_id, (reward, -event_id)) AS chosen, arg_min(event_id, (reward, -event_id)) AS rejected,

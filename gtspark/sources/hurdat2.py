@@ -29,27 +29,43 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.filter(F.length(F.trim("value")) > 0)
 
 
-def read_hurdat2(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Return (storms, points).
+def _owned(spark: SparkSession, path: str, continued: bool) -> DataFrame:
+    """Lines with the header in force (_owner), by forward fill within a file.
 
-    storms: storm_key (position of the header line), storm_id, basin,
-    cyclone_number, year, name (empty -> UNNAMED), n_track_points.
-    points: storm_key, storm_id, line_no (sortable file position), obs_time, record_id,
-    status, lat, lon, max_wind_kt, min_pressure_mb, 12 radii, rmw_nm.
+    ``continued`` lets a file go on with the last storm of the file before, as
+    the parts of one range-sorted write do.
     """
     ln = _lines(spark, path)
     is_hdr = F.col("value").rlike(HEADER_RE)
-    key = F.struct("file", "block", "pos")
+    key = F.struct("file", "block", "pos", F.trim(F.split("value", ",")[0]).alias("id"))
     ln = ln.withColumn("_hdr", F.when(is_hdr, key))
     # per split: its last header; then the header in force at each split start
     last_per_block = ln.groupBy("file", "block").agg(F.max("_hdr").alias("_last"))
-    carry_w = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    files = Window.orderBy("file", "block") if continued else Window.partitionBy("file").orderBy("block")
+    carry_w = files.rowsBetween(Window.unboundedPreceding, -1)
     carry = last_per_block.select("file", "block",
                                   F.last("_last", ignorenulls=True).over(carry_w).alias("_carry"))
     fill_w = (Window.partitionBy("file", "block").orderBy("pos")
               .rowsBetween(Window.unboundedPreceding, 0))
-    filled = (ln.join(F.broadcast(carry), ["file", "block"])  # one row per split
-              .withColumn("_owner", F.coalesce(F.last("_hdr", ignorenulls=True).over(fill_w), F.col("_carry"))))
+    return (ln.join(F.broadcast(carry), ["file", "block"])  # one row per split
+            .withColumn("_owner", F.coalesce(F.last("_hdr", ignorenulls=True).over(fill_w), F.col("_carry"))))
+
+
+def orphan_lines(spark: SparkSession, path: str, continued: bool = False) -> DataFrame:
+    """Detail lines that no header owns: (file, value)."""
+    ln = _owned(spark, path, continued)
+    return ln.filter(F.col("_owner").isNull()).select("file", "value")
+
+
+def read_hurdat2(spark: SparkSession, path: str, continued: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Return (storms, points).
+
+    storms: storm_key (position of the header line), storm_id, basin,
+    cyclone_number, year, name (empty -> UNNAMED), n_track_points.
+    points: storm_key, storm_id, line_no (sortable file position), obs_time, record_id,
+    status, lat, lon, max_wind_kt, min_pressure_mb, 12 radii, rmw_nm.
+    """
+    filled = _owned(spark, path, continued)
     f = F.split(F.col("value"), ",")
     tok = lambda i: F.trim(F.try_element_at(f, F.lit(i + 1)))
     storm_key = F.concat_ws(":", F.col("_owner.file"), F.col("_owner.block").cast("string"),
@@ -66,7 +82,7 @@ def read_hurdat2(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     details = filled.filter(F.col("_hdr").isNull() & F.col("_owner").isNotNull())
     line_no = F.concat_ws(":", F.col("file"), F.col("block").cast("string"), F.col("pos").cast("string"))
     points = details.select(
-        storm_key.alias("storm_key"),
+        storm_key.alias("storm_key"), F.col("_owner.id").alias("storm_id"),
         line_no.alias("line_key"), F.struct("file", "block", "pos").alias("line_no"),
         fix_time(tok(0), tok(1)).alias("obs_time"),
         F.nullif(tok(2), F.lit("")).alias("record_id"),
@@ -77,8 +93,6 @@ def read_hurdat2(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         missing_int(tok(7)).alias("min_pressure_mb"),
         *[missing_int(tok(8 + i)).alias(r) for i, r in enumerate(RADII)],
         missing_int(tok(20)).alias("rmw_nm"))
-    ids = storms.select("storm_key", "storm_id")
-    points = points.join(ids, "storm_key")
     return storms, points
 
 

@@ -10,5 +10,5 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from gtspark.session import get_session
 
-    s = get_session("local[4]", 4, app_name="gtspark-tests")
+    s = get_session("local[4]", 4, app_name="gtspark-tests", conf={"spark.driver.memory": "4g"})
     yield s
