@@ -105,3 +105,25 @@ PROMPT_TEMPLATES = {
         "Q: {{ query }}\n"
         "A:"),
 }
+
+# fixed values: sentence search and question routing
+SEARCH_STOP_WORDS = ("the a an of in on at to and or for with as is was were by from").split()
+SEARCH_GENERIC_WORDS = (
+    "hurricane hurricanes storm storms tropical cyclone cyclones depression "
+    "landfall landfalls ashore make makes made making came come category cat coast coastal shore "
+    "shoreline north south east west carolina carolinas wind winds kt knots mph gusts surge flooding "
+    "flood floods freshwater rainfall rain rains damage damaging destructive expected anticipated near "
+    "along across produced producing water waters levels level feet foot ft mb millibars pressure "
+    "intensity intense peak peaked maximum sustained season conditions threat threats primary life "
+    "threatening area region inland offshore open atlantic gulf day days today tonight night morning "
+    "week mariners port seas wave waves building move moving track approaching "
+    "nc sc nws forecast discussion newport morehead city public advisory bulletin statement office "
+    "january february march april may june july august september october november december").split()
+SEARCH_STORM_NAMES = (
+    "helene florence dorian irene matthew floyd fran hazel hugo isabel isaias ophelia bonnie arthur bertha "
+    "diana charley frances jeanne katrina rita wilma sandy harvey maria michael irma ian ida nicole idalia "
+    "debby milton fiona beryl gabrielle humberto").split()
+HURRICANE_RE = r"(?i)\b(hurricane|storm|cyclone|typhoon|tropical|landfall|category|saffir|surge|eyewall|nhc)\b"
+IMPACT_RE = (r"(?i)\b(damage|damages|cost|costs|deaths?|died|killed|fatalit|casualt|destroy|billion|million|dollars?"
+             r"|lives?|toll|injur|evacuat|impact)\b")
+GREETING_RE = r"(?i)^(hi|hello|hey|yo|howdy|greetings|good (morning|afternoon|evening)|thanks|thank you|sup)\b"
