@@ -3,100 +3,76 @@
 from __future__ import annotations
 
 from gtspark.operators import marts
-from gtspark.plans.q_truth import TRUTH_BODY, truth_df
+from gtspark.plans.q_truth import truth_df
 from gtspark.plans.registry import register
 from gtspark.plans.views import v_evals, with_views
 
-RATE_SQL = """ROUND(CAST(SUM(CASE WHEN hallucinated THEN 1.0 ELSE 0.0 END) AS DOUBLE)
-          / NULLIF(SUM(CASE WHEN hallucinated IS NOT NULL THEN 1 ELSE 0 END), 0), 3)"""
+RATE_SQL = "round(count(*) FILTER (hallucinated)::DOUBLE / nullif(count(hallucinated), 0), 3)"
 
-LATEST_SQL = """latest AS (
-  SELECT *, DENSE_RANK() OVER (PARTITION BY model ORDER BY run_ts DESC) AS r FROM v_evals)"""
+LATEST_SQL = """newest AS (SELECT model AS of_model, max(run_ts) AS at FROM v_evals GROUP BY model),
+latest AS (SELECT v.* FROM v_evals v JOIN newest n ON n.of_model IS NOT DISTINCT FROM v.model AND n.at = v.run_ts)"""
+
+
+def _mean(c: str, digits: int) -> str:
+    return f"round(avg({c}::DECIMAL(38,12)), {digits})"
+
+
+def _board(prefix: str, latency: str) -> str:
+    scores = ", ".join(f"{_mean(c, 3)} AS {prefix}{c}" for c in ("groundedness", "answer_relevance", "reward"))
+    return (f"SELECT model, count(*) AS n_questions, {scores}, {RATE_SQL} AS hallucination_rate, "
+            f"{_mean('latency_ms', 1)} AS {latency}, round(sum(cost_usd::DECIMAL(38,12))::DOUBLE, 4) AS total_cost_usd "
+            "FROM latest GROUP BY model")
 
 
 def _ev(body: str, *extra: str) -> str:
     return with_views(body, "v_evals", *extra)
 
 
-@register("leaderboard", _ev(f""", {LATEST_SQL}
-SELECT model, COUNT(*) AS n_questions,
-       ROUND(AVG(CAST(groundedness AS DECIMAL(38,12))), 3) AS groundedness,
-       ROUND(AVG(CAST(answer_relevance AS DECIMAL(38,12))), 3) AS answer_relevance,
-       ROUND(AVG(CAST(reward AS DECIMAL(38,12))), 3) AS reward,
-       {RATE_SQL} AS hallucination_rate,
-       ROUND(AVG(CAST(latency_ms AS DECIMAL(38,12))), 1) AS latency_ms,
-       ROUND(SUM(CAST(cost_usd AS DECIMAL(38,12)))::DOUBLE, 4) AS total_cost_usd
-FROM latest WHERE r = 1 GROUP BY model ORDER BY reward DESC"""))
+@register("leaderboard", _ev(f", {LATEST_SQL} {_board('', 'latency_ms')}"))
 def leaderboard(spark, sf_dir):
     """A2 + W2 + O2: latest run per model."""
     return marts.leaderboard(v_evals(spark, sf_dir))
 
 
-@register("leaderboard_mart", _ev(f""", {LATEST_SQL},
-fct AS (
-  SELECT model, groundedness, answer_relevance, reward,
-         CASE WHEN hallucinated THEN 1 ELSE 0 END AS is_hallucination,
-         CASE WHEN hallucinated IS NOT NULL THEN 1 ELSE 0 END AS is_checked,
-         latency_ms, cost_usd FROM latest WHERE r = 1)
-SELECT model, COUNT(*) AS n_questions,
-       ROUND(AVG(CAST(groundedness AS DECIMAL(38,12))), 3) AS mean_groundedness,
-       ROUND(AVG(CAST(answer_relevance AS DECIMAL(38,12))), 3) AS mean_answer_relevance,
-       ROUND(AVG(CAST(reward AS DECIMAL(38,12))), 3) AS mean_reward,
-       ROUND(CAST(SUM(is_hallucination) AS DOUBLE) * 1.0 / NULLIF(SUM(is_checked), 0), 3) AS hallucination_rate,
-       ROUND(AVG(CAST(latency_ms AS DECIMAL(38,12))), 1) AS mean_latency_ms,
-       ROUND(SUM(CAST(cost_usd AS DECIMAL(38,12)))::DOUBLE, 4) AS total_cost_usd
-FROM fct GROUP BY model ORDER BY mean_reward DESC"""))
+@register("leaderboard_mart", _ev(f", {LATEST_SQL} {_board('mean_', 'mean_latency_ms')}"))
 def leaderboard_mart(spark, sf_dir):
     """A2, staged-model variant: the mart table with mean_* names."""
     return marts.leaderboard(v_evals(spark, sf_dir), dbt_names=True)
 
 
 @register("leaderboard_dashboard", _ev(f""", {LATEST_SQL}
-SELECT model, COUNT(question_id) AS questions, AVG(groundedness) AS groundedness,
-       AVG(answer_relevance) AS answer_relevance, AVG(reward) AS reward,
-       COALESCE(AVG(CASE WHEN hallucinated IS NOT NULL THEN CASE WHEN hallucinated THEN 1.0 ELSE 0.0 END END)::DOUBLE, 0.0)
-         AS hallucination_rate,
-       AVG(latency_ms) AS latency_ms
-FROM latest WHERE r = 1 GROUP BY model"""))
+SELECT model, count(question_id) AS questions, avg(groundedness) AS groundedness, avg(answer_relevance) AS answer_relevance,
+       avg(reward) AS reward, coalesce(avg(hallucinated::INTEGER), 0.0)::DOUBLE AS hallucination_rate, avg(latency_ms) AS latency_ms
+FROM latest GROUP BY model"""))
 def leaderboard_dashboard(spark, sf_dir):
     """A3: unrounded, rate 0.0 when nothing checked."""
     return marts.leaderboard_dashboard(v_evals(spark, sf_dir))
 
 
-@register("cost_latency", _ev("""
-SELECT model, ROUND(AVG(CAST(reward AS DECIMAL(38,12))), 3) AS mean_reward, ROUND(AVG(CAST(latency_ms AS DECIMAL(38,12))), 1) AS mean_latency_ms,
-       ROUND(AVG(CAST(cost_usd AS DECIMAL(38,12))), 6) AS mean_cost_per_query
-FROM v_evals GROUP BY model ORDER BY mean_reward DESC"""))
+@register("cost_latency", _ev(f"""
+SELECT model, {_mean('reward', 3)} AS mean_reward, {_mean('latency_ms', 1)} AS mean_latency_ms,
+       {_mean('cost_usd', 6)} AS mean_cost_per_query
+FROM v_evals GROUP BY model"""))
 def cost_latency(spark, sf_dir):
     """A4."""
     return marts.cost_latency(v_evals(spark, sf_dir))
 
 
-@register("halluc_by_storm", with_views("", "v_evals", "v_points", "v_storms").rstrip() + "," + TRUTH_BODY + """
-SELECT e.storm_id, t.name, e.model, COUNT(*) AS checked_questions,
-       CAST(SUM(CASE WHEN e.hallucinated THEN 1 ELSE 0 END) AS BIGINT) AS hallucinations
-FROM v_evals e LEFT JOIN storm_truth t ON t.storm_id = e.storm_id
-WHERE e.hallucinated IS NOT NULL
-GROUP BY e.storm_id, t.name, e.model ORDER BY hallucinations DESC, e.storm_id""")
+@register("halluc_by_storm", _ev("""
+SELECT p.storm_id, s.name, p.model, p.checked_questions, p.hallucinations
+FROM (SELECT storm_id, model, count(hallucinated) AS checked_questions, count(*) FILTER (hallucinated) AS hallucinations
+      FROM v_evals GROUP BY ALL) p LEFT JOIN v_storms s USING (storm_id)
+WHERE p.checked_questions > 0""", "v_storms"))
 def halluc_by_storm(spark, sf_dir):
     """A5 + J4 + F5."""
     return marts.halluc_by_storm(v_evals(spark, sf_dir), truth_df(spark, sf_dir))
 
 
-@register("run_summary", _ev(""",
-med AS (
-  SELECT run_id, latency_ms,
-         ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY latency_ms) AS rn,
-         COUNT(*) OVER (PARTITION BY run_id) AS n
-  FROM v_evals)
-SELECT a.run_id, a.mean_groundedness, a.mean_answer_relevance, a.hallucination_rate, a.total_cost_usd,
-       m.latency_ms AS p50_latency_ms
-FROM (SELECT run_id, AVG(groundedness) AS mean_groundedness, AVG(answer_relevance) AS mean_answer_relevance,
-             COALESCE(CAST(SUM(CASE WHEN hallucinated THEN 1.0 ELSE 0.0 END) AS DOUBLE)
-               / NULLIF(SUM(CASE WHEN hallucinated IS NOT NULL THEN 1 ELSE 0 END), 0), 0.0) AS hallucination_rate,
-             SUM(cost_usd) AS total_cost_usd
-      FROM v_evals GROUP BY run_id) a
-JOIN med m ON m.run_id = a.run_id AND m.rn = m.n // 2 + 1"""))
+@register("run_summary", _ev("""
+SELECT run_id, avg(groundedness) AS mean_groundedness, avg(answer_relevance) AS mean_answer_relevance,
+       coalesce(count(*) FILTER (hallucinated)::DOUBLE / nullif(count(hallucinated), 0), 0.0) AS hallucination_rate,
+       sum(cost_usd) AS total_cost_usd, list_sort(list(latency_ms))[count(*) // 2 + 1] AS p50_latency_ms
+FROM v_evals GROUP BY run_id"""))
 def run_summary(spark, sf_dir):
     """Per-run summary with the upper-median latency."""
     return marts.run_summary(v_evals(spark, sf_dir))
@@ -114,12 +90,9 @@ def run_history(spark, sf_dir):
 
 
 @register("checked_summary", _ev("""
-SELECT model,
-       AVG(CASE WHEN hallucinated IS NOT NULL THEN groundedness END) AS checked_groundedness,
-       AVG(CASE WHEN hallucinated IS NOT NULL THEN answer_relevance END) AS checked_answer_relevance,
-       AVG(CASE WHEN hallucinated IS NOT NULL THEN CASE WHEN hallucinated THEN 1.0 ELSE 0.0 END END)::DOUBLE
-         AS hallucination_rate,
-       AVG(groundedness) AS groundedness
+SELECT model, avg(groundedness) FILTER (hallucinated IS NOT NULL) AS checked_groundedness,
+       avg(answer_relevance) FILTER (hallucinated IS NOT NULL) AS checked_answer_relevance,
+       avg(hallucinated::INTEGER)::DOUBLE AS hallucination_rate, avg(groundedness) AS groundedness
 FROM v_evals GROUP BY model"""))
 def checked_summary(spark, sf_dir):
     """A8."""
@@ -136,23 +109,24 @@ def sweep_summary(spark, sf_dir):
 
 
 @register("eval_gate", _ev("""
-SELECT model, rate, 0.1::DOUBLE AS threshold, rate <= 0.1 AS passed FROM (
-  SELECT model, COALESCE(AVG(CASE WHEN hallucinated IS NOT NULL THEN CASE WHEN hallucinated THEN 1.0 ELSE 0.0 END END)::DOUBLE, 0.0) AS rate
-  FROM v_evals GROUP BY model)"""))
+SELECT *, rate <= threshold AS passed
+FROM (SELECT model, coalesce(avg(hallucinated::INTEGER), 0.0)::DOUBLE AS rate, 0.1::DOUBLE AS threshold
+      FROM v_evals GROUP BY model)"""))
 def eval_gate(spark, sf_dir):
     """A16 + E18 with the default 0.10 threshold."""
     return marts.eval_gate(v_evals(spark, sf_dir))
 
 
 @register("quality_tests", _ev(f""", {LATEST_SQL},
-fct AS (SELECT * FROM latest WHERE r = 1),
-board AS (SELECT model, COUNT(*) AS n FROM fct GROUP BY model)
-SELECT 'fct_evaluations.model.not_null' AS test, COUNT(*) FILTER (WHERE model IS NULL) AS failures FROM fct
-UNION ALL SELECT 'fct_evaluations.reward.not_null', COUNT(*) FILTER (WHERE reward IS NULL) FROM fct
-UNION ALL SELECT 'agg_model_performance.model.not_null', COUNT(*) FILTER (WHERE model IS NULL) FROM board
-UNION ALL SELECT 'agg_model_performance.model.unique', COUNT(*) FROM
-  (SELECT model FROM board WHERE model IS NOT NULL GROUP BY model HAVING COUNT(*) > 1)""").replace(
-    "SELECT 'fct", "SELECT *, failures = 0 AS passed FROM (SELECT 'fct", 1) + ")")
+boards AS (SELECT model FROM latest GROUP BY model),
+found AS (
+  SELECT unnest([
+    {{'test': 'fct_evaluations.model.not_null', 'failures': (SELECT count(*) - count(model) FROM latest)}},
+    {{'test': 'fct_evaluations.reward.not_null', 'failures': (SELECT count(*) - count(reward) FROM latest)}},
+    {{'test': 'agg_model_performance.model.not_null', 'failures': (SELECT count(*) - count(model) FROM boards)}},
+    {{'test': 'agg_model_performance.model.unique', 'failures': (SELECT count(model) - count(DISTINCT model) FROM boards)}}
+  ]) AS f)
+SELECT f.test AS test, f.failures AS failures, f.failures = 0 AS passed FROM found"""))
 def quality_tests(spark, sf_dir):
     """The staged-model tests as a violations table."""
     ev = v_evals(spark, sf_dir)
