@@ -244,6 +244,22 @@ def retrieve(queries: DataFrame, chunks: DataFrame, chunk_vec: DataFrame | None
     return materialise(r, "hits")  # at most k rows a query; answers and metrics read it many times
 
 
+# ---------------------------------------------------------------------------
+# SNK5 persisted index
+# ---------------------------------------------------------------------------
+
+def save_index(chunks: DataFrame, path: str, dim: int = C.EMBEDDING_DIM) -> None:
+    """Write the chunk table and its vectors under ``path``; a rerun writes the same index."""
+    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    stored = chunks.sparkSession.read.parquet(f"{path}/chunks")
+    embed(stored, "chunk_id", "text", dim).write.mode("overwrite").parquet(f"{path}/vectors")
+
+
+def load_index(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(chunks, vectors) of a saved index, for ``retrieve(..., chunk_vec=...)``."""
+    return spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors")
+
+
 # ---------------------------------------------------------------------------
 # T10-T12 answers
 # ---------------------------------------------------------------------------

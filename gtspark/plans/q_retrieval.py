@@ -8,6 +8,7 @@ from gtspark import config as C
 from gtspark.operators import retrieval
 from gtspark.plans.q_text import CHUNKS_SQL, CORPUS_SQL, corpus, hashed_sql, tokens_sql
 from gtspark.plans.registry import register
+from gtspark.session import scratch_path
 from gtspark.plans.views import table, v_queries, with_views
 
 K = C.TOP_K
@@ -77,6 +78,17 @@ def retrieve_rerank(spark, sf_dir):
     return h.select("query_id", "rank", "chunk_id", "doc_id", "text", F.round("score", 6).alias("score"))
 
 
+@register("index_roundtrip", RETRIEVE_SQL + """
+SELECT query_id, rank, chunk_id, doc_id, round(score, 6) AS score FROM hits""")
+def index_roundtrip(spark, sf_dir):
+    """SNK5 E21: the corpus index saved, loaded and searched."""
+    path = scratch_path(spark, "index")
+    retrieval.save_index(chunk_table(spark, sf_dir), path)
+    chunks, vectors = retrieval.load_index(spark, path)
+    h = retrieval.retrieve(v_queries(spark, sf_dir), chunks, vectors, k=K, top_k=K)
+    return h.select("query_id", "rank", "chunk_id", "doc_id", F.round("score", 6).alias("score"))
+
+
 def answer_ctes(bonus: bool = True, prior: bool = False) -> str:
     """RETRIEVE_SQL plus CTEs ending in ``ans`` (query_id, query, context, contexts, answer)."""
     full = _answer_sql(bonus, "", prior)
