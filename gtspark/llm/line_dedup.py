@@ -4,8 +4,10 @@ Lines are compared after trimming ASCII white space and lowering A-Z; blank
 lines are never touched.  Equal lines collapse first.  A distinct line's
 signature is one minimum per bin over its character shingles (one-permutation
 MinHash, empty bins filled from the next full one); ``bands`` keys of ``rows``
-minima each give candidates: 1 - (1 - s^4)^9 is 0.99 at similarity 0.8 and
-0.999 at 0.9.  Candidates are verified by the exact Jaccard similarity of
+minima each give candidates: 1 - (1 - s^5)^12 is 0.99 at similarity 0.8 and
+0.9999 at 0.9.  Candidates whose 64 one-bit minima differ in more than
+``MOST_BITS`` places are too far apart (at similarity 0.8 that is one pair in
+two thousand).  The others are verified by the exact Jaccard similarity of
 their shingle sets, and distributed union-find (see ``linking``) makes the
 components, of which one line stays: the first occurrence (smallest doc_id,
 then line number) of the line whose id is the component's.
@@ -28,8 +30,11 @@ from pyspark.sql import functions as F
 from . import textbytes as T
 from .common import store
 from .linking import components, link
+from .sketch import sketch, thinned
 
-SHINGLE, BANDS, ROWS, PERCENT = 9, 9, 4, 80
+SHINGLE, BANDS, ROWS, PERCENT = 9, 12, 5, 80
+BINS = 64                # at least BANDS * ROWS; each also gives one bit of a line's 64-bit sketch
+MOST_BITS = 15           # pairs of similarity 0.8 differ in 6.4 of 64 bits on average, 15 is 3.5 deviations more
 _U = np.uint64
 _CHARS = T.stream(31, 2 * 0x110000).reshape(2, -1)
 _CHARS[:, 65:91] = _CHARS[:, 97:123]
@@ -78,23 +83,24 @@ class Chars:
 
 
 def band_keys(hashes, span, n: int, bands: int, rows: int):
-    """(n, bands) keys from one-permutation signatures of ``bands * rows`` bins."""
-    bins = bands * rows
+    """(n, bands) keys and n 64-bit sketches from one-permutation signatures of ``BINS`` bins."""
     none = _U(0xFFFFFFFFFFFFFFFF)
-    sig = np.full(n * bins, none, _U)
-    cell = span * bins + (hashes % _U(bins)).astype(np.int64)
+    sig = np.full(n * BINS, none, _U)
+    cell = span * BINS + (hashes % _U(BINS)).astype(np.int64)
     np.minimum.at(sig, cell, T.mix(hashes))
-    sig = sig.reshape(n, bins)
-    for _ in range(bins):
+    sig = sig.reshape(n, BINS)
+    for _ in range(BINS):
         empty = sig == none
         if not empty.any():
             break
         sig = np.where(empty, np.roll(sig, -1, axis=1) + _U(1), sig)
         sig[empty & (sig == _U(0))] = none                     # the next bin was empty too
     keys = np.zeros((n, bands), _U)
+    own = sig[:, :bands * rows].reshape(n, bands, rows)
     for j in range(rows):
-        keys = T.mix(keys + sig.reshape(n, bands, rows)[:, :, j] + _U(j))
-    return T.mix(keys + T.stream(33, bands)[None, :])
+        keys = T.mix(keys + own[:, :, j] + _U(j))
+    bits = ((T.mix(sig) & _U(1)) << np.arange(BINS, dtype=_U)).sum(1, dtype=_U)
+    return T.mix(keys + T.stream(33, bands)[None, :]), bits
 
 
 def _texts(col, size: int = 1 << 19):
@@ -110,7 +116,7 @@ def _texts(col, size: int = 1 << 19):
         yield lo, own
 
 
-LINES = "id long, check long, doc_id long, line_no int, n int, bands array<long>"
+LINES = "id long, check long, doc_id long, line_no int, n int, bits long, bands array<long>"
 
 
 def _lines(k: int, bands: int, rows: int):
@@ -128,19 +134,34 @@ def _lines(k: int, bands: int, rows: int):
                 at = np.flatnonzero(first)
                 n = np.diff(np.append(at, len(h)))
                 text, number, starts, ends, h = (x[order][at] for x in (text, number, starts, ends, h))
-                keys = np.zeros((len(at), bands), _U)
+                keys, bits = np.zeros((len(at), bands), _U), np.zeros(len(at), _U)
                 for i in range(0, len(at), 4096):
                     s, e = starts[i:i + 4096], ends[i:i + 4096]
-                    keys[i:i + 4096] = band_keys(*c.shingles(s, e, k), len(s), bands, rows)
+                    keys[i:i + 4096], bits[i:i + 4096] = band_keys(*c.shingles(s, e, k), len(s), bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(c.hash(starts, ends, 1).view(np.int64)),
                      ids.take(pa.array(lo + text)), pa.array(number, pa.int32()), pa.array(n, pa.int32()),
-                     pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * bands,
+                     pa.array(bits.view(np.int64)), pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * bands,
                                               pa.array(keys.ravel().view(np.int64)))],
                     [x.split()[0] for x in LINES.split(", ")])
     return run
 
 
+def _postings(keys):
+    """Band keys that may be shared, one row each."""
+    def run(batches):
+        for batch in batches:
+            bands = batch.column("bands")
+            first = bands.offsets.to_numpy()
+            own = bands.values.to_numpy(zero_copy_only=False)[first[0]:first[-1]]
+            at = np.flatnonzero(keys.value.has(own))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))[at]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[at]), *(batch.column(c).take(pa.array(row)) for c in ("id", "w", "bits"))],
+                ["key", "id", "w", "bits"])
+    return run
+
+
 def _extract(batches):
     """Texts of the wanted lines of each document."""
     for batch in batches:
@@ -191,20 +212,29 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
         F.min("doc_id").alias("doc_id"), F.min_by("line_no", "doc_id").alias("line_no"),
         F.sum("n").alias("n"), (F.min("check") != F.max("check")).alias("clash")), "line_classes")
     sound = classes.where(~F.col("clash"))
-    reps = lines.join(sound.select("id", "doc_id", "line_no"), ["id", "doc_id", "line_no"], "leftsemi")
-    postings = reps.select("id", F.explode("bands").alias("key")).select("key", "id")
+    reps = lines.drop("n").join(sound.select("id", "doc_id", "line_no", "n"), ["id", "doc_id", "line_no"])
+    often = F.col("n") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))       # the most frequent line leads
+    reps = store(reps.select("id", often.alias("w"), "bits", "bands"), "line_reps")
+    keys = (reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
+            .where(F.col("__n") > 1).select("key"))
+    postings = reps.mapInArrow(_postings(sketch(keys)), "key long, id long, w long, bits long")
+
+    def bound(x, y):
+        return F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= MOST_BITS
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         want = (sound.join(ids, "id", "leftsemi").groupBy("doc_id")
                 .agg(F.collect_list(F.struct("id", "line_no")).alias("want")))
-        text = store(src.join(want.hint("shuffle_hash"), "doc_id").select("text", "want")
+        want = store(want, "line_places")
+        own = thinned(src, "doc_id", sketch(want.select("doc_id")))
+        text = store(own.join(want.hint("shuffle_hash"), "doc_id").select("text", "want")
                      .mapInArrow(_extract, "id long, line string").dropDuplicates(["id"]), "line_texts")
         both = (pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
                 .join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
         return both.select("a", "b", "x", "y").mapInArrow(_exact(shingle, percent), "a long, b long")
 
-    found = store(components(link(postings, verify)), "line_components")
+    found = store(components(link(postings, verify, bound)), "line_components")
     kept = (found.where(F.col("id") == F.col("component")).select("component")
             .join(sound.select(F.col("id").alias("component"), F.col("doc_id").alias("keep_doc"),
                                F.col("line_no").alias("keep_line")), "component"))

@@ -6,7 +6,7 @@ keys Spark can split; nothing is collected per node or on the driver.
 
 ``link`` finds links that span the components of the graph "share a key and pass ``verify``"
 without emitting all pairs of a key's rows.  First every row is verified
-against one leader, the smallest id of the key that the two share most often;
+against one leader, that of the keys it shares most often;
 that ties large groups of copies together in a linear number of pairs.  Then
 only pairs whose components still differ are verified, all of them, so no
 link that would join two components is missed.
@@ -53,28 +53,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
          bound: Callable[[str, str], Column] | None = None) -> DataFrame:
-    """Links (a, b) among ``postings`` (key, id, ...) that span their components.
+    """Links (a, b) among ``postings`` (key, id, w, ...) that span their components.
 
-    ``verify`` keeps those pairs (a, b) that link; ``bound`` is a cheap
-    necessary condition on the postings of a pair, given their two aliases.
+    The id of the largest weight ``w`` leads a key.  ``verify`` keeps those
+    pairs (a, b) that link; ``bound`` is a cheap necessary condition on the
+    postings of a pair, given their two aliases.
     """
-    keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("leader"))
-    shared = store(postings.join(keys.where(F.col("__n") > 1).drop("__n"), "key"), "shared")
-    star = (shared.where(F.col("id") != F.col("leader")).groupBy("leader", "id").count()
-            .groupBy("id").agg(F.max_by("leader", "count").alias("a"))
-            .select("a", F.col("id").alias("b")))
+    shared = store(postings, "shared")
+    own = F.struct(*[c for c in shared.columns if c != "key"])
+    leads = (shared.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.max_by(own, "w").alias("__l"))
+             .where(F.col("__n") > 1).select("key", "__l.*"))
+
+    def candidates(x, y, on):
+        on = (F.col("x.key") == F.col("y.key")) & on
+        if bound is not None:
+            on = on & bound("x", "y")
+        return x.alias("x").join(y.alias("y"), on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    star = (candidates(leads, shared, F.col("x.id") != F.col("y.id")).groupBy("a", "b").count()
+            .groupBy("b").agg(F.max_by("a", "count").alias("a")).select("a", "b"))
     first = store(verify(store(star, "pairs")), "links")
     own = components(first)
-    tagged = (shared.drop("leader").join(own, "id", "left")
-              .withColumn("component", F.coalesce("component", "id")))
+    tagged = shared.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where(F.col("lo") != F.col("hi")).select("key"))
     tagged = store(tagged.join(mixed, "key", "leftsemi"), "mixed")
-    x, y = tagged.alias("x"), tagged.alias("y")
-    on = ((F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))
-          & (F.col("x.component") != F.col("y.component")))
-    if bound is not None:
-        on = on & bound("x", "y")
-    pairs = x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    pairs = candidates(tagged, tagged, (F.col("x.id") < F.col("y.id"))
+                       & (F.col("x.component") != F.col("y.component"))).distinct()
     second = store(verify(store(pairs, "pairs")), "links")
     return first.union(second)

@@ -2,8 +2,9 @@
 
 Every document becomes the set of its distinct word n-grams under one global
 order, rarest first.  Two sets of Jaccard similarity ``t`` share a token among
-their rarest ``n - ceil(t n) + 1``, which yields the candidates; length and
-positional bounds thin them.  Candidates of one probe are stored in a prefix
+their rarest ``n - ceil(t n) + 1``, which yields the candidates; bounds on
+length, position and the number of tokens that no other document's prefix holds
+thin them.  Candidates of one probe are stored in a prefix
 tree (their sets, most frequent token first, so copies share long paths) that
 the probe walks once: the overlap up to a branching point is counted once for
 all sets below it, and a subtree is left as soon as overlap plus remaining
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from . import textbytes as T
 from .common import store
 from .linking import components, link
+from .sketch import sketch, thinned
 
 NGRAM, PERCENT = 4, 85
 COUNT_BUCKETS = 1 << 20
@@ -125,19 +127,14 @@ def _prefixes(shared, k: int, percent: int):
     return run
 
 
-def _ordered(shared, k: int):
-    """doc_id and its whole set, most frequent token first."""
-    def run(batches):
-        counts = shared.value
-        for batch in batches:
-            for lo, data, offs in T.slices(batch.column("text")):
-                s, first = _sets(data, offs, k)
-                s = _ranked(s, first, counts)
-                r = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                s = s[(first[:-1] + first[1:] - 1)[r] - np.arange(len(s))]      # each row reversed
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, len(first) - 1), _lists(s, first)], ["id", "tokens"])
-    return run
+def _ordered(col, counts, k: int):
+    """Each row's whole set, most frequent token first."""
+    for _, data, offs in T.slices(col):
+        s, first = _sets(data, offs, k)
+        s = _ranked(s, first, counts)
+        r = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        s = s[(first[:-1] + first[1:] - 1)[r] - np.arange(len(s))]
+        yield from np.split(s, first[1:-1])
 
 
 class PrefixTree:
@@ -173,8 +170,8 @@ class PrefixTree:
         return found
 
 
-def _walk(percent: int):
-    """Walk one tree per (a, chunk); rows arrive sorted, the probe's own row first."""
+def _walk(shared, k: int, percent: int):
+    """Walk one tree per (a, chunk); rows arrive sorted, the probes' own rows first."""
     def run(batches):
         key, probes, ids, sets = None, [], [], []
 
@@ -187,48 +184,85 @@ def _walk(percent: int):
         for batch in batches:
             out = []
             a, c, b = (batch.column(x).to_pylist() for x in ("a", "chunk", "b"))
-            tokens = batch.column("tokens")
-            flat, first = tokens.values.to_numpy(zero_copy_only=False), tokens.offsets.to_numpy()
-            for i in range(len(a)):
-                own = flat[first[i]:first[i + 1]].copy()
+            for i, own in enumerate(_ordered(batch.column("text"), shared.value, k)):
                 if (a[i], c[i]) != key or len(ids) >= 2 * CHUNK:
                     out += flush()
                     ids, sets = [], []
                     if (a[i], c[i]) != key:
                         key, probes = (a[i], c[i]), []
                 if b[i] is None:
-                    probes.append(own)
+                    probes.append(own.copy())
                 else:
                     ids.append(b[i])
-                    sets.append(own)
+                    sets.append(own.copy())
             yield _pairs(out)
         yield _pairs(flush())
     return run
 
 
+def _send(batches):
+    """One row per place that needs a document's text."""
+    for batch in batches:
+        to = batch.column("to")
+        n = np.diff(to.offsets.to_numpy())
+        flat = to.flatten()
+        yield pa.RecordBatch.from_arrays(
+            [flat.field("a"), flat.field("chunk"), flat.field("b"),
+             batch.column("text").take(pa.array(np.repeat(np.arange(len(n)), n)))], ["a", "chunk", "b", "text"])
+
+
 def _pairs(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
 def verifier(docs: DataFrame, shared, k: int, percent: int):
-    """Pairs (a, b) -> those whose n-gram sets are similar enough."""
+    """Pairs (a, b) -> those whose n-gram sets are similar enough.
+
+    Only the texts of paired documents are moved: to their document's row of
+    places (thinned by a sketch of the ids first), then to their trees.
+    """
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        sets = store(docs.join(ids, "doc_id", "leftsemi")
-                     .mapInArrow(_ordered(shared, k), "id long, tokens array<long>"), "sets")
         size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
         chunked = pairs.join(size, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), "chunks"))
-        members = chunked.select("a", "chunk", "b").join(
-            sets.select(F.col("id").alias("b"), "tokens"), "b").select("a", "chunk", "b", "tokens")
-        probes = (chunked.select("a", "chunk").distinct()
-                  .join(sets.select(F.col("id").alias("a"), "tokens"), "a")
-                  .select("a", "chunk", F.lit(None).cast("long").alias("b"), "tokens"))
-        rows = members.union(probes).repartition("a", "chunk").sortWithinPartitions(
-            "a", "chunk", F.col("b").asc_nulls_first())
-        return rows.mapInArrow(_walk(percent), "a long, b long").distinct()
+        places = (chunked.select(F.col("b").alias("doc_id"), "a", "chunk", "b")
+                  .union(chunked.select(F.col("a").alias("doc_id"), "a", "chunk", F.lit(None).cast("long")).distinct()))
+        places = store(places.groupBy("doc_id").agg(F.collect_list(F.struct("a", "chunk", "b")).alias("to")), "places")
+        own = thinned(docs, "doc_id", sketch(places.select("doc_id")))
+        rows = (own.join(places.hint("shuffle_hash"), "doc_id").select("text", "to")
+                .mapInArrow(_send, "a long, chunk long, b long, text string")
+                .repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first()))
+        return rows.mapInArrow(_walk(shared, k, percent), "a long, b long").distinct()
     return verify
 
 
+def _postings(keys):
+    """Prefix tokens that may be shared, one row each.
+
+    ``live`` counts the row's shared tokens before this one and ``most`` is the
+    set's size less its unshared prefix tokens: no overlap can be larger.
+    """
+    def run(batches):
+        for batch in batches:
+            prefix = batch.column("prefix")
+            first = prefix.offsets.to_numpy()
+            own = prefix.values.to_numpy(zero_copy_only=False)[first[0]:first[-1]]
+            first = first - first[0]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            ok = keys.value.has(own)
+            upto = np.concatenate([[0], np.cumsum(ok)])
+            n = batch.column("n").to_numpy()
+            most = n - np.diff(first) + (upto[first[1:]] - upto[first[:-1]])
+            at = np.flatnonzero(ok)
+            r = row[at]
+            ids = batch.column("doc_id").take(pa.array(r))
+            weight = (most[r] << 20) // n[r] * 1024 + (T.mix(ids.to_numpy().view(np.uint64)) >> np.uint64(54)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[at]), ids, pa.array(weight), pa.array(n[r]), pa.array(at - first[r], pa.int32()),
+                 pa.array(upto[at] - upto[first[r]], pa.int32()), pa.array(most[r], pa.int64())],
+                ["key", "id", "w", "n", "pos", "live", "most"])
+    return run
+
+
 def similarity_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
                           count_buckets: int = COUNT_BUCKETS) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per document."""
@@ -241,17 +275,19 @@ def similarity_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PE
     classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("__m"))
     reps = full.join(classes.select("n", "f1", "f2", F.col("rep").alias("doc_id")),
                      ["n", "f1", "f2", "doc_id"], "leftsemi").dropDuplicates(["n", "f1", "f2", "doc_id"])
-    postings = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("pos", "key"))
+    reps = store(reps.select("doc_id", "n", "prefix"), "ngram_reps")
+    keys = (reps.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
+            .where(F.col("__n") > 1).select("key"))
+    postings = reps.mapInArrow(_postings(sketch(keys)), "key long, id long, w long, n long, pos int, live int, most long")
 
     def bound(x, y):
-        c = {(s, v): F.col(f"{s}.{v}") for s in (x, y) for v in ("n", "pos")}
-        total = c[x, "n"] + c[y, "n"]
-        most = (F.least(c[x, "pos"], c[y, "pos"]) + 1
-                + F.least(c[x, "n"] - c[x, "pos"], c[y, "n"] - c[y, "pos"]) - 1)
+        c = {(s, v): F.col(f"{s}.{v}") for s in (x, y) for v in ("n", "pos", "live", "most")}
+        ahead = F.least(c[x, "n"] - c[x, "pos"], c[y, "n"] - c[y, "pos"])
+        most = F.least(F.least(c[x, "live"], c[y, "live"]) + ahead, c[x, "most"], c[y, "most"])
         return ((100 * F.least(c[x, "n"], c[y, "n"]) >= percent * F.greatest(c[x, "n"], c[y, "n"]))
-                & ((100 + percent) * most >= percent * total))
+                & ((100 + percent) * most >= percent * (c[x, "n"] + c[y, "n"])))
 
-    links = link(postings.select("key", "id", "n", "pos"), verifier(docs, shared, ngram, percent), bound)
+    links = link(postings, verifier(docs, shared, ngram, percent), bound)
     copies = (full.join(classes.where(F.col("__m") > 1), ["n", "f1", "f2"])
               .select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     found = components(copies.union(links)).withColumnRenamed("id", "doc_id")
