@@ -109,7 +109,7 @@ def train(features: DataFrame, **kw) -> PipelineModel:
 def predict(model: PipelineModel, features: DataFrame) -> DataFrame:
     """M5 + M6: predicted class, confidence (max probability) and the basis text."""
     p = model.transform(features)
-    basis = F.concat_ws(", ", *[F.format_string(f"{c}=%d", F.col(c).cast("long")) for c in FEATURES])
+    basis = F.concat_ws(", ", *[F.format_string(f"{c}=%d", F.bround(F.col(c), 0).cast("long")) for c in FEATURES])
     return (p.withColumn("predicted", F.col("prediction").cast("int"))
             .withColumn("confidence", F.array_max(vector_to_array("probability")))
             .withColumn("basis", basis)

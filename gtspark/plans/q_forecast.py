@@ -69,6 +69,26 @@ def year_split(spark, sf_dir):
     return forecast.year_split(features_df(spark, sf_dir)).select("storm_id", "year", "split")
 
 
+@register("majority_share", TRACK_SQL + """
+SELECT max(n) / sum(n) AS majority_share FROM (SELECT label, count(*) AS n FROM tf GROUP BY label)""")
+def majority_share(spark, sf_dir):
+    """Share of the largest class among the track rows."""
+    return forecast.majority_share(features_df(spark, sf_dir))
+
+
+@register("fit_counts", TRACK_SQL + """,
+yrs AS (SELECT DISTINCT year FROM tf),
+held AS (SELECT year FROM yrs ORDER BY md5('3:' || CAST(year AS VARCHAR)), year
+         LIMIT (SELECT greatest(1, CAST(floor(COUNT(*) * 0.25) AS BIGINT)) FROM yrs))
+SELECT count(*) FILTER (year NOT IN (SELECT year FROM held)) AS n_train,
+       count(*) FILTER (year IN (SELECT year FROM held)) AS n_test FROM tf""")
+def fit_counts(spark, sf_dir):
+    """M7: rows that the fit trains on and holds out, by year."""
+    split = forecast.year_split(features_df(spark, sf_dir))
+    return split.groupBy().agg(F.count_if(F.col("split") == "train").alias("n_train"),
+                               F.count_if(F.col("split") == "test").alias("n_test"))
+
+
 @register("confusion", with_views("""
 SELECT g.actual, g.predicted, CAST(coalesce(c.n, 0) AS BIGINT) AS n
 FROM (SELECT a.x AS actual, p.x AS predicted FROM (SELECT unnest([0,1,2,3,4,5]) AS x) a,

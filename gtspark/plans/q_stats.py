@@ -25,22 +25,41 @@ draws AS (SELECT r // n AS b, CAST(('0x' || substr(md5('{C.BOOT_SEED}:' || CAST(
 means AS (SELECT draws.b, AVG(d.d) AS m FROM draws JOIN d ON d.idx = draws.idx GROUP BY 1)"""
 
 
-@register("paired_ab", with_views(_PAIRED_SQL + f"""
+_AB_SQL = f"""
 SELECT '{METRIC}' AS metric, '{MODEL_A}' AS model_a, '{MODEL_B}' AS model_b, s.n, s.mean_a, s.mean_b, s.diff,
        c.ci_low, c.ci_high, s.diff / (s.sd / sqrt(s.n)) AS t_stat, s.max_abs
 FROM (SELECT COUNT(*) AS n, AVG(a) AS mean_a, AVG(b) AS mean_b, AVG(d) AS diff, stddev_samp(d) AS sd,
              MAX(abs(d)) AS max_abs FROM d) s,
      (SELECT quantile_cont(m, {C.ALPHA / 2}) AS ci_low, quantile_cont(m, {1 - C.ALPHA / 2}) AS ci_high
-      FROM means) c""", "v_evals"))
+      FROM means) c"""
+
+
+@register("paired_ab", with_views(_PAIRED_SQL + _AB_SQL, "v_evals"))
 def paired_ab(spark, sf_dir):
     """m1 vs m0 on groundedness, 10,000 hashed bootstrap resamples."""
     return stats.paired_ab(v_evals(spark, sf_dir), METRIC, MODEL_A, MODEL_B)
 
 
-@register("paired_ab_test")
+# two-sided tail of Student's t: the density integrated by Simpson's rule in 4,000 steps
+_P_SQL = """area AS (
+  SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+             * pow(1 + pow(i * abs(t_stat) / 4000, 2) / (n - 1), -n / 2.0)) * abs(any_value(t_stat)) / 12000
+         * exp(lgamma(any_value(n) / 2.0) - lgamma((any_value(n) - 1) / 2.0)) / sqrt((any_value(n) - 1) * pi()) AS half
+  FROM ab, range(0, 4001) r(i)),
+tested AS (SELECT ab.*, CASE WHEN max_abs <= 1e-8 THEN 1.0 ELSE 1 - 2 * half END AS p FROM ab, area),
+judged AS (SELECT *, p < {alpha} AND ci_low * ci_high > 0 AS significant FROM tested)
+SELECT metric, model_a, model_b, n, diff, ci_low, ci_high, t_stat, round(p, 6) AS p_value, significant,
+       printf('%s: %s - %s = %+.3f (95%% CI [%+.3f, %+.3f], p=%.4f, %s)', metric, model_b, model_a, diff, ci_low, ci_high, p,
+              CASE WHEN significant THEN 'significant' ELSE 'not significant' END) AS summary
+FROM judged"""
+
+
+@register("paired_ab_test", with_views(_PAIRED_SQL + ",\nab AS (" + _AB_SQL + "),\n" + _P_SQL.format(alpha=C.ALPHA), "v_evals"))
 def paired_ab_test(spark, sf_dir):
     """The same plus the t-test p-value, significance and summary line."""
-    return stats.paired_ab_test(v_evals(spark, sf_dir), METRIC, MODEL_A, MODEL_B)
+    r = stats.paired_ab_test(v_evals(spark, sf_dir), METRIC, MODEL_A, MODEL_B)
+    return r.select("metric", "model_a", "model_b", "n", "diff", "ci_low", "ci_high", "t_stat",
+                    F.round("p_value", 6).alias("p_value"), "significant", "summary")
 
 
 @register("preference_pairs", with_views("""

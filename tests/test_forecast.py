@@ -23,3 +23,21 @@ def test_report_and_confusion(spark):
     assert abs(rep.macro_f1 - (1 + 2 / 3) / 5) < 1e-12
     cm = forecast.confusion(df)
     assert cm.count() == 36 and cm.agg(F.sum("n")).first()[0] == 4
+
+
+def test_fit_beats_the_majority_class(spark):
+    import random
+
+    from gtspark.operators import forecast
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        x = [rng.uniform(0, 100) for _ in forecast.FEATURES]
+        rows.append((str(i), 1980 + i % 40, min(5, int(x[0] // 17)), *x))
+    feats = spark.createDataFrame(rows, ["storm_id", "year", "label", *forecast.FEATURES])
+    rep, confusion, _ = forecast.evaluate(feats, n_trees=20)
+    share = forecast.majority_share(feats).first()[0]
+    r = rep.first()
+    assert r.accuracy > share + 0.2 and r.n_train + r.n_test == 400 and r.n_test == r.n
+    assert confusion.agg({"n": "sum"}).first()[0] == r.n
