@@ -82,29 +82,44 @@ def nearest_within(fixes: DataFrame, obs: DataFrame, hours: float = 3.0, km: flo
                    fix_id: str = "fix_id", obs_id: str = "obs_id") -> DataFrame:
     """Nearest observation within ``hours`` and ``km`` of each fix (else NULL).
 
-    Keys: time bucket of ``hours`` and latitude band of at least ``km``; each
-    fix is replicated to the 3 x 3 neighbouring keys, observations stay put.
-    The band and distance tests are residual conditions on the candidates.
+    Keys: time bucket of ``hours``, latitude band of at least ``km`` and, within
+    the band, a longitude cell at least as wide as ``km`` is anywhere in the
+    band and its neighbours.  Each fix is replicated to the neighbouring keys
+    (3 x 3 x at most 3), observations stay put; the time and distance tests
+    are residual conditions on the candidates.
     """
     span_s = int(hours * 3600)
     band = max(km / 111.0, 0.5)
     epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 
+    def cells(lb):
+        """Number of longitude cells of a band: one where a pole is near."""
+        top = F.least(F.lit(90.0), F.greatest(F.abs((lb - 1) * band - 90.0), F.abs((lb + 2) * band - 90.0)))
+        half = F.lit(math.sin(km / C.EARTH_RADIUS_KM / 2)) / F.greatest(F.cos(F.radians(top)), F.lit(1e-12))
+        return F.when(half >= 1, F.lit(1)).otherwise(
+            F.greatest(F.lit(1), F.floor(F.lit(360.0) / (2 * F.degrees(F.asin(F.least(half, F.lit(1.0)))))))).cast("int")
+
+    def cell(lon, n):
+        return F.pmod(F.floor((F.col(lon) + 180.0) / 360.0 * n).cast("int"), n)
+
     def keys(df, t, lat):
         secs = F.timestamp_diff("SECOND", epoch, F.col(t))
         return df.withColumn("_tb", F.floor(secs / span_s)).withColumn("_lb", F.floor((F.col(lat) + 90.0) / band))
 
     o = keys(obs.select(F.col(obs_id).alias("_oid"), F.col("obs_time").alias("_ot"),
                         F.col("lat").alias("_olat"), F.col("lon").alias("_olon")), "_ot", "_olat")
+    o = o.withColumn("_lc", cell("_olon", cells(F.col("_lb"))))
     f = keys(fixes.select(F.col(fix_id).alias("_fid"), F.col("obs_time").alias("_ft"),
                           F.col("lat").alias("_flat"), F.col("lon").alias("_flon")), "_ft", "_flat")
     offs = F.array(*[F.struct(F.lit(a).alias("dt"), F.lit(b).alias("dl")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     fk = (f.select("*", F.explode(offs).alias("_o"))
           .withColumn("_tb", F.col("_tb") + F.col("_o.dt")).withColumn("_lb", F.col("_lb") + F.col("_o.dl"))
-          .drop("_o"))
+          .drop("_o").withColumn("_n", cells(F.col("_lb"))).withColumn("_c", cell("_flon", F.col("_n")))
+          .withColumn("_lc", F.explode(F.array_distinct(F.array(*[F.pmod(F.col("_c") + i, F.col("_n")) for i in (-1, 0, 1)]))))
+          .drop("_n", "_c"))
     d = haversine_km(F.col("_flat"), F.col("_flon"), F.col("_olat"), F.col("_olon"))
     dt = F.abs(F.timestamp_diff("MICROSECOND", F.col("_ft"), F.col("_ot")))
-    cand = (fk.join(o, ["_tb", "_lb"]).withColumn("_d", d)
+    cand = (fk.join(o, ["_tb", "_lb", "_lc"]).withColumn("_d", d)
             .filter((dt <= F.lit(span_s * 1_000_000)) & (F.col("_d") <= km)))
     best = cand.groupBy("_fid").agg(F.min_by(F.struct("_oid", "_d"),
                                              F.struct(F.round("_d", RANK_DIGITS), "_oid")).alias("b"))

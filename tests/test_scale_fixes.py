@@ -101,3 +101,36 @@ def test_shared_folder_is_required_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_proximity_keys_lose_no_pair(spark):
+    import datetime as dt
+    import random
+
+    import math
+
+    rng, start = random.Random(3), dt.datetime(2030, 1, 1)
+    spots = [(0, 179.9), (0, -179.9), (60.2, -180.0), (89.5, 10.0), (89.6, 170.0), (-45.0, 20.0), (-45.3, 21.1)]
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            lat, lon = rng.choice(spots)
+            lon = (lon + rng.uniform(-2, 2) + 180) % 360 - 180
+            out.append((i, start + dt.timedelta(minutes=rng.randrange(2000)), min(89.99 - i * 1e-4, lat + rng.uniform(-2, 2)), lon))
+        return out
+
+    def km(a, b):
+        p, q = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(min(1, h)))
+
+    fixes, obs = rows(120), rows(300)
+    want = {}
+    for f in fixes:
+        near = [(round(km(f, o), 6), o[0]) for o in obs if abs((f[1] - o[1]).total_seconds()) <= 10800 and km(f, o) <= 149.9]
+        want[f[0]] = min(near)[1] if near else None
+    f, o = (spark.createDataFrame(r, f"{n} long, obs_time timestamp_ntz, lat double, lon double")
+            for r, n in ((fixes, "fix_id"), (obs, "obs_id")))
+    got = {r.fix_id: r.obs_id for r in spatial.nearest_within(f, o, km=149.9).collect()}
+    assert sum(v is not None for v in want.values()) > 40 and got == want
