@@ -75,6 +75,46 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_OP7_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS s
+       FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id
+          GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_ JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * o >= 85 * (p.n + q.n - o)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, low.m) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.a = d.doc_id
+"""
+
+_OP8_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr(
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         ((('0x' || substr(h, 10 * (i // 8) + 1, 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
+
+_OP10_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS r FROM e),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x, n y
+         WHERE x.vec_id <> y.vec_id AND x.r > 0 AND y.r > 0 AND list_dot_product(x.v, y.v) / (x.r * y.r) >= 0.9),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+low AS (SELECT a, min(b) AS m FROM reach GROUP BY 1),
+c AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, low.m) AS component_id,
+       e.vec_id = least(e.vec_id, low.m) AS kept
+FROM e LEFT JOIN low ON low.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+"""
+
 QUERIES = {
     "op1_line_minhash": op1_line_minhash,
     "op2_boosted_quality": op2_boosted_quality,
@@ -87,4 +127,9 @@ QUERIES = {
     "op9_chat_role_repair": op9_chat_role_repair,
     "op10_pruned_graph_dedup": op10_pruned_graph_dedup,
 }
-ORACLES = {"op6_prefix_decontamination": _OP6_SQL}
+ORACLES = {
+    "op6_prefix_decontamination": _OP6_SQL,
+    "op7_prefix_tree_join": _OP7_SQL,
+    "op8_warc_boundary_chains": _OP8_SQL,
+    "op10_pruned_graph_dedup": _OP10_SQL,
+}
