@@ -282,10 +282,15 @@ def similarity_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PE
 
     def bound(x, y):
         c = {(s, v): F.col(f"{s}.{v}") for s in (x, y) for v in ("n", "pos", "live", "most")}
+        need = F.ceil(percent * (c[x, "n"] + c[y, "n"]) / (100 + percent))
+        least = {s: F.ceil(percent * c[s, "n"] / 100) for s in (x, y)}
         ahead = F.least(c[x, "n"] - c[x, "pos"], c[y, "n"] - c[y, "pos"])
         most = F.least(F.least(c[x, "live"], c[y, "live"]) + ahead, c[x, "most"], c[y, "most"])
+        # two prefixes share at least this many tokens, so the first of them has as many live ones from it on
+        shared_least = need - F.greatest(least[x], least[y]) + 1
+        left = F.least(*[c[s, "most"] - least[s] + 1 - c[s, "live"] for s in (x, y)])
         return ((100 * F.least(c[x, "n"], c[y, "n"]) >= percent * F.greatest(c[x, "n"], c[y, "n"]))
-                & ((100 + percent) * most >= percent * (c[x, "n"] + c[y, "n"])))
+                & (most >= need) & (left >= shared_least))
 
     links = link(postings, verifier(docs, shared, ngram, percent), bound)
     copies = (full.join(classes.where(F.col("__m") > 1), ["n", "f1", "f2"])
