@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import textbytes as T
 from .common import store
@@ -44,12 +45,12 @@ _SPACE = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 class Chars:
     """Code points of some texts, laid end to end, and prefix sums for span hashes."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], families: int = 2):
         self.code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
         self.offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         f, self.inv = T._power(len(self.code) + 1)
         self.sums = []
-        for t in _CHARS:
+        for t in _CHARS[:families]:
             acc = np.zeros(len(self.code) + 1, _U)
             np.cumsum(t[self.code] * f[:len(self.code)], out=acc[1:])
             self.sums.append(acc)
@@ -184,15 +185,15 @@ def _exact(k: int, percent: int):
             keep = np.zeros(len(left), bool)
             for lo in range(0, len(left), 512):
                 both = [t for p in zip(left[lo:lo + 512], right[lo:lo + 512]) for t in p]
-                c = Chars(both)
+                c = Chars(both, 1)
                 h, span = c.shingles(c.offs[:-1], c.offs[1:], k)
-                sets, first = T.sorted_sets(h, np.arange(len(h)),
-                                            np.searchsorted(span, np.arange(len(both) + 1)))
-                pair = np.repeat(np.arange(len(both)), np.diff(first)) // 2
-                order = np.lexsort((sets, pair))
-                s, p = sets[order], pair[order]
-                shared = np.bincount(p[1:][(s[1:] == s[:-1]) & (p[1:] == p[:-1])], minlength=len(both) // 2)
-                total = np.diff(first).reshape(-1, 2).sum(1)
+                # 54 bits of the shingle, then pair and side: one sort makes sets and overlaps
+                key = np.sort((h & ~_U(1023)) | span.astype(_U))
+                key = key[np.append(True, key[1:] != key[:-1])]
+                pair = ((key & _U(1023)) >> _U(1)).astype(np.int64)
+                total = np.bincount(pair, minlength=len(both) // 2)
+                same = (key[1:] ^ key[:-1]) == _U(1)
+                shared = np.bincount(pair[1:][same & (key[1:] & _U(1) == _U(1))], minlength=len(both) // 2)
                 keep[lo:lo + 512] = 100 * shared >= percent * (total - shared)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
     return run
@@ -273,8 +274,6 @@ def _strip(batches):
 
 def strip_lines(docs: DataFrame, **params) -> DataFrame:
     """``docs`` with repeated lines removed from ``text``, plus __lines and __removed."""
-    from pyspark.sql.types import LongType, StringType, StructField, StructType
-
     lines, extra = line_components(docs, **params)
     hit = lines.join(extra, "id")
     here = (F.col("doc_id") == F.col("keep_doc")) & (F.col("line_no") == F.col("keep_line"))
