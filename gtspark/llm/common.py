@@ -1,39 +1,17 @@
-"""Shared helpers of the subpackage: stored intermediates and column names."""
+"""Shared helpers of the subpackage: stored intermediates, tables, the held-out rest."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gtspark.session import scratch_path
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once under the session's shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a reread, not a recompute,
-    and what a task chose (such as an id) stays chosen.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from gtspark.session import materialise as store  # noqa: F401
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def renamed(df: DataFrame, *taken: str) -> tuple[DataFrame, dict[str, str]]:
-    """Move columns whose names an operator needs out of its way."""
-    back = {}
-    for c in df.columns:
-        if c.lower() in taken:
-            back[f"__own_{c}"] = c
-            df = df.withColumnRenamed(c, f"__own_{c}")
-    return df, back
-
-
 def crc_rest(col: str, by: int = 4):
     """crc32 of the column's text, modulo ``by``."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % by

@@ -8,7 +8,8 @@ three flat arrays and scoring is ``depth`` gathers for all rows and trees.
 The fit uses a bounded sample: at most ``FIT_ROWS`` labelled rows, those with
 the smallest hash of their doc_id, of the rows that are not held out
 (crc32(doc_id as text) mod 4 is not 2).  Rows whose labels contradict each
-other or are null teach nothing.  Only the sample's statistics reach the
+other or are null teach nothing; at most twice as many document rows are used where
+ids repeat.  Only the sample's statistics reach the
 driver; scores are computed for every row.
 
 Null and empty texts have all-zero statistics and get a score too.  A null
