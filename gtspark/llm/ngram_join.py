@@ -3,8 +3,9 @@
 Every document becomes the set of its distinct word n-grams under one global
 order, rarest first.  Two sets of Jaccard similarity ``t`` share a token among
 their rarest ``n - ceil(t n) + 1``, which yields the candidates; bounds on
-length, position and the number of tokens that no other document's prefix holds
-thin them.  Candidates of one probe are stored in a prefix
+length, position and, for the set whose prefix ends first in the order, the
+number of tokens that no other document's prefix holds thin them (the other set's
+unshared tokens may lie beyond that prefix).  Candidates of one probe are stored in a prefix
 tree (their sets, most frequent token first, so copies share long paths) that
 the probe walks once: the overlap up to a branching point is counted once for
 all sets below it, and a subtree is left as soon as overlap plus remaining
@@ -235,13 +236,16 @@ def verifier(docs: DataFrame, shared, k: int, percent: int):
     return verify
 
 
-def _postings(keys):
+def _postings(keys, shared):
     """Prefix tokens that may be shared, one row each.
 
     ``live`` counts the row's shared tokens before this one and ``most`` is the
-    set's size less its unshared prefix tokens: no overlap can be larger.
+    set's size less its unshared prefix tokens: no overlap with a set whose
+    prefix ends later can be larger.  ``last`` is the place of the prefix's end
+    in the global order, coarsened (equal values do not tell which ends first).
     """
     def run(batches):
+        counts = shared.value
         for batch in batches:
             prefix = batch.column("prefix")
             first = prefix.offsets.to_numpy()
@@ -252,14 +256,17 @@ def _postings(keys):
             upto = np.concatenate([[0], np.cumsum(ok)])
             n = batch.column("n").to_numpy()
             most = n - np.diff(first) + (upto[first[1:]] - upto[first[:-1]])
+            end = own[first[1:] - 1].view(np.uint64)
+            last = (counts[(end % np.uint64(len(counts))).astype(np.int64)].astype(np.int64) << 32) | (
+                end >> np.uint64(32)).astype(np.int64)
             at = np.flatnonzero(ok)
             r = row[at]
             ids = batch.column("doc_id").take(pa.array(r))
             weight = (most[r] << 20) // n[r] * 1024 + (T.mix(ids.to_numpy().view(np.uint64)) >> np.uint64(54)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own[at]), ids, pa.array(weight), pa.array(n[r]), pa.array(at - first[r], pa.int32()),
-                 pa.array(upto[at] - upto[first[r]], pa.int32()), pa.array(most[r], pa.int64())],
-                ["key", "id", "w", "n", "pos", "live", "most"])
+                 pa.array(upto[at] - upto[first[r]], pa.int32()), pa.array(most[r], pa.int64()), pa.array(last[r])],
+                ["key", "id", "w", "n", "pos", "live", "most", "last"])
     return run
 
 
@@ -278,16 +285,24 @@ def similarity_components(docs: DataFrame, ngram: int = NGRAM, percent: int = PE
     reps = store(reps.select("doc_id", "n", "prefix"), "ngram_reps")
     keys = (reps.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
             .where(F.col("__n") > 1).select("key"))
-    postings = reps.mapInArrow(_postings(sketch(keys)), "key long, id long, w long, n long, pos int, live int, most long")
+    postings = reps.mapInArrow(_postings(sketch(keys), shared),
+                               "key long, id long, w long, n long, pos int, live int, most long, last long")
 
     def bound(x, y):
-        c = {(s, v): F.col(f"{s}.{v}") for s in (x, y) for v in ("n", "pos", "live", "most")}
+        c = {(s, v): F.col(f"{s}.{v}") for s in (x, y) for v in ("n", "pos", "live", "most", "last")}
         need = F.ceil(percent * (c[x, "n"] + c[y, "n"]) / (100 + percent))
         least = {s: F.ceil(percent * c[s, "n"] / 100) for s in (x, y)}
         ahead = F.least(c[x, "n"] - c[x, "pos"], c[y, "n"] - c[y, "pos"])
-        most = F.least(F.least(c[x, "live"], c[y, "live"]) + ahead, c[x, "most"], c[y, "most"])
-        # two prefixes share at least this many tokens, so the first of them has as many live ones from it on
-        shared_least = need - F.greatest(least[x], least[y]) + 1
+
+        def of_first(vx, vy):
+            """The value of the set whose prefix ends first, the larger one where that is open."""
+            return (F.when(c[x, "last"] < c[y, "last"], vx).when(c[x, "last"] > c[y, "last"], vy)
+                    .otherwise(F.greatest(vx, vy)))
+
+        most = F.least(F.least(c[x, "live"], c[y, "live"]) + ahead, of_first(c[x, "most"], c[y, "most"]))
+        # the rest of the overlap lies after the end that comes first, in that set's tail; so both prefixes
+        # share at least this many tokens, and the first of them has as many live ones from it on
+        shared_least = need - of_first(least[x], least[y]) + 1
         left = F.least(*[c[s, "most"] - least[s] + 1 - c[s, "live"] for s in (x, y)])
         return ((100 * F.least(c[x, "n"], c[y, "n"]) >= percent * F.greatest(c[x, "n"], c[y, "n"]))
                 & (most >= need) & (left >= shared_least))

@@ -93,3 +93,28 @@ def test_result_type(spark):
     got = J.similarity_components(documents(spark, ["a b c d", None]))
     assert got.select(F.count("component_id")).first()[0] == 2
     assert [f.dataType.simpleString() for f in got.schema] == ["bigint"] * 3
+
+
+def grown(rng, n, way):
+    """A text of n words and the same with words appended, inserted or put in front, or a passage cut."""
+    w = [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    extra = [f"v{rng.randrange(10**9)}" for _ in range(rng.randrange(n // 18, n // 9))]
+    at = {"append": n, "insert": rng.randrange(4, n - 4), "front": 0, "cut": rng.randrange(4, n // 2)}[way]
+    other = w[:at] + w[at + len(extra):] if way == "cut" else w[:at] + extra + w[at:]
+    return " ".join(w), " ".join(other)
+
+
+@pytest.mark.parametrize("buckets", [J.COUNT_BUCKETS, 64])
+def test_one_document_is_the_other_plus_or_less_a_passage(spark, buckets):
+    """Unshared prefix tokens of one set may lie beyond the other's prefix."""
+    rng = random.Random(17)
+    x = [f"c{i}" for i in range(95)]                   # 92 shingles, and 100 with 8 more words: J = 0.92
+    texts = [" ".join(x), " ".join(x + [f"d{i}" for i in range(8)])]
+    for way in ("append", "insert", "front", "cut"):
+        for _ in range(25):
+            texts += grown(rng, rng.randrange(60, 160), way)
+    df = documents(spark, texts)
+    want = brute(list(enumerate(texts)))
+    assert len(set(want.values())) <= len(texts) - 80
+    got = J.similarity_components(df, count_buckets=buckets)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
