@@ -5,10 +5,10 @@ lines are never touched.  Equal lines collapse first.  A distinct line's
 signature is one minimum per bin over its character shingles (one-permutation
 MinHash, empty bins filled from the next full one); ``bands`` keys of ``rows``
 minima each give candidates: 1 - (1 - s^5)^12 is 0.99 at similarity 0.8 and
-0.9999 at 0.9.  Candidates whose 64 one-bit minima differ in more than
-``MOST_BITS`` places are too far apart (at similarity 0.8 that is one pair in
-two thousand).  The others are verified by the exact Jaccard similarity of
-their shingle sets, and distributed union-find (see ``linking``) makes the
+0.9999 at 0.9.  Every line marks its shingles in ``CELLS`` cells; a cell that
+only one line of a pair marks holds a shingle the other has not, which bounds
+the overlap from above without error.  Candidates within that bound are verified
+by the exact Jaccard similarity of their shingle sets, and distributed union-find (see ``linking``) makes the
 components, of which one line stays: the first occurrence (smallest doc_id,
 then line number) of the line whose id is the component's.
 
@@ -35,7 +35,10 @@ from .sketch import sketch, thinned
 
 SHINGLE, BANDS, ROWS, PERCENT = 9, 12, 5, 80
 BINS = 64                # at least BANDS * ROWS; each also gives one bit of a line's 64-bit sketch
-MOST_BITS = 15           # pairs of similarity 0.8 differ in 6.4 of 64 bits on average, 15 is 3.5 deviations more
+MOST_BITS = 15           # a usual distance of such sketches; only measured in the tests, no candidate is judged by it
+CELLS = 512              # marks of a line's shingles, 64 to a word
+MARKS = [f"m{i}" for i in range(CELLS // 64)]
+_BLOCK = 1024            # lines whose signatures are made at once; 10 bits beside 54 of a shingle
 _U = np.uint64
 _CHARS = T.stream(31, 2 * 0x110000).reshape(2, -1)
 _CHARS[:, 65:91] = _CHARS[:, 97:123]
@@ -104,6 +107,16 @@ def band_keys(hashes, span, n: int, bands: int, rows: int):
     return T.mix(keys + T.stream(33, bands)[None, :]), bits
 
 
+def marks(hashes, span, n: int):
+    """n set sizes and (n, CELLS / 64) words of the cells that hold a shingle, for at most ``_BLOCK`` spans."""
+    key = np.sort((span.astype(_U) << _U(54)) | (hashes >> _U(10)))
+    key = key[np.append(True, key[1:] != key[:-1])]
+    size = np.bincount((key >> _U(54)).astype(np.int64), minlength=n)
+    held = np.zeros(n * CELLS, bool)
+    held[((key >> _U(54)) * _U(CELLS) + ((key >> _U(8)) & _U(CELLS - 1))).astype(np.int64)] = True
+    return size, np.packbits(held.reshape(n, CELLS), axis=1, bitorder="little").view(_U)
+
+
 def _texts(col, size: int = 1 << 19):
     """Yield (first row, texts) of whole rows, about ``size`` characters."""
     lo, own, n = 0, [], 0
@@ -117,7 +130,8 @@ def _texts(col, size: int = 1 << 19):
         yield lo, own
 
 
-LINES = "id long, check long, doc_id long, line_no int, n int, bits long, bands array<long>"
+LINES = ("id long, check long, doc_id long, line_no int, n int, size int, "
+         + "".join(f"{m} long, " for m in MARKS) + "bands array<long>")
 
 
 def _lines(k: int, bands: int, rows: int):
@@ -135,14 +149,18 @@ def _lines(k: int, bands: int, rows: int):
                 at = np.flatnonzero(first)
                 n = np.diff(np.append(at, len(h)))
                 text, number, starts, ends, h = (x[order][at] for x in (text, number, starts, ends, h))
-                keys, bits = np.zeros((len(at), bands), _U), np.zeros(len(at), _U)
-                for i in range(0, len(at), 4096):
-                    s, e = starts[i:i + 4096], ends[i:i + 4096]
-                    keys[i:i + 4096], bits[i:i + 4096] = band_keys(*c.shingles(s, e, k), len(s), bands, rows)
+                keys, held = np.zeros((len(at), bands), _U), np.zeros((len(at), len(MARKS)), _U)
+                size = np.zeros(len(at), np.int64)
+                for i in range(0, len(at), _BLOCK):
+                    s, e = starts[i:i + _BLOCK], ends[i:i + _BLOCK]
+                    own = c.shingles(s, e, k)
+                    keys[i:i + _BLOCK], _ = band_keys(*own, len(s), bands, rows)
+                    size[i:i + _BLOCK], held[i:i + _BLOCK] = marks(*own, len(s))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(c.hash(starts, ends, 1).view(np.int64)),
                      ids.take(pa.array(lo + text)), pa.array(number, pa.int32()), pa.array(n, pa.int32()),
-                     pa.array(bits.view(np.int64)), pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * bands,
+                     pa.array(size, pa.int32()), *(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(held.T)),
+                     pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * bands,
                                               pa.array(keys.ravel().view(np.int64)))],
                     [x.split()[0] for x in LINES.split(", ")])
     return run
@@ -158,8 +176,8 @@ def _postings(keys):
             at = np.flatnonzero(keys.value.has(own))
             row = np.repeat(np.arange(batch.num_rows), np.diff(first))[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[at]), *(batch.column(c).take(pa.array(row)) for c in ("id", "w", "bits"))],
-                ["key", "id", "w", "bits"])
+                [pa.array(own[at]), *(batch.column(c).take(pa.array(row)) for c in ("id", "w", "size", *MARKS))],
+                ["key", "id", "w", "size", *MARKS])
     return run
 
 
@@ -215,13 +233,20 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     sound = classes.where(~F.col("clash"))
     reps = lines.drop("n").join(sound.select("id", "doc_id", "line_no", "n"), ["id", "doc_id", "line_no"])
     often = F.col("n") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))       # the most frequent line leads
-    reps = store(reps.select("id", often.alias("w"), "bits", "bands"), "line_reps")
+    reps = store(reps.select("id", often.alias("w"), "size", *MARKS, "bands"), "line_reps")
     keys = (reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
             .where(F.col("__n") > 1).select("key"))
-    postings = reps.mapInArrow(_postings(sketch(keys)), "key long, id long, w long, bits long")
+    postings = reps.mapInArrow(_postings(sketch(keys)), "key long, id long, w long, size int, "
+                               + ", ".join(f"{m} long" for m in MARKS))
 
     def bound(x, y):
-        return F.bit_count(F.col(f"{x}.bits").bitwiseXOR(F.col(f"{y}.bits"))) <= MOST_BITS
+        def most(s, o):
+            """No overlap is larger than the shingles of ``s`` less its cells that ``o`` does not mark."""
+            alone = [F.bit_count(F.col(f"{s}.{m}").bitwiseAND(F.bitwise_not(f"{o}.{m}"))) for m in MARKS]
+            return F.col(f"{s}.size") - sum(alone[1:], alone[0])
+
+        overlap = F.least(most(x, y), most(y, x)).cast("long")
+        return (100 + percent) * overlap >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()

@@ -89,3 +89,23 @@ def test_pipeline_form(spark):
     twice = documents(spark, ["one line", "one line", "one line"], [4, 4, 6])
     assert sorted((r.doc_id, r.text) for r in L.report(twice).collect()) == [(4, "one line"), (4, "one line"), (6, "")]
     assert L.report(documents(spark, ["a line", None], [None, None])).count() == 2
+
+
+def test_short_lines_that_share_a_band_are_linked(spark):
+    """Lines of 10 to 60 shingles and similarity 0.8 or more: none that the bands find is lost."""
+    import numpy as np
+
+    rng, pairs, met = random.Random(6), [], 0
+    for _ in range(1500):
+        n = rng.randrange(10, 61)
+        a = "".join(rng.choice("bcdfghjklmnp") for _ in range(n + L.SHINGLE - 1))
+        b = a + "".join(rng.choice("qrstvwxz") for _ in range(n // 4))
+        assert sim(a, b) >= 0.8
+        c = L.Chars([a, b])
+        own = c.shingles(c.offs[:-1], c.offs[1:], L.SHINGLE)
+        keys, _ = L.band_keys(*own, 2, L.BANDS, L.ROWS)
+        assert L.marks(*own, 2)[0].tolist() == [n, n + n // 4]
+        met += bool(np.any(keys[0] == keys[1]))
+        pairs.append(a + "\n" + b)
+    got = L.report(documents(spark, pairs)).collect()
+    assert sum(r.n_removed for r in got) == met >= 0.97 * len(pairs)
