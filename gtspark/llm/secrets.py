@@ -3,7 +3,13 @@
 Base spans come from three fixed patterns.  The battery adds spans of kind
 ``random``: tokens of key characters that hold letters and digits, whose
 encoding (hex, base 32, lower-case letters and digits, base 64) is the
-smallest alphabet that fits, and which carry at least ``BITS`` bits.  Each
+smallest alphabet that fits, and which carry at least ``BITS`` bits.  ``=`` ends
+a token and belongs to it only as trailing padding, so the key of NAME=key is a
+token.  A run that mixes the signs of both base-64 forms is cut at either pair.
+Names and paths before or after a key share its run: each token is also tried
+without the segments before its first (and after its last) one of eight or more
+characters that has letters and digits, and its parts between signs where a
+smaller alphabet holds them.  Of nested spans the widest stays.  Each
 token is tested three ways for being uniform over its alphabet:
 
 * chi-squared of its symbol counts (cube-root normal form, two-sided),
@@ -32,7 +38,12 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
 KINDS = ("assign", "access", "hex", "random")
 
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+_PAD = r"(?:=++(?![A-Za-z0-9+/_-]))?+"
+STANDARD = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{16,}+" + _PAD
+URL_SAFE = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+" + _PAD
+PLAIN = r"(?<![A-Za-z0-9])[A-Za-z0-9]{16,}+" + _PAD
+SEGMENT = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]{8})(?:[A-Za-z]++[0-9]|[0-9]++[A-Za-z])"
+LEAST = 20                       # characters of a token with its padding
 BITS, RATE = 96.0, 0.05
 ALPHABETS = (("0123456789abcdef", 4.0), ("0123456789ABCDEF", 4.0), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 5.0),
              ("abcdefghijklmnopqrstuvwxyz0123456789", 5.17),
@@ -91,10 +102,45 @@ def battery(token: Column, symbols: Column) -> Column:
     return F.concat(F.array(_two_sided(z_chi)), F.aggregate(values, zero, step, finish))
 
 
-def _tested(tokens: Column) -> Column:
+def _token(start: Column, end: Column, value: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))
+
+
+def _without_names(tokens: Column) -> Column:
+    """The tokens, and each without the name or path before it, and without those before and after it."""
+    def head(t):
+        skip = F.greatest(F.regexp_instr(t["value"], F.lit(SEGMENT)) - 1, F.lit(0))
+        return _token(t["start"] + skip, t["end"], F.substr(t["value"], skip + 1))
+
+    def tail(t):
+        skip = F.greatest(F.regexp_instr(F.reverse(t["value"]), F.lit(SEGMENT)) - 1, F.lit(0))
+        size = F.length(t["value"]) - skip
+        end = F.when(skip > 0, t["start"] + size).otherwise(t["end"])
+        return _token(t["start"], end, F.substr(t["value"], F.lit(1), size))
+
+    return let(F.transform(tokens, head), lambda h: F.concat(tokens, h, F.transform(h, tail)))
+
+
+def _candidates(text: Column) -> Column:
+    """(start, end, value) of the tokens of a text, padding only in the span."""
+    def bare(found):
+        return F.transform(found, lambda t: _token(t["start"], t["end"], F.rtrim(t["value"], F.lit("="))))
+
+    whole = let(bare(F.concat(placed(text, STANDARD), placed(text, URL_SAFE))), _without_names)
+    parts = F.filter(bare(placed(text, PLAIN)), lambda t: _alphabet(t["value"])["bits"] < 6)
+    return F.array_distinct(F.filter(F.concat(whole, parts), lambda t: t["end"] - t["start"] >= LEAST))
+
+
+def _widest(spans: Column) -> Column:
+    """The spans that lie in no other."""
+    def inside(x, y):
+        return (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+
+    return F.filter(spans, lambda x: ~F.exists(spans, lambda y: inside(x, y)))
+
+
+def _tested(cut: Column) -> Column:
     """(start, end, n, p) of the tokens that can be tested, from (start, end, value)."""
-    cut = F.transform(tokens, lambda t: F.struct(
-        t["start"].alias("start"), t["end"].alias("end"), F.rtrim(t["value"], F.lit("=")).alias("value")))
     mixed = F.filter(cut, lambda t: t["value"].rlike("[0-9]") & t["value"].rlike("[A-Za-z]"))
     known = F.transform(mixed, lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"), t["value"].alias("value"), _alphabet(t["value"]).alias("code")))
@@ -143,11 +189,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         F.array().cast("array<struct<start:int,end:int,value:string>>"))
     df = df.withColumn("__base", F.array_sort(F.concat(
         _spans("assign", assign), _spans("access", placed(t, ACCESS)), _spans("hex", placed(t, HEX)))))
-    found = let(_tested(placed(t, TOKEN)), lambda x: F.when(F.size(x) > 0, _accepted(x)))
+    found = let(_tested(_candidates(t)), lambda x: F.when(F.size(x) > 0, let(_accepted(x), _widest)))
 
     def add(base):
         free = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
-        return F.when(t.rlike(TOKEN), F.array_sort(F.concat(base, F.coalesce(_spans("random", free), F.slice(base, 1, 0))))
+        return F.when(t.rlike(STANDARD) | t.rlike(URL_SAFE), F.array_sort(F.concat(base, F.coalesce(_spans("random", free), F.slice(base, 1, 0))))
                       ).otherwise(base)
 
     return df.withColumn("__all", let(F.col("__base"), add)).drop("__text")

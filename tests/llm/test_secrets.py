@@ -80,3 +80,21 @@ def test_no_python_in_the_plan_empty_table_and_repeated_rows(spark):
     a, b = out.collect()
     assert a == b and a.n_hex == 1
     assert S.report(documents(spark, [])).count() == 0
+
+
+def test_keys_after_names_and_paths(spark):
+    """NAME=key, ?x=key and path/key, also where the name's signs are not the key's."""
+    rng = random.Random(23)
+    forms = ["AWS_KEY={}", "AccountKey={};", "aws_secret_access_key={} x", "https://h.example/a?sig={}&v=1", "path/{}",
+             "usr/share/my-app_name/{}", "some-dir/sub_dir/{} end"]
+    makers = [lambda: base64.b64encode(rng.randbytes(64)).decode(), lambda: base64.urlsafe_b64encode(rng.randbytes(48)).decode(),
+              lambda: rng.randbytes(24).hex().upper(), lambda: base64.b32encode(rng.randbytes(35)).decode(),
+              lambda: "".join(rng.choice(S.ALPHABETS[4][0][:62]) for _ in range(40))]
+    cases = [(f, k()) for f in forms for k in makers for _ in range(12)]
+    rows = S.report(documents(spark, ["set " + f.format(k) for f, k in cases])).orderBy("doc_id").collect()
+    hits = {f: [] for f in forms}
+    for r, (f, k) in zip(rows, cases):
+        at = 4 + f.index("{")
+        ends = [[int(v) for v in s.split(":")[1:]] for s in r.spans.split(",") if s]
+        hits[f].append(any(min(b, at + len(k)) - max(a, at) >= 0.6 * len(k) for a, b in ends))
+    assert all(sum(h) >= 0.85 * len(h) for h in hits.values()), {f: sum(h) / len(h) for f, h in hits.items()}
