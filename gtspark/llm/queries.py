@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, graph_dedup, line_dedup, ngram_join, packing, pseudonyms, quality, secrets, warc
+from . import (chat, codes, decontaminate, graph_dedup, line_dedup, ngram_join, packing, pieces, pseudonyms, quality,
+               repair, secrets, sql, warc)
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -54,6 +56,18 @@ def op10_pruned_graph_dedup(spark, sf_dir):
     return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_piece_backtracking(spark, sf_dir):
+    return pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
+def op12_cover_tree_lloyd(spark, sf_dir):
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_deepening_repair(spark, sf_dir):
+    return repair.damaged_report(table(spark, sf_dir, "conversations"))
+
+
 _OP6_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
                'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -126,10 +140,15 @@ QUERIES = {
     "op8_warc_boundary_chains": op8_warc_boundary_chains,
     "op9_chat_role_repair": op9_chat_role_repair,
     "op10_pruned_graph_dedup": op10_pruned_graph_dedup,
+    "op11_piece_backtracking": op11_piece_backtracking,
+    "op12_cover_tree_lloyd": op12_cover_tree_lloyd,
+    "op13_deepening_repair": op13_deepening_repair,
 }
 ORACLES = {
     "op6_prefix_decontamination": _OP6_SQL,
     "op7_prefix_tree_join": _OP7_SQL,
     "op8_warc_boundary_chains": _OP8_SQL,
     "op10_pruned_graph_dedup": _OP10_SQL,
+    "op12_cover_tree_lloyd": sql.OP12,
+    "op13_deepening_repair": sql.OP13,
 }
