@@ -106,6 +106,19 @@ PROMPT_TEMPLATES = {
         "A:"),
 }
 
+# Prompt of the judge (placeholders {{ context }} and {{ answer }}).
+JUDGE_TEMPLATE = (
+    "You are grading whether an answer is supported by the provided context.\n"
+    "Return a JSON object: {\"grounded\": true|false, \"reason\": \"<short>\"}.\n"
+    "An answer is grounded only if every factual claim appears in or follows from\n"
+    "the context.\n"
+    "\n"
+    "Context:\n"
+    "{{ context }}\n"
+    "\n"
+    "Answer to grade:\n"
+    "{{ answer }}")
+
 # fixed values: sentence search and question routing
 SEARCH_STOP_WORDS = ("the a an of in on at to and or for with as is was were by from").split()
 SEARCH_GENERIC_WORDS = (

@@ -93,15 +93,33 @@ def filter_catalogue(cards: DataFrame, year_min=None, year_max=None, min_cat=0,
     return cards.filter(cond)
 
 
-def export_cards(cards: DataFrame, tracks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """SNK9: nested JSON cards (one record per storm, track sorted by seq).
+TRACK_FIELDS = ("seq", "lat", "lon", "wind", "pres", "cat", "time", "landfall")
+CARD_FIXES = 1000        # fixes in one exported record; a longer track goes on in further records
 
-    Real best tracks are at most a few hundred fixes per storm, so the
-    per-storm array is bounded by the physics of the data; the long table
-    is the form to use for anything else.
+
+def export_cards(cards: DataFrame, tracks: DataFrame, path: str, mode: str = "overwrite", fixes: int = CARD_FIXES) -> None:
+    """SNK9: JSON cards with nested tracks, partitioned by nothing, one record per storm and ``fixes`` fixes.
+
+    ``part`` numbers a storm's records; ``seq`` is dense (``track_rows``), so a
+    record's fixes are found by division and no storm is ever one row.  A storm
+    without fixes has one record with an empty track.
     """
-    nested = (tracks.groupBy("storm_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "lat", "lon", "wind", "pres", "cat", "time",
-                                              "landfall"))).alias("track")))
-    (cards.join(nested, cards.id == nested.storm_id).drop("storm_id")
-     .write.mode(mode).json(path))
+    fix = F.struct(*TRACK_FIELDS)
+    nested = (tracks.withColumn("part", F.floor(F.col("seq") / fixes).cast("int")).groupBy("storm_id", "part")
+              .agg(F.array_sort(F.collect_list(fix)).alias("track")))
+    out = (cards.join(nested, cards.id == nested.storm_id, "left").drop("storm_id")
+           .withColumn("part", F.coalesce("part", F.lit(0))).withColumn("track", F.coalesce("track", F.array())))
+    out.write.mode(mode).option("ignoreNullFields", False).json(path)
+
+
+def read_cards(spark, path: str) -> DataFrame:
+    """Exported records, all types as exported."""
+    return spark.read.schema(
+        "id string, name string, year int, peak_wind int, min_pres int, peak_cat int, landfall_cat int, n_track long, part int, "
+        "track array<struct<seq: int, lat: double, lon: double, wind: int, pres: int, cat: int, time: string, landfall: boolean>>"
+    ).json(path)
+
+
+def whole_tracks(records: DataFrame) -> DataFrame:
+    """The long table behind exported records, for tracks of any length."""
+    return records.select(F.col("id").alias("storm_id"), F.inline("track"))

@@ -9,7 +9,7 @@ sentences of its own answer's contexts (k contexts: a bounded group).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gtspark import config as C
@@ -59,6 +59,53 @@ def grounding(answers: DataFrame, threshold: float = C.SUPPORT_THRESHOLD,
                     F.coalesce("groundedness", F.lit(0.0)).alias("judge_score")))
 
 
+def verdict_score(verdict) -> Column:
+    """1 if the judge's JSON says grounded, 0 if not, NULL where it is no JSON object.
+
+    As in any JSON reader's truth test, false, null, 0, "" and an empty list or
+    object are no; a missing key is no as well.
+    """
+    v = F.trim(F.col(verdict) if isinstance(verdict, str) else verdict)
+    parsed = F.from_json(v, "grounded string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    no = F.coalesce(parsed["grounded"], F.lit("")).isin("", "false", "0", "0.0", "null", "[]", "{}")
+    readable = v.startswith("{") & parsed["_bad"].isNull()
+    return F.when(readable, F.when(no, 0.0).otherwise(1.0))
+
+
+def judged(grounding_rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """judge_score from the supplied (aid, verdict) rows, else the heuristic one.
+
+    Several readable verdicts of one answer are averaged; unreadable ones are
+    as if they had not come.
+    """
+    own = (verdicts.select("aid", verdict_score("verdict").alias("_v")).groupBy("aid").agg(F.avg("_v").alias("_v")))
+    return (grounding_rows.join(own, "aid", "left")
+            .withColumn("judge_score", F.coalesce("_v", "judge_score")).drop("_v"))
+
+
+def judge_prompts(answers: DataFrame, template: str = C.JUDGE_TEMPLATE) -> DataFrame:
+    """(aid, prompt) that asks a judge about every answer; contexts stand a blank line apart."""
+    context = F.array_join(F.coalesce("contexts", F.array()), "\n\n")
+    prompt = F.lit(template)
+    for name, value in (("answer", F.coalesce("answer", F.lit(""))), ("context", context)):
+        prompt = F.replace(prompt, F.lit("{{ " + name + " }}"), value)
+    return answers.select("aid", prompt.alias("prompt"))
+
+
+def evaluate_given(answers: DataFrame, threshold: float = C.SUPPORT_THRESHOLD, dim: int = C.EMBEDDING_DIM) -> DataFrame:
+    """Metrics of given answers, a batch of (aid, question, answer, contexts, expected category or NULL).
+
+    Null contexts are none, a null answer is empty; ``hallucinated`` is NULL
+    where no category is expected or claimed.
+    """
+    a = answers.select("aid", F.coalesce("question", F.lit("")).alias("query"), F.coalesce("answer", F.lit("")).alias("answer"),
+                       F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"), "expected")
+    flag = a.select("aid", (claimed_category(F.col("answer")) != F.col("expected")).alias("hallucinated"))
+    text = a.drop("expected")
+    return (grounding(text, threshold, dim).drop("judge_score")
+            .join(relevance(text, dim).select("aid", "answer_relevance"), "aid").join(flag, "aid"))
+
+
 def relevance(answers: DataFrame, dim: int = C.EMBEDDING_DIM) -> DataFrame:
     """E4 + E5: mean cosine(query, context) (none -> 0) and cosine(query, answer)."""
     qv = embed(answers.withColumn("_id", _sid("aid")), "_id", "query", dim, keep=("aid",))
@@ -109,16 +156,20 @@ def cost_usd(model_col, prompt_tokens, completion_tokens, pricing=C.PRICING):
 
 def evaluation_rows(generations: DataFrame, truth: DataFrame | None = None,
                     run_id=None, run_ts=None, threshold: float = C.SUPPORT_THRESHOLD,
-                    dim: int = C.EMBEDDING_DIM) -> DataFrame:
+                    dim: int = C.EMBEDDING_DIM, verdicts: DataFrame | None = None) -> DataFrame:
     """E10 + E11: generations -> the 18-column ``evaluations`` rows.
 
     ``generations`` has (question_id, storm_id, question, model, answer,
-    prompt_tokens, completion_tokens, contexts[, latency_ms]); several
-    models are simply more rows -- one plan for all of them.
+    prompt_tokens, completion_tokens, contexts[, latency_ms, run_id]);
+    several models or runs are simply more rows -- one plan for all of them.
+    ``verdicts`` (aid, verdict) are a judge's own words (E6).
     """
-    g = generations.withColumn("aid", F.concat_ws("|", "model", "question_id"))
+    key = [c for c in ("run_id", "model", "question_id") if c in generations.columns]
+    g = generations.withColumn("aid", F.concat_ws("|", *key))
     a = g.select("aid", F.col("question").alias("query"), "answer", "contexts")
     gr = grounding(a, threshold, dim)
+    if verdicts is not None:
+        gr = judged(gr, verdicts)
     rel = relevance(a, dim)
     out = g.join(gr, "aid").join(rel, "aid")
     if truth is not None:
@@ -126,8 +177,9 @@ def evaluation_rows(generations: DataFrame, truth: DataFrame | None = None,
     else:
         out = out.withColumn("hallucinated", F.lit(None).cast("boolean"))
     lat = F.col("latency_ms") if "latency_ms" in g.columns else F.lit(None).cast("double")
+    own_run = F.col("run_id") if "run_id" in key else F.concat_ws("-", F.lit("run"), F.col("model"))
     return out.select(
-        (F.lit(run_id) if run_id is not None else F.concat_ws("-", F.lit("run"), F.col("model"))).alias("run_id"),
+        (F.lit(run_id) if run_id is not None else own_run).alias("run_id"),
         (F.lit(run_ts) if run_ts is not None else F.lit(None)).cast("timestamp").alias("run_ts"),
         "model", "question_id", "storm_id", "question", "answer",
         "groundedness", "faithfulness", "context_relevance", "answer_relevance", "judge_score",

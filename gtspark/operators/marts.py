@@ -113,22 +113,41 @@ def halluc_by_storm(evals: DataFrame, truth: DataFrame) -> DataFrame:
             .orderBy(F.col("hallucinations").desc(), "storm_id", "model"))
 
 
+MEDIAN_ROWS = 100_000        # different values of one group that a window may sort at once
+MEDIAN_CELLS = 1024
+
+
 def upper_median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """sorted(values)[n div 2] per group, exactly.
 
-    Values are first collapsed to (key, value, count) with a partial
-    aggregate; the running count goes over range-sorted partitions, so a run
-    with most of the rows is spread over many tasks.
+    Each round counts a group's values in ``MEDIAN_CELLS`` equal cells of their
+    range and goes on with the cell that holds the middle, until no group has
+    more than ``MEDIAN_ROWS`` values left there; those are collapsed to (value,
+    count) and counted up in order.  Small groups need no round at all, and a
+    group with most of the rows is never sorted.
     """
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = range_prefix(counts, [*keys, value], sums={"_c": "_cum"})
-    # a group's own running count: less what came before the group
-    group = cum.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(
-        F.min(F.col("_cum") - F.col("_c")).alias("_before"), F.sum("_c").alias("_n"))
-    same = [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
-    ranked = cum.join(group, same).withColumn("_cum", F.col("_cum") - F.col("_before"))
-    return (ranked.filter(F.col("_cum") >= F.floor(F.col("_n") / 2) + 1)
-            .groupBy(*keys).agg(F.min(value).alias(out)))
+    same = lambda d: [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys]
+    gk = [f"_g_{k}" for k in keys]
+    rows = df.select(*keys, F.col(value).cast("double").alias("_x"), F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    state = materialise(rows.groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys]).agg(
+        F.count(F.lit(1)).alias("_n"), (F.floor(F.count(F.lit(1)) / 2) + 1).alias("_rank"),
+        F.min("_x").alias("_lo"), F.max("_x").alias("_hi")), "median")
+    while (state.filter(F.col("_lo") < F.col("_hi")).agg(F.max("_n")).first()[0] or 0) > MEDIAN_ROWS:
+        part = F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo"))       # NULL: one value is left
+        cell = F.least(F.floor(part * MEDIAN_CELLS), F.lit(MEDIAN_CELLS - 1))
+        cells = (rows.join(state, same(rows)).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+                 .withColumn("_cell", F.coalesce(cell, F.lit(0))).groupBy(*gk, "_rank", "_cell")
+                 .agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")))
+        upto = Window.partitionBy(*gk).orderBy("_cell")                      # at most MEDIAN_CELLS rows a group
+        cells = cells.withColumn("_cum", F.sum("_n").over(upto))
+        here = (F.col("_cum") >= F.col("_rank")) & (F.col("_cum") - F.col("_n") < F.col("_rank"))
+        state = materialise(cells.filter(here).select(
+            *gk, "_n", (F.col("_rank") - F.col("_cum") + F.col("_n")).alias("_rank"), "_lo", "_hi"), "median")
+    near = rows.join(state.drop("_n"), same(rows)).filter(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    counts = near.groupBy(*keys, "_rank", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cum = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
+    return (counts.withColumn("_cum", cum).filter(F.col("_cum") >= F.col("_rank"))
+            .groupBy(*keys).agg(F.min("_v").alias(out)))
 
 
 def run_summary(evals: DataFrame, key: str = "run_id") -> DataFrame:

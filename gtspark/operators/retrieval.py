@@ -14,7 +14,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gtspark import config as C
@@ -28,32 +28,33 @@ RANK_DIGITS = 9  # scores are ranked after rounding, so summation order cannot f
 # T4 chunking
 # ---------------------------------------------------------------------------
 
-def chunk_docs(docs: DataFrame, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
-               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunk_docs(docs: DataFrame, size=C.CHUNK_SIZE, overlap=C.CHUNK_OVERLAP,
+               id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
     """Word windows of ``size`` words stepping by max(1, size - overlap).
 
-    Output (doc_id, chunk_id = 'doc::i', ordinal, text).  A window reaching
-    the last word ends the document; empty text gives no chunk.  The words
+    Output (doc_id, *keep, chunk_id = 'doc::i', ordinal, text).  A window
+    reaching the last word ends the document; empty text gives no chunk.
+    ``size`` and ``overlap`` are numbers or columns of ``docs``.  The words
     array is produced by a generator so the per-chunk slices read a
     materialised column instead of re-running the regex per chunk.
     """
-    size = size or C.CHUNK_SIZE
-    overlap = C.CHUNK_OVERLAP if overlap is None else overlap
-    step = max(1, size - overlap)
-    w = docs.select(F.col(id_col).cast("string").alias("doc_id"),
+    size = size if isinstance(size, Column) else F.lit(size or C.CHUNK_SIZE)
+    overlap = overlap if isinstance(overlap, Column) else F.lit(C.CHUNK_OVERLAP if overlap is None else overlap)
+    w = docs.select(F.col(id_col).cast("string").alias("doc_id"), *keep, size.cast("int").alias("_size"),
+                    F.greatest(F.lit(1), size - overlap).cast("int").alias("_step"),
                     F.explode(F.array(X.words(text_col))).alias("_w"))
     n = F.size("_w")
-    last = F.least(F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step))).cast("int"),
-                   (F.ceil(n / F.lit(step)) - 1).cast("int"))
+    last = F.least(F.greatest(F.lit(0), F.ceil((n - F.col("_size")) / F.col("_step"))).cast("int"),
+                   (F.ceil(n / F.col("_step")) - 1).cast("int"))
     texts = F.transform(F.sequence(F.lit(0), last),
-                        lambda i: F.array_join(F.slice(F.col("_w"), i * step + 1, size), " "))
-    out = w.filter(n > 0).select("doc_id", F.posexplode(texts).alias("ordinal", "text"))
-    return out.select("doc_id", F.concat(F.col("doc_id"), F.lit("::"), F.col("ordinal").cast("string"))
+                        lambda i: F.array_join(F.slice(F.col("_w"), i * F.col("_step") + 1, F.col("_size")), " "))
+    out = w.filter(n > 0).select("doc_id", *keep, F.posexplode(texts).alias("ordinal", "text"))
+    return out.select("doc_id", *keep, F.concat(F.col("doc_id"), F.lit("::"), F.col("ordinal").cast("string"))
                       .alias("chunk_id"), "ordinal", "text")
 
 
 # ---------------------------------------------------------------------------
-# T5 hashed sparse vectors, T6 cosine
+# T5 hashed sparse vectors
 # ---------------------------------------------------------------------------
 
 def embed(df: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -62,8 +63,10 @@ def embed(df: DataFrame, id_col: str = "id", text_col: str = "text",
 
     Texts are hash-partitioned by id once; exploding grams, the per-bucket
     count and the per-text norm then all run inside that partitioning (no
-    shuffle of the exploded grams).  A text with no tokens has no rows
-    (the zero vector).  ``keep`` columns (functions of the id) ride along.
+    shuffle of the exploded grams, which outweigh the text).  Counting inside
+    the row by higher-order functions needs no shuffle but was measured at
+    twelve times the time.  A text with no tokens has no rows (the zero
+    vector).  ``keep`` columns (functions of the id) ride along.
     """
     t = (df.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("_txt"))
          .repartition("id")
@@ -75,24 +78,6 @@ def embed(df: DataFrame, id_col: str = "id", text_col: str = "text",
     return c.select("id", *keep, "bucket", (F.col("_c") / norm).alias("w"))
 
 
-def cosine_pairs(pairs: DataFrame, a_vec: DataFrame, b_vec: DataFrame,
-                 a: str = "a_id", b: str = "b_id", keys: tuple = ()) -> DataFrame:
-    """T6 for listed pairs: dot / (1 + 1e-9) of unit vectors; no shared bucket -> 0.
-
-    The join key is (keys..., bucket): candidates meet only inside their own
-    group (e.g. a question's claims and its context sentences).
-    """
-    av = a_vec.select(F.col("id").alias(a), "bucket", F.col("w").alias("_wa"))
-    bv = b_vec.select(F.col("id").alias(b), "bucket", F.col("w").alias("_wb"))
-    pa = pairs.select(*keys, a).distinct().join(av, a)
-    pb = pairs.select(*keys, b).distinct().join(bv, b)
-    dots = (pa.join(pb, [*keys, "bucket"]).groupBy(*keys, a, b)
-            .agg(F.sum(F.col("_wa") * F.col("_wb")).alias("_dot")))
-    return (pairs.join(dots, [*keys, a, b], "left")
-            .withColumn("cosine", F.coalesce(F.col("_dot"), F.lit(0.0)) / F.lit(1.0 + 1e-9))
-            .drop("_dot"))
-
-
 # ---------------------------------------------------------------------------
 # T7 exact top-k search (dense scoring of sparse vectors)
 # ---------------------------------------------------------------------------
@@ -142,29 +127,44 @@ def _topk_blocks(packed_q: DataFrame, packed_items: DataFrame, k: int, dim: int,
 
     The vectors are written once (so counts and blocks see the same rows) and
     dealt by hash of their id; each side is copied to the other side's blocks
-    by a shuffle, nothing passes through the driver.
+    by a shuffle, nothing passes through the driver.  Items may have a ``grp``
+    (a few indexes side by side, E12): every query is then searched in every
+    group by itself.
     """
-    q, items = materialise(packed_q, "queries"), materialise(packed_items, "items")
-    n_q, n_i = (max(1, math.ceil(d.count() / block_rows)) for d in (q, items))
-
-    def dealt(df, own, n_own, other, n_other, kind):
-        return df.select("*", F.pmod(F.xxhash64("id"), F.lit(n_own)).alias(own),
-                         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))).alias(other),
-                         F.lit(kind).alias("_kind"))
-
-    both = dealt(q, "_qb", n_q, "_ib", n_i, 0).unionByName(dealt(items, "_ib", n_i, "_qb", n_q, 1))
-    schema = "query_id string, item_id string, score double"
-
-    def score(pdf):
+    grouped = "grp" in packed_items.columns
+    items = packed_items if grouped else packed_items.withColumn("grp", F.lit(""))
+    q, items = materialise(packed_q, "queries"), materialise(items, "items")
+    n_q = max(1, math.ceil(q.count() / block_rows))
+    sizes = {r["grp"]: math.ceil(r["count"] / block_rows) for r in items.groupBy("grp").count().collect()}
+    groups = F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(n).cast("bigint").alias("n")) for g, n in sizes.items()]
+                     or [F.struct(F.lit("").alias("grp"), F.lit(1).cast("bigint").alias("n"))])
+    n_of = F.element_at(F.map_from_entries(groups), F.col("grp"))
+
+    def upto(n):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+
+    def block(n):
+        return F.pmod(F.xxhash64("id"), n)
+
+    q_side = (q.select("*", F.explode(groups).alias("_g"))
+              .select("*", block(F.lit(n_q)).alias("_qb"), F.col("_g.grp").alias("grp"), upto(F.col("_g.n")).alias("_ib"))
+              .drop("_g").withColumn("_kind", F.lit(0)))
+    i_side = items.select("*", block(n_of).alias("_ib"), upto(F.lit(n_q).cast("bigint")).alias("_qb")).withColumn("_kind", F.lit(1))
+    both = q_side.unionByName(i_side)
+    schema = "query_id string, item_id string, score double, grp string"
+
+    def score(key, pdf):
         qs, its = pdf[pdf["_kind"] == 0], pdf[pdf["_kind"] == 1].sort_values("id")
         if len(qs) == 0 or len(its) == 0:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-        return _local_topk(qs["id"].to_numpy(), to_matrix(qs, dim), its["id"].to_numpy(),
-                           to_matrix(its, dim), k, digits, unit)
+            return pd.DataFrame({"query_id": [], "item_id": [], "score": [], "grp": []})
+        out = _local_topk(qs["id"].to_numpy(), to_matrix(qs, dim), its["id"].to_numpy(),
+                          to_matrix(its, dim), k, digits, unit)
+        return out.assign(grp=key[1])
 
-    results = both.groupBy("_qb", "_ib").applyInPandas(score, schema)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("item_id"))
-    return results.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    results = both.groupBy("_qb", "grp", "_ib").applyInPandas(score, schema)
+    w = Window.partitionBy("query_id", "grp").orderBy(F.col("score").desc(), F.col("item_id"))
+    best = results.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return best if grouped else best.drop("grp")
 
 
 def topk_dense(query_vec: DataFrame, item_vec: DataFrame, k: int = C.TOP_K,
@@ -178,13 +178,16 @@ def topk_dense(query_vec: DataFrame, item_vec: DataFrame, k: int = C.TOP_K,
     have no token: those are zero vectors, score 0 and still take part.  Each
     block pair keeps k candidates per query.  ``digits`` is a parameter of the
     ranking: scores are rounded to it before they are compared, so that the
-    summation order cannot flip ties; ties go to the smaller item id.
+    summation order cannot flip ties; ties go to the smaller item id.  A
+    ``grp`` column of ``item_ids`` keeps several indexes apart.
     """
     def packed(vec, ids):
         v = _to_packed(vec)
+        keep = []
         if ids is not None:
-            v = ids.select(F.col(ids.columns[0]).alias("id")).join(v, "id", "left")
-        return v.select(F.col("id").cast("string").alias("id"), "b", "w")
+            keep = [c for c in ids.columns if c == "grp"]
+            v = ids.select(F.col(ids.columns[0]).alias("id"), *keep).join(v, "id", "left")
+        return v.select(F.col("id").cast("string").alias("id"), *keep, "b", "w")
 
     return _topk_blocks(packed(query_vec, query_ids), packed(item_vec, item_ids), k, dim,
                         _sparse_matrix, True, block_rows, digits)
@@ -234,6 +237,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, chunk_vec: DataFrame | None
     Returns (query_id, rank, chunk_id, doc_id, text, score).
     """
     qv = embed(queries, "query_id", "query", dim)
+    if chunk_vec is None:                                  # ids, vectors and texts come from one stored cut
+        chunks = materialise(chunks, "chunks")
     cv = chunk_vec if chunk_vec is not None else embed(chunks, "chunk_id", "text", dim)
     n = max(k, top_k)
     hits = topk_dense(qv, cv, n, dim, item_ids=chunks.select("chunk_id"),

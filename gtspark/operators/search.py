@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gtspark import config as C
 from gtspark.functions import text as X
+from gtspark.session import materialise
 
 
 def _tokens(c):
@@ -42,8 +43,8 @@ def idf_search(queries: DataFrame, docs: DataFrame, digits: int = 9) -> DataFram
     compared after rounding to ``digits``; ties go to the first sentence by
     (doc_id, pos).
     """
-    s = sentence_table(docs)
-    idf = sentence_idf(s)
+    s = materialise(sentence_table(docs), "sentences")
+    idf = materialise(sentence_idf(s), "idf")
     q = (queries.select("query_id", "query", F.explode(F.filter(
         _tokens("query"), lambda t: ~t.isin(*C.SEARCH_GENERIC_WORDS))).alias("token")).join(idf, "token"))
     post = s.select("doc_id", "pos", F.explode("toks").alias("token"))
@@ -57,6 +58,18 @@ def idf_search(queries: DataFrame, docs: DataFrame, digits: int = 9) -> DataFram
     return best.select("query_id", "b.doc_id", "b.pos", "b.sentence", "b.score")
 
 
+def answerable(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """The query_ids that ``idf_search`` finds a sentence for.
+
+    An idf is always above 0, so one shared specific token is enough: questions
+    meet the corpus' distinct tokens, not its sentences.
+    """
+    held = docs.select(F.explode(F.array_distinct(X.tokens("text"))).alias("token")).distinct()
+    asked = queries.select("query_id", F.explode(F.filter(
+        _tokens("query"), lambda t: ~t.isin(*C.SEARCH_GENERIC_WORDS))).alias("token"))
+    return asked.join(held, "token", "leftsemi").select("query_id").distinct()
+
+
 def route_questions(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """None, greet, refuse, external or corpus per question; ``hits`` has the query_ids the corpus can answer."""
     q = X.strip(F.coalesce(F.col("query"), F.lit("")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gtspark import config as C
 from gtspark.functions.scalar import haversine_km
+from gtspark.session import materialise
 
 RANK_DIGITS = 9
 
@@ -37,8 +38,9 @@ def nearest_station(points: DataFrame, stations: DataFrame, point_id: str = "pla
     Multi-level grid: at each level points meet only the stations of their
     3x3 cell block (an equi-join on cell keys); a point is settled when its
     best candidate lies within the block's guaranteed radius, otherwise it
-    moves to the next, coarser level.  The last level (180-degree cells)
-    covers the globe, so every point is settled exactly.  ``max_km`` applies
+    moves to the next, coarser level.  Each level's result and the points it
+    leaves are written once, and the levels end when no point is left.  The last
+    level (180-degree cells) covers the globe, so every point is settled exactly.  ``max_km`` applies
     the 120 km rejection of the map-page variant.
     """
     st = stations.select(F.col(station_id).alias("_sid"), F.col("lat").alias("_slat"),
@@ -62,14 +64,14 @@ def nearest_station(points: DataFrame, stations: DataFrame, point_id: str = "pla
         best = (cand.select("_pid", "_plat", "_sid", d.alias("_d"))
                 .groupBy("_pid", "_plat").agg(F.min_by(F.struct("_sid", "_d"),
                                                        F.struct(F.round("_d", RANK_DIGITS), "_sid")).alias("b")))
-        if last:
-            settled = best
-        else:
-            ok = F.col("b._d") <= _guarantee_km(F.col("_plat"), size)
-            settled = best.filter(ok)
-            todo = todo.join(settled.select("_pid"), "_pid", "left_anti")
-        part = settled.select("_pid", F.col("b._sid").alias("_sid"), F.col("b._d").alias("_d"))
-        done = part if done is None else done.unionByName(part)
+        if not last:
+            best = best.filter(F.col("b._d") <= _guarantee_km(F.col("_plat"), size))
+        settled = materialise(best.select("_pid", F.col("b._sid").alias("_sid"), F.col("b._d").alias("_d")), "settled")
+        done = settled if done is None else done.unionByName(settled)
+        if not last:
+            todo = materialise(todo.join(settled.select("_pid"), "_pid", "left_anti"), "points")
+            if todo.isEmpty():
+                break
     out = points.select(F.col(point_id).alias("_pid")).join(done, "_pid", "left")
     if max_km is not None:
         keep = F.col("_d") <= max_km

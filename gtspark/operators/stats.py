@@ -138,26 +138,31 @@ def paired_ab_test(evals: DataFrame, metric: str, model_a: str, model_b: str,
     return r.withColumn("significant", sig).withColumn("summary", line)
 
 
-def preference_pairs(evals: DataFrame, answer_col: str = "event_id", order_col: str = "event_id") -> DataFrame:
+def preference_pairs(evals: DataFrame, answer_col: str = "event_id", order_col: str = "event_id",
+                     question_col: str | None = None, created_ts=None) -> DataFrame:
     """E15 + W6: per question with >= 2 answers, best vs worst by reward, margin > 0.
 
-    Ties follow a stable descending sort in ``order_col`` order: the best is
+    ``question_col`` names the question's text; ``created_ts`` stamps the pairs
+    (default: now).  Ties follow a stable descending sort in ``order_col`` order: the best is
     the first of the tied top, the worst the last of the tied bottom.  Both
     are partial-aggregated picks (max_by / min_by), never a sorted group.
     """
     neg = -F.col(order_col)
     row = F.struct(F.col("model"), F.col(answer_col).alias("answer"), F.col("reward"))
+    asked = [F.min_by(F.col(question_col), F.col(order_col)).alias("question")] if question_col else []
     g = evals.groupBy("question_id").agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), *asked,
         F.max_by(row, F.struct(F.col("reward"), neg)).alias("best"),
         F.min_by(row, F.struct(F.col("reward"), neg)).alias("worst"))
+    stamp = F.current_timestamp() if created_ts is None else F.lit(created_ts)
     return (g.filter(F.col("n") >= 2)
             .withColumn("margin", F.col("best.reward") - F.col("worst.reward"))
             .filter(F.col("margin") > 0)
             .select(F.sha2(F.col("question_id"), 256).alias("pair_id"), "question_id",
+                    *(["question"] if question_col else []),
                     F.col("best.answer").alias("chosen"), F.col("worst.answer").alias("rejected"),
                     F.col("best.model").alias("chosen_model"), F.col("worst.model").alias("rejected_model"),
-                    "margin"))
+                    "margin", stamp.cast("timestamp").alias("created_ts")))
 
 
 def best_of_n(pool: DataFrame, value_col: str = "reward", schedule=C.BEST_OF_N_SCHEDULE) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gtspark import config as C
-from gtspark.operators import evaluate, retrieval
-from gtspark.plans.q_retrieval import answer_ctes, hits_df
+from gtspark.operators import evaluate, medallion, retrieval
+from gtspark.plans.q_retrieval import answer_ctes, answers_from_hits, hits_df, retrieve_sql
 from gtspark.plans.q_text import hashed_sql, sents_sql
 from gtspark.plans.q_truth import TRUTH_BODY, truth_df
 from gtspark.plans.registry import register
+from gtspark.plans.views import v_cases, v_claims, v_given, v_queries, v_reports, with_views
 from gtspark.session import materialise
-from gtspark.plans.views import v_claims, v_queries, with_views
 
 
 def grounded_answers(spark, sf_dir):
@@ -87,29 +87,110 @@ _FOUND_SQL = """coalesce(
 
 
 @register("halluc_flag", with_views("", "v_points", "v_storms", "v_claims").rstrip() + "," + TRUTH_BODY + f"""
-SELECT c.event_id, c.storm_id, t.landfall_category AS expected,
+SELECT c.event_id, c.storm_id, t.landfall_category AS expected, t.landfall_category IS NOT NULL AS checkable,
+       coalesce((CASE WHEN t.landfall_category IS NOT NULL THEN {_FOUND_SQL} END) <> t.landfall_category, FALSE) AS contradicted,
        CASE WHEN t.landfall_category IS NOT NULL THEN {_FOUND_SQL} END AS found,
        (CASE WHEN t.landfall_category IS NOT NULL THEN {_FOUND_SQL} END) <> t.landfall_category AS hallucinated
 FROM v_claims c LEFT JOIN storm_truth t ON t.storm_id = c.storm_id""")
 def halluc_flag(spark, sf_dir):
     """Claimed category against the ground-truth table."""
     chk = evaluate.truth_check(v_claims(spark, sf_dir), truth_df(spark, sf_dir))
-    return chk.select("event_id", "storm_id", "expected", "found", "hallucinated")
+    return chk.select("event_id", "storm_id", "expected", "found", "checkable", "contradicted", "hallucinated")
+
+
+PRICED = "openai:gpt-4o-mini"
 
 
 def generations(spark, sf_dir):
-    """Both answerers over the benchmark questions (E11: more models = more rows)."""
-    q = v_queries(spark, sf_dir)
-    hits = hits_df(spark, sf_dir)
-    parts = [retrieval.grounded_answer(q, hits), retrieval.prior_answer(q, hits)]
-    g = parts[0].unionByName(parts[1])
+    """Two answerers, one of them also under a priced model's name, over the storm cases (E11: more models = more rows)."""
+    cases = v_cases(spark, sf_dir)
+    docs = medallion.event_corpus(v_reports(spark, sf_dir), id_col="doc_id", text_col="text")
+    q = cases.select("query_id", "query")
+    hits = retrieval.retrieve(q, materialise(retrieval.chunk_docs(docs), "chunks"), k=C.TOP_K, top_k=C.TOP_K)
+    g = retrieval.grounded_answer(q, hits)
+    g = g.unionByName(g.withColumn("model", F.lit(PRICED))).unionByName(retrieval.prior_answer(q, hits))
+    g = g.join(cases.select("query_id", "storm_id"), "query_id")
     return materialise(
-        g.select(F.col("query_id").alias("question_id"), F.lit(None).cast("string").alias("storm_id"),
-                 F.col("query").alias("question"), "model", "answer", "prompt_tokens",
-                 "completion_tokens", "contexts"), "generations")
+        g.select(F.col("query_id").alias("question_id"), "storm_id", F.col("query").alias("question"), "model", "answer",
+                 "prompt_tokens", "completion_tokens", "contexts"), "generations")
+
+
+_PRICE = " ".join(f"WHEN '{m}' THEN prompt_tokens / 1000.0 * {a} + completion_tokens / 1000.0 * {b}"
+                  for m, (a, b) in C.PRICING.items())
+_RUN_SQL = (retrieve_sql("v_reports", "v_cases").replace("\nWITH ", "WITH ") + answers_from_hits("v_cases", True, False, "_g")
+            + answers_from_hits("v_cases", False, True, "_n") + f""",
+gen AS (SELECT m.model, g.*, greatest(1, length(g.query || g.context) // 4) AS prompt_tokens
+        FROM ans_g g, (VALUES ('mock-grounded'), ('{PRICED}')) m(model)
+        UNION ALL SELECT 'mock-naive', n.*, greatest(1, length(n.query) // 4) FROM ans_n n),
+ans AS (SELECT model || '|' || query_id AS query_id, query, contexts, answer FROM gen)""" + _CLAIMS_SQL + _REL_SQL
+            + f""",
+truth AS ({{truth}}),
+rows_ AS (SELECT gen.model, gen.query_id AS question_id, c.storm_id, gen.answer, gen.prompt_tokens,
+                 greatest(1, length(gen.answer) // 4) AS completion_tokens, len(gen.contexts) AS n_ctx,
+                 coalesce(g.groundedness, 0.0) AS groundedness, coalesce(g.faithfulness, 0.0) AS faithfulness,
+                 CASE WHEN len(gen.contexts) > 0 THEN coalesce(cd.d, 0.0) / (1 + 1e-9) / len(gen.contexts) ELSE 0.0 END AS context_relevance,
+                 coalesce(ad.d, 0.0) / (1 + 1e-9) AS answer_relevance,
+                 CASE WHEN t.landfall_category IS NOT NULL THEN {_FOUND_SQL.replace('answer', 'gen.answer')} END <> t.landfall_category
+                   AS hallucinated
+          FROM gen JOIN v_cases c ON c.query_id = gen.query_id
+          LEFT JOIN truth t ON t.storm_id = c.storm_id
+          LEFT JOIN g ON g.aid = gen.model || '|' || gen.query_id
+          LEFT JOIN cdot cd ON cd.aid = gen.model || '|' || gen.query_id
+          LEFT JOIN adot ad ON ad.aid = gen.model || '|' || gen.query_id)
+SELECT 'run-' || model AS run_id, model, question_id, storm_id, answer, round(groundedness, 6) AS groundedness,
+       round(faithfulness, 6) AS faithfulness, round(context_relevance, 6) AS context_relevance,
+       round(answer_relevance, 6) AS answer_relevance, round(groundedness, 6) AS judge_score, hallucinated,
+       round(CASE model {_PRICE} ELSE 0.0 END, 6)::DOUBLE AS cost_usd, prompt_tokens, completion_tokens,
+       round(groundedness - CASE WHEN hallucinated THEN 1.0 ELSE 0.0 END, 6) AS reward
+FROM rows_""")
+
+
+def _run_sql() -> str:
+    body = _RUN_SQL.replace("{truth}", "SELECT * FROM storm_truth")
+    views = with_views("", "v_points", "v_storms").rstrip() + "," + TRUTH_BODY
+    return views + ",\n" + body[len("WITH "):]
+
+
+@register("benchmark_run", _run_sql())
+def benchmark_run(spark, sf_dir):
+    """The evaluation rows of three models over the storm cases."""
+    rows = evaluate.evaluation_rows(generations(spark, sf_dir), truth_df(spark, sf_dir))
+    rounded = ("groundedness", "faithfulness", "context_relevance", "answer_relevance", "judge_score", "reward")
+    return rows.select("run_id", "model", "question_id", "storm_id", "answer", "hallucinated", "cost_usd", "prompt_tokens",
+                       "completion_tokens", *[F.round(c, 6).alias(c) for c in rounded])
 
 
-@register("benchmark_run")
-def benchmark_run(spark, sf_dir):
-    """The 18-column evaluation rows of both answerers."""
-    return evaluate.evaluation_rows(generations(spark, sf_dir), truth_df(spark, sf_dir))
+_GIVEN_SQL = with_views(f""", ans AS (SELECT aid AS query_id, question AS query, answer, contexts, expected, verdict FROM v_given)
+{_CLAIMS_SQL}{_REL_SQL}""", "v_pairs", "v_given")
+
+
+@register("given_answers", _GIVEN_SQL + f"""
+SELECT a.query_id AS aid, round(coalesce(g.groundedness, 0.0), 6) AS groundedness,
+       round(coalesce(g.faithfulness, 0.0), 6) AS faithfulness, round(coalesce(d.d, 0.0) / (1 + 1e-9), 6) AS answer_relevance,
+       {_FOUND_SQL} <> expected AS hallucinated
+FROM ans a LEFT JOIN g ON g.aid = a.query_id LEFT JOIN adot d ON d.aid = a.query_id""")
+def given_answers(spark, sf_dir):
+    """Metrics of given answers with their contexts and expected categories."""
+    r = evaluate.evaluate_given(v_given(spark, sf_dir))
+    return r.select("aid", *[F.round(c, 6).alias(c) for c in ("groundedness", "faithfulness", "answer_relevance")], "hallucinated")
+
+
+@register("judge_scores", _GIVEN_SQL + """
+SELECT a.query_id AS aid, round(coalesce(g.groundedness, 0.0), 6) AS groundedness,
+       round(coalesce(a.verdict, g.groundedness, 0.0), 6) AS judge_score
+FROM ans a LEFT JOIN g ON g.aid = a.query_id""")
+def judge_scores(spark, sf_dir):
+    """Supplied verdicts where they can be read, else the heuristic judge."""
+    given = v_given(spark, sf_dir)
+    a = given.select("aid", F.col("question").alias("query"), "answer",
+                     F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"))
+    r = evaluate.judged(evaluate.grounding(a), given.filter(F.col("verdict").isNotNull()).select("aid", "verdict"))
+    return r.select("aid", F.round("groundedness", 6).alias("groundedness"), F.round("judge_score", 6).alias("judge_score"))
+
+
+@register("judge_prompts", with_views(f"""
+SELECT aid, replace(replace('{C.JUDGE_TEMPLATE}', '{{{{ answer }}}}', answer), '{{{{ context }}}}',
+                    array_to_string(contexts, chr(10) || chr(10))) AS prompt FROM v_given""", "v_pairs", "v_given"))
+def judge_prompts(spark, sf_dir):
+    """The judge's prompt for every given answer."""
+    return evaluate.judge_prompts(v_given(spark, sf_dir))

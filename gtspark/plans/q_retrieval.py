@@ -53,21 +53,26 @@ def hits_df(spark, sf_dir):
     return retrieval.retrieve(v_queries(spark, sf_dir), chunk_table(spark, sf_dir), k=K, top_k=K)
 
 
-RETRIEVE_SQL = with_views(f", {CORPUS_SQL}, {CHUNKS_SQL}, "
-                          + hashed_sql("qvec", "v_queries", "query_id", "query") + ", "
-                          + hashed_sql("cvec", "chunks", "chunk_id", "text") + f""",
+def retrieve_sql(docs: str = "v_docs", queries: str = "v_queries") -> str:
+    """CTEs ending in ``hits`` (query_id, rank, chunk_id, doc_id, text, score) over the named views."""
+    return with_views(f", {CORPUS_SQL}, {CHUNKS_SQL}, ".replace("v_docs", docs)
+                      + hashed_sql("qvec", queries, "query_id", "query") + ", "
+                      + hashed_sql("cvec", "chunks", "chunk_id", "text") + f""",
 dots AS (SELECT q.id AS query_id, c.id AS chunk_id, SUM(q.w * c.w) AS dot
          FROM qvec q JOIN cvec c ON c.bucket = q.bucket GROUP BY 1, 2),
 scored AS (SELECT q.query_id, c.chunk_id, round(coalesce(d.dot, 0.0) / (1 + 1e-9), 9) AS score
-           FROM v_queries q CROSS JOIN chunks c
+           FROM {queries} q CROSS JOIN chunks c
            LEFT JOIN dots d ON d.query_id = q.query_id AND d.chunk_id = c.chunk_id),
 top AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank0
                        FROM scored) WHERE rank0 <= {K}),
 rr AS (SELECT t.query_id, t.chunk_id, c.doc_id, c.text, t.rank0,
               round(0.5 * t.score + 0.5 * {overlap_sql('q.query', 'c.text')}, 9) AS score
-       FROM top t JOIN chunks c ON c.chunk_id = t.chunk_id JOIN v_queries q ON q.query_id = t.query_id),
+       FROM top t JOIN chunks c ON c.chunk_id = t.chunk_id JOIN {queries} q ON q.query_id = t.query_id),
 hits AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, rank0) AS rank
-                        FROM rr) WHERE rank <= {K})""", "v_docs", "v_queries")
+                        FROM rr) WHERE rank <= {K})""", docs, queries)
+
+
+RETRIEVE_SQL = retrieve_sql()
 
 
 @register("retrieve_rerank", RETRIEVE_SQL + """
@@ -95,7 +100,8 @@ def answer_ctes(bonus: bool = True, prior: bool = False) -> str:
     return full[:full.rindex("\nSELECT qa.query_id")]
 
 
-def _answer_sql(bonus: bool, model: str, prior: bool) -> str:
+def answers_from_hits(queries: str, bonus: bool, prior: bool, tag: str = "") -> str:
+    """CTEs from ``hits`` to ``ans`` (query_id, query, context, contexts, answer) of one answerer."""
     bonus_sql = ("+ CASE WHEN (lower(query) LIKE '%landfall%' OR lower(query) LIKE '%ashore%') "
                  "AND (lower(sent) LIKE '%landfall%' OR lower(sent) LIKE '%ashore%') THEN 0.5 ELSE 0.0 END"
                  if bonus else "")
@@ -103,20 +109,24 @@ def _answer_sql(bonus: bool, model: str, prior: bool) -> str:
     if prior:
         cases = " ".join(f"WHEN lower(qa.query) LIKE '%{k}%' THEN '{v}'" for k, v in C.NAIVE_PRIOR)
         answer = f"CASE {cases} ELSE {answer} END"
+    return f""",
+ctx{tag} AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS context, list(text ORDER BY rank) AS contexts
+        FROM hits GROUP BY 1),
+qa{tag} AS (SELECT q.query_id, q.query, coalesce(c.context, '') AS context, coalesce(c.contexts, []::VARCHAR[]) AS contexts
+       FROM {queries} q LEFT JOIN ctx{tag} c ON c.query_id = q.query_id),
+ex{tag} AS (SELECT query_id, query, unnest(s) AS sent, unnest(generate_series(0, len(s) - 1)) AS pos
+       FROM (SELECT query_id, query, {raw_sents_sql('context')} AS s FROM qa{tag})),
+sc{tag} AS (SELECT *, {overlap_sql('query', 'sent')} {bonus_sql} AS score FROM ex{tag}),
+b{tag} AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rn
+                     FROM sc{tag}) WHERE rn = 1),
+ans{tag} AS (SELECT qa.query_id, qa.query, qa.context, qa.contexts, {answer} AS answer
+        FROM qa{tag} qa LEFT JOIN b{tag} b ON b.query_id = qa.query_id)"""
+
+
+def _answer_sql(bonus: bool, model: str, prior: bool) -> str:
     prompt = ("greatest(1, length(qa.query) // 4)" if prior
               else "greatest(1, length(qa.query || qa.context) // 4)")
-    return RETRIEVE_SQL + f""",
-ctx AS (SELECT query_id, string_agg(text, ' ' ORDER BY rank) AS context, list(text ORDER BY rank) AS contexts
-        FROM hits GROUP BY 1),
-qa AS (SELECT q.query_id, q.query, coalesce(c.context, '') AS context, coalesce(c.contexts, []::VARCHAR[]) AS contexts
-       FROM v_queries q LEFT JOIN ctx c ON c.query_id = q.query_id),
-ex AS (SELECT query_id, query, unnest(s) AS sent, unnest(generate_series(0, len(s) - 1)) AS pos
-       FROM (SELECT query_id, query, {raw_sents_sql('context')} AS s FROM qa)),
-sc AS (SELECT *, {overlap_sql('query', 'sent')} {bonus_sql} AS score FROM ex),
-b AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rn
-                     FROM sc) WHERE rn = 1),
-ans AS (SELECT qa.query_id, qa.query, qa.context, qa.contexts, {answer} AS answer
-        FROM qa LEFT JOIN b ON b.query_id = qa.query_id)
+    return RETRIEVE_SQL + answers_from_hits("v_queries", bonus, prior) + f"""
 SELECT qa.query_id, '{model}' AS model, ans.answer,
        {prompt} AS prompt_tokens, greatest(1, length(ans.answer) // 4) AS completion_tokens
 FROM qa JOIN ans ON ans.query_id = qa.query_id"""

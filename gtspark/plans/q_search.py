@@ -44,23 +44,25 @@ def idf_search(spark, sf_dir):
 
 _ASKED_SQL = """
 SELECT conv_id || ':' || turn AS query_id, CASE turn % 6 WHEN 0 THEN text WHEN 1 THEN 'Hello ' || text
-         WHEN 2 THEN 'hurricane ' || text WHEN 3 THEN 'storm damage ' || text WHEN 4 THEN '  ' ELSE text || ' Hugo?' END AS query,
-       conv_id % 2 = 0 AS hit
+         WHEN 2 THEN 'hurricane ' || text WHEN 3 THEN 'storm damage ' || text WHEN 4 THEN '  '
+         ELSE 'Hugo x' || conv_id || 'x' || turn || CASE WHEN conv_id % 2 = 0 THEN ' ' || text ELSE '' END END AS query
 FROM conversations"""
 
 
-@register("route_question", f"""
-WITH a AS ({_ASKED_SQL}), q AS (SELECT *, trim(query) AS t FROM a)
+@register("route_question", with_views(f", {CORPUS_SQL}, asked AS ({_ASKED_SQL}),".rstrip() + _SEARCH_SQL.replace("v_queries", "asked") + f""",
+q AS (SELECT *, trim(query) AS t, query_id IN (SELECT query_id FROM scored) AS hit FROM asked)
 SELECT query_id, CASE WHEN t = '' THEN 'none' WHEN regexp_matches(t, '{C.GREETING_RE}') THEN 'greet'
   WHEN NOT (regexp_matches(t, '{C.HURRICANE_RE}')
             OR list_has_any({tokens_sql('t')}, [{', '.join(f"'{n}'" for n in C.SEARCH_STORM_NAMES)}])) THEN 'refuse'
   WHEN regexp_matches(t, '{C.IMPACT_RE}') THEN 'external' WHEN hit THEN 'corpus' ELSE 'external' END AS route
-FROM q""")
+FROM q""", "v_docs"))
 def route_question(spark, sf_dir):
-    """The route of every conversation turn, asked in six forms."""
+    """The route of every conversation turn, asked in six forms, by the hits of the sentence search."""
     c, t = table(spark, sf_dir, "conversations"), F.col("turn") % 6
     text = F.col("text")
+    named = F.concat(F.lit("Hugo x"), F.col("conv_id").cast("string"), F.lit("x"), F.col("turn").cast("string"),
+                     F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit(" "), text)).otherwise(""))
     query = (F.when(t == 0, text).when(t == 1, F.concat(F.lit("Hello "), text)).when(t == 2, F.concat(F.lit("hurricane "), text))
-             .when(t == 3, F.concat(F.lit("storm damage "), text)).when(t == 4, "  ").otherwise(F.concat(text, F.lit(" Hugo?"))))
-    q = c.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), query.alias("query"), "conv_id")
-    return search.route_questions(q, q.filter(F.col("conv_id") % 2 == 0).select("query_id"))
+             .when(t == 3, F.concat(F.lit("storm damage "), text)).when(t == 4, "  ").otherwise(named))
+    q = c.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), query.alias("query"))
+    return search.route_questions(q, search.answerable(q, corpus(spark, sf_dir)))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gtspark import config as C
 from gtspark.operators import stats
 from gtspark.plans.registry import register
-from gtspark.plans.views import v_evals, with_views
+from gtspark.plans.views import v_claims, v_evals, with_views
 
 METRIC, MODEL_A, MODEL_B = "groundedness", "m0", "m1"
 
@@ -63,17 +63,20 @@ def paired_ab_test(spark, sf_dir):
 
 
 @register("preference_pairs", with_views("""
-SELECT sha256(question_id) AS pair_id, question_id, chosen, rejected, chosen_model, rejected_model,
-       margin FROM (
-  SELECT question_id, COUNT(*) AS n,
-         arg_max(event_id, (reward, -event_id)) AS chosen, arg_min(event_id, (reward, -event_id)) AS rejected,
+SELECT sha256(question_id) AS pair_id, question_id, question, chosen, rejected, chosen_model, rejected_model,
+       margin, TRUE AS stamped FROM (
+  SELECT question_id, COUNT(*) AS n, arg_min('What of ' || question_id || '?', event_id) AS question,
+         arg_max(answer, (reward, -event_id)) AS chosen, arg_min(answer, (reward, -event_id)) AS rejected,
          arg_max(model, (reward, -event_id)) AS chosen_model, arg_min(model, (reward, -event_id)) AS rejected_model,
          MAX(reward) - MIN(reward) AS margin
-  FROM v_evals GROUP BY question_id)
-WHERE n >= 2 AND margin > 0""", "v_evals"))
+  FROM v_evals JOIN v_claims USING (event_id, storm_id) GROUP BY question_id)
+WHERE n >= 2 AND margin > 0""", "v_evals", "v_claims"))
 def preference_pairs(spark, sf_dir):
-    """Best vs worst answer per question."""
-    return stats.preference_pairs(v_evals(spark, sf_dir))
+    """Best vs worst answer text per question, with the question and a time."""
+    e = v_evals(spark, sf_dir).join(v_claims(spark, sf_dir), ["event_id", "storm_id"])
+    e = e.withColumn("question", F.concat(F.lit("What of "), "question_id", F.lit("?")))
+    p = stats.preference_pairs(e, "answer", question_col="question")
+    return p.withColumn("stamped", F.col("created_ts").isNotNull()).drop("created_ts")
 
 
 @register("best_of_n", with_views(f""",

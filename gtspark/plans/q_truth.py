@@ -8,6 +8,7 @@ from gtspark import config as C
 from gtspark.operators import medallion
 from gtspark.plans.registry import register
 from gtspark.plans.views import v_points, v_storms, with_views
+from gtspark.session import scratch_path
 
 
 def truth_df(spark, sf_dir):
@@ -118,3 +119,44 @@ FROM (SELECT *, {cat_sql('max_wind_kt')} AS cat,
 def track_fields(spark, sf_dir):
     """Flattened card tracks."""
     return catalogue.track_rows(v_points(spark, sf_dir))
+
+
+_CARD_TRACK_SQL = f"""
+fx AS (SELECT storm_id, row_number() OVER (PARTITION BY storm_id ORDER BY obs_time, line_no) - 1 AS seq, round(lat, 1) AS lat,
+              round(lon, 1) AS lon, max_wind_kt AS wind, min_pressure_mb AS pres, {cat_sql('max_wind_kt')} AS cat,
+              strftime(obs_time, '%Y-%m-%d %HZ') AS time, coalesce(record_id = 'L', FALSE) AS landfall
+       FROM v_points WHERE max_wind_kt IS NOT NULL),
+recs AS (SELECT storm_id, (seq // 50)::INTEGER AS part, count(*) AS n_fixes,
+                sha256(string_agg(concat_ws('|', seq, (lat * 10)::BIGINT, (lon * 10)::BIGINT, wind, coalesce(pres::VARCHAR, '-'),
+                                            cat, time, landfall), chr(10) ORDER BY seq)) AS track_sha256
+         FROM fx GROUP BY 1, 2)"""
+
+
+@register("card_export", _pts_sql(f""", {_REGION_SQL}, {_CARD_TRACK_SQL},
+agg AS (SELECT storm_id, max(wind) AS peak_wind, max(cat) AS peak_cat, count(*) AS n_track FROM fx GROUP BY 1)
+SELECT r.storm_id AS id, upper(substr(r.name, 1, 1)) || lower(substr(r.name, 2)) AS name, r.year, a.peak_wind, a.peak_cat, a.n_track,
+       recs.part, recs.n_fixes, recs.track_sha256
+FROM region r JOIN agg a USING (storm_id) JOIN recs USING (storm_id)"""))
+def card_export(spark, sf_dir):
+    """A14 SNK9: cards with nested tracks, 50 fixes a record, exported as JSON and read back."""
+    pts, path = v_points(spark, sf_dir), scratch_path(spark, "cards")
+    cards = catalogue.storm_cards(catalogue.region_storms(v_storms(spark, sf_dir), pts), pts)
+    catalogue.export_cards(cards, catalogue.track_rows(pts), path, fixes=50)
+    tenth = lambda c: F.round(c * 10).cast("long").cast("string")
+    line = F.transform("track", lambda t: F.concat_ws(
+        "|", t["seq"].cast("string"), tenth(t["lat"]), tenth(t["lon"]), t["wind"].cast("string"),
+        F.coalesce(t["pres"].cast("string"), F.lit("-")), t["cat"].cast("string"), t["time"], t["landfall"].cast("string")))
+    return catalogue.read_cards(spark, path).select(
+        "id", "name", "year", "peak_wind", "peak_cat", "n_track", "part", F.size("track").cast("long").alias("n_fixes"),
+        F.sha2(F.array_join(line, "\n"), 256).alias("track_sha256"))
+
+
+@register("catalogue_filter", _pts_sql(f""", {_REGION_SQL},
+agg AS (SELECT storm_id, max({cat_sql('max_wind_kt')}) AS peak_cat FROM v_points WHERE max_wind_kt IS NOT NULL GROUP BY 1)
+SELECT r.storm_id AS id, r.year, a.peak_cat FROM region r JOIN agg a USING (storm_id)
+WHERE a.peak_cat >= 3 AND r.year BETWEEN 1985 AND 2015 AND contains(lower(r.name), '1')"""))
+def catalogue_filter(spark, sf_dir):
+    """cards by year bounds, least category and part of the name."""
+    pts = v_points(spark, sf_dir)
+    cards = catalogue.storm_cards(catalogue.region_storms(v_storms(spark, sf_dir), pts), pts)
+    return catalogue.filter_catalogue(cards, 1985, 2015, 3, " 1 ").select("id", "year", "peak_cat")

@@ -24,7 +24,7 @@ def register(name: str, sql: str | None = None):
 
 
 PLAN_MODULES = ("q_truth", "q_marts", "q_text", "q_retrieval", "q_evaluate", "q_stats",
-                "q_forecast", "q_sources", "q_geo", "q_stream", "q_ingest", "q_search")
+                "q_forecast", "q_sources", "q_geo", "q_stream", "q_ingest", "q_search", "q_feeds", "q_sweep", "q_catalog")
 
 
 def load_all():

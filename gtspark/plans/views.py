@@ -145,10 +145,53 @@ def v_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1980) + F.col("user_id") % 44).cast("int").alias("year"))
 
 
+def _storm_label(key):
+    """Names that questions and reports share; some hold a name of the prior table."""
+    known = F.element_at(F.array(F.lit("Florence "), F.lit("Dorian "), F.lit("Irene ")), (key % 10 + 1).cast("int"))
+    return F.concat(F.lit("Hurricane "), F.when(key % 10 < 3, known).otherwise(""), F.lit("U"), key.cast("string"))
+
+
+def v_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Storm reports: a text per storm that states a landfall category taken from its events."""
+    ev = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(_k()).alias("k"), F.count(F.lit(1)).alias("n"))
+    u, name = F.col("user_id"), _storm_label(F.col("user_id"))
+    text = F.concat(name, F.lit(" formed over open water. "), name, F.lit(" made landfall as a Category "),
+                    (F.col("k") % 6).cast("string"), F.lit(" hurricane. "), F.lit("Damage near zone "), (u % 7).cast("string"),
+                    F.lit(" was reported by "), F.col("n").cast("string"), F.lit(" observers."))
+    return ev.select(F.concat(F.lit("r"), u.cast("string")).alias("doc_id"), text.alias("text"))
+
+
+def v_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation cases: a question per storm; every fourth has no storm id."""
+    u = F.col("user_id")
+    ev = table(spark, sf_dir, "events").select("user_id").distinct()
+    name = _storm_label(u)
+    ask = (F.when(u % 2 == 0, F.concat(F.lit("What category was "), name, F.lit(" when it made landfall?")))
+           .otherwise(F.concat(F.lit("Where did "), name, F.lit(" come ashore, and what was the damage?"))))
+    return ev.select(F.concat(F.lit("q"), u.cast("string")).alias("query_id"),
+                     F.when(u % 4 > 0, u.cast("string")).alias("storm_id"), ask.alias("query"))
+
+
+def v_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given answers: conversation pairs with a claimed category, an expected one and contexts."""
+    p, c, t = v_pairs(spark, sf_dir), F.col("conv_id"), F.col("u_turn")
+    claim = F.when(c % 3 > 0, F.concat(F.lit(" It was a Category "), (c % 5 + 1).cast("string"), F.lit("."))).otherwise("")
+    ctx = (F.when((c + t) % 4 == 0, F.array("answer")).when((c + t) % 4 == 1, F.array("question", "answer"))
+           .when((c + t) % 4 == 2, F.array("question")))
+    verdict = (F.when(c % 6 == 0, '{"grounded": true, "reason": "all in the context"}')
+               .when(c % 6 == 1, '{"grounded": false, "reason": "a \\"quote\\""}').when(c % 6 == 2, "I think it is fine.")
+               .when(c % 6 == 3, '{"reason": "no verdict"}').when(c % 6 == 4, '{"grounded": tr'))
+    return p.select(F.col("pair_id").alias("aid"), "question", F.concat("answer", claim).alias("answer"), ctx.alias("contexts"),
+                    F.when(t % 4 < 3, (t % 5 + 1).cast("int")).alias("expected"), verdict.alias("verdict"))
+
+
 # ---------------------------------------------------------------------------
 # DuckDB text of the same views, as CTE bodies
 # ---------------------------------------------------------------------------
 
+_LABEL = ("('Hurricane ' || CASE user_id % 10 WHEN 0 THEN 'Florence ' WHEN 1 THEN 'Dorian ' WHEN 2 THEN 'Irene ' ELSE '' END "
+          "|| 'U' || user_id)")
+
 SQL_VIEWS = {
     "v_points": """
         SELECT CAST(user_id AS VARCHAR) AS storm_id, ts AS obs_time, event_id AS line_no,
@@ -214,6 +257,23 @@ SQL_VIEWS = {
                CAST((CAST(json_extract_string(props, '$.k') AS INTEGER) + event_id % 2) % 6 AS INTEGER) AS predicted,
                CAST(1980 + user_id % 44 AS INTEGER) AS year
         FROM events""",
+    "v_reports": f"""
+        SELECT 'r' || user_id AS doc_id, {_LABEL} || ' formed over open water. ' || {_LABEL} || ' made landfall as a Category '
+               || (k % 6) || ' hurricane. Damage near zone ' || (user_id % 7) || ' was reported by ' || n || ' observers.' AS text
+        FROM (SELECT user_id, min(CAST(json_extract_string(props, '$.k') AS INTEGER)) AS k, count(*) AS n FROM events GROUP BY 1)""",
+    "v_cases": f"""
+        SELECT 'q' || user_id AS query_id, CASE WHEN user_id % 4 > 0 THEN user_id::VARCHAR END AS storm_id,
+               CASE WHEN user_id % 2 = 0 THEN 'What category was ' || {_LABEL} || ' when it made landfall?'
+                    ELSE 'Where did ' || {_LABEL} || ' come ashore, and what was the damage?' END AS query
+        FROM (SELECT DISTINCT user_id FROM events)""",
+    "v_given": """
+        SELECT pair_id AS aid, question,
+               answer || CASE WHEN conv_id % 3 > 0 THEN ' It was a Category ' || (conv_id % 5 + 1) || '.' ELSE '' END AS answer,
+               CASE (conv_id + u_turn) % 4 WHEN 0 THEN [answer] WHEN 1 THEN [question, answer] WHEN 2 THEN [question]
+                    ELSE [] END AS contexts,
+               CASE WHEN u_turn % 4 < 3 THEN (u_turn % 5 + 1)::INTEGER END AS expected,
+               CASE conv_id % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 3 THEN 0.0 END::DOUBLE AS verdict
+        FROM v_pairs""",
 }
 
 

@@ -47,7 +47,7 @@ def _owned(spark: SparkSession, path: str, continued: bool) -> DataFrame:
                                   F.last("_last", ignorenulls=True).over(carry_w).alias("_carry"))
     fill_w = (Window.partitionBy("file", "block").orderBy("pos")
               .rowsBetween(Window.unboundedPreceding, 0))
-    return (ln.join(F.broadcast(carry), ["file", "block"])  # one row per split
+    return (ln.join(carry, ["file", "block"])  # one row per split
             .withColumn("_owner", F.coalesce(F.last("_hdr", ignorenulls=True).over(fill_w), F.col("_carry"))))
 
 

@@ -22,13 +22,46 @@ def append_evaluations(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.format(fmt).mode("append").partitionBy("model").save(path)
 
 
+def _fs(spark, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def swap_in(spark, new: str, path: str) -> None:
+    """Put the complete table at ``new`` in the place of ``path``; the one before lies at ``path.before`` until that is done."""
+    fs, target = _fs(spark, path)
+    source, before = _fs(spark, new)[1], _fs(spark, path + ".before")[1]
+    if fs.exists(target):
+        fs.delete(before, True)
+        if not fs.rename(target, before):
+            raise OSError(f"could not set {path} aside")
+    if not fs.rename(source, target):
+        raise OSError(f"could not put {new} in the place of {path}")
+    fs.delete(before, True)
+
+
+def recover(spark, path: str) -> None:
+    """After a crash between the two renames: the version set aside comes back."""
+    fs, target = _fs(spark, path)
+    before = _fs(spark, path + ".before")[1]
+    if not fs.exists(target) and fs.exists(before):
+        fs.rename(before, target)
+
+
 def replace_rows(df: DataFrame, path: str, keys: tuple, fmt: str = "parquet") -> None:
-    """SNK4: rows of the keys in ``df`` are replaced, others stay; a rerun changes nothing."""
+    """SNK4: rows of the keys in ``df`` are replaced, others stay; a rerun changes nothing.
+
+    The next version is written beside the table and swapped in, so the table
+    is whole at every moment or can be recovered (the next call does).
+    """
     spark = df.sparkSession
+    recover(spark, path)
     new = materialise(df, "replace")
     old = spark.read.format(fmt).schema(df.schema).load(path)
     kept = old.join(new.select(*keys).distinct(), list(keys), "leftanti").select(*df.columns)
-    materialise(kept.unionByName(new), "replaced").write.format(fmt).mode("overwrite").save(path)
+    aside = f"{path}.next"
+    kept.unionByName(new).write.format(fmt).mode("overwrite").save(aside)
+    swap_in(spark, aside, path)
 
 
 def append_run_log(runs: DataFrame, path: str) -> None:

@@ -36,7 +36,7 @@ def test_fit_beats_the_majority_class(spark):
         x = [rng.uniform(0, 100) for _ in forecast.FEATURES]
         rows.append((str(i), 1980 + i % 40, min(5, int(x[0] // 17)), *x))
     feats = spark.createDataFrame(rows, ["storm_id", "year", "label", *forecast.FEATURES])
-    rep, confusion, _ = forecast.evaluate(feats, n_trees=20)
+    rep, confusion, _ = forecast.evaluate(feats, rounds=10)
     share = forecast.majority_share(feats).first()[0]
     r = rep.first()
     assert r.accuracy > share + 0.2 and r.n_train + r.n_test == 400 and r.n_test == r.n
