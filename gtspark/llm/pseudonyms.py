@@ -10,9 +10,14 @@ cycle walking.  Equal values get equal pseudonyms in every document, different
 values of one format different ones:
 
 * card: all digits but the last, which becomes the Luhn digit; separators stay
-* phone: all digits after the country code; separators stay
+* phone: all digits after the country code, which is read from the digits of a
+  number with ``+``, so its notations are linked; separators stay.  A number
+  without ``+`` has no code and is not linked to one that has
 * social security number: area (898 valid ones) and group with serial
-* date: the day within the 400 years from 1800 on, in its own notation
+* date: the day within the 400 years from 1800 on, in its own notation.  Days up
+  to the 12th of a month are permuted among themselves and so are the later
+  ones, so a slash date keeps its reading (month-first where it can be) and a
+  day has one pseudonym in all notations
 * IPv4: the 32 bits as two halves
 * e-mail: runs of letters and of digits of the local part and of the first
   domain label, in runs of up to 24 letters or 36 digits; the rest stays
@@ -43,7 +48,11 @@ PHONE = (r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
 ALL = "|".join(f"(?:{p})" for p in (EMAIL, IP, DATE, SSN, PHONE, CARD))
 
-DAY0, DAYS = "1800-01-01", 146097                  # 189 * 773 days are 400 years
+DAY0, DAYS = "1800-01-01", 146097                  # 400 years
+EARLY = 12 * 4800                                  # 240 * 240 days up to the 12th of a month
+LATE = DAYS - EARLY                                # 9 * 9833 days after it
+# fixed values: country calling codes of one and two digits; all others have three
+CALLING = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def feistel(left: Column, a: Column, right: Column, b: Column, key: str, tweak: str) -> Column:
@@ -133,7 +142,7 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1)
+    code = F.when(m.startswith("+"), F.regexp_extract(_only_digits(m), CALLING, 1)).otherwise("")
 
     def swap(s):
         own = F.substring(s["d"], F.length(s["c"]) + 1, F.length(s["d"]))
@@ -154,12 +163,41 @@ def _ssn(m: Column, key: str) -> Column:
     return let(F.struct(*[p[i].cast("int").alias(c) for i, c in enumerate("agn")]), swap)
 
 
+def _number(d: Column) -> Column:
+    return F.date_diff(d, F.lit(DAY0).cast("date"))
+
+
+def _month(i: Column) -> Column:
+    """First day of the i-th month from 1800 on."""
+    return F.make_date((F.lit(1800) + F.floor(i / 12)).cast("int"), (F.pmod(i, F.lit(12)) + 1).cast("int"), F.lit(1))
+
+
+def _late_before(i: Column) -> Column:
+    """Days after a 12th before the i-th month."""
+    return _number(_month(i)) - i * 12
+
+
+def _late_day(k: Column) -> Column:
+    """The k-th day that comes after the 12th of its month: its month is within two of the average one."""
+    near = F.floor(k * 4800 / LATE).cast("int")
+    months = F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda j: F.greatest(F.lit(0), F.least(F.lit(4799), near + j)))
+    month = F.array_max(F.filter(months, lambda i: _late_before(i) <= k))
+    return let(month, lambda i: F.date_add(_month(i), (k - _late_before(i) + 12).cast("int")))
+
+
 def _date(m: Column, key: str) -> Column:
     def swap(s):
         d, pattern = s["d"], s["f"]
-        day = F.date_diff(d, F.lit(DAY0).cast("date"))
-        new = feistel(F.floor(day / 773), F.lit(189), day % 773, F.lit(773), key, "date")
-        moved = let(new, lambda o: F.date_add(F.lit(DAY0).cast("date"), (o["l"] * 773 + o["r"]).cast("int")))
+        day = _number(d)
+        month = (F.year(d) - 1800) * 12 + F.month(d) - 1
+        nth = month * 12 + F.dayofmonth(d) - 1
+        new = feistel(F.floor(nth / 240), F.lit(240), nth % 240, F.lit(240), key, "early day")
+        early = let(new, lambda o: let(o["l"] * 240 + o["r"], lambda k: F.date_add(
+            _month(F.floor(k / 12)), (k % 12).cast("int"))))
+        kth = _late_before(month) + F.dayofmonth(d) - 13
+        new = feistel(F.floor(kth / 9833), F.lit(9), kth % 9833, F.lit(9833), key, "late day")
+        late = let(new, lambda o: let(o["l"] * 9833 + o["r"], _late_day))
+        moved = F.when(F.dayofmonth(d) <= 12, early).otherwise(late)
 
         def shown(x):
             out = F.lit(None).cast("string")

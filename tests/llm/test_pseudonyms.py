@@ -87,3 +87,35 @@ def test_clean_texts_nulls_empty_table_and_plan(spark):
     a, b = out.collect()
     assert a == b and a.n_ip == 2
     assert P.report(documents(spark, [])).count() == 0
+
+
+def test_every_date_of_every_notation_is_one_to_one_and_stays_readable(spark):
+    """All 234,594 slash dates (month-first, else day-first), all ISO and all dotted ones."""
+    day = "date_add(DATE'1800-01-01', cast(id AS int))"
+    days = spark.range(146097)
+    forms = {"iso": days.selectExpr(f"date_format({day}, 'yyyy-MM-dd') AS s"),
+             "dot": days.selectExpr(f"date_format({day}, 'dd.MM.yyyy') AS s"),
+             "slash": days.selectExpr(f"date_format({day}, 'MM/dd/yyyy') AS s").union(
+                 days.where(f"dayofmonth({day}) > 12").selectExpr(f"date_format({day}, 'dd/MM/yyyy') AS s"))}
+    for name, rows in forms.items():
+        n = rows.count()
+        assert n == (234594 if name == "slash" else 146097)
+        out = rows.repartition(8).select("s", P._date(F.col("s"), "k").alias("t"))
+        first, second = F.substring("t", 1, 2).cast("int"), F.substring("t", 4, 2).cast("int")
+        late = F.substring("s", 1, 2).cast("int") > 12
+        kept = (first > 12) & (second <= 12) if name == "slash" else F.lit(True)
+        month_first = (first <= 12) if name == "slash" else F.lit(True)
+        r = out.agg(F.count_distinct("t").alias("n"), F.count_if(F.col("t") == F.col("s")).alias("same"),
+                    F.count_if(F.when(late, kept).otherwise(month_first) if name == "slash" else kept).alias("ok"),
+                    F.count_if(F.length("t") == 10).alias("long")).first()
+        assert (r["n"], r["ok"], r["long"]) == (n, n, n) and r["same"] < 20, name
+
+
+def test_phone_notations_are_linked(spark):
+    t = [r.text for r in P.report(documents(spark, ["+1 555-555-7713 or +15555557713 or +1 (555) 555-7713",
+                                                    "+44 20 7946 0958, +442079460958", "+353 86 123 4567 +353861234567"]))
+         .orderBy("doc_id").collect()]
+    numbers = [re.findall(r"\+[\d ()-]*\d", x) for x in t]
+    for own, code in zip(numbers, ("1", "44", "353")):
+        bare = {re.sub(r"\D", "", x) for x in own}
+        assert len(own) > 1 and len(bare) == 1 and bare.pop().startswith(code), own
