@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .matching import let, placed
+from .matching import distinct_sorted, let, placed, running
 
 # fixed values: the base patterns
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -128,15 +128,41 @@ def _candidates(text: Column) -> Column:
 
     whole = let(bare(F.concat(placed(text, STANDARD), placed(text, URL_SAFE))), _without_names)
     parts = F.filter(bare(placed(text, PLAIN)), lambda t: _alphabet(t["value"])["bits"] < 6)
-    return F.array_distinct(F.filter(F.concat(whole, parts), lambda t: t["end"] - t["start"] >= LEAST))
+    return distinct_sorted(F.filter(F.concat(whole, parts), lambda t: t["end"] - t["start"] >= LEAST))
+
+
+def _uncovered(spans: Column, covers: Column) -> Column:
+    """The ``spans`` that lie in none of ``covers``, in order; both are arrays of (start, end).
+
+    Sorted by start and falling end, covers first, a span lies in one before it
+    exactly when the greatest end before reaches its own.
+    """
+    def marked(items, own):
+        return F.transform(items, lambda x: F.struct(x["start"].cast("int").alias("start"), (-x["end"]).cast("int").alias("back"),
+                                                     F.lit(own).alias("own")))
+
+    def clear(both):
+        ends = F.transform(both, lambda x: F.when(x["own"] == 0, -x["back"]).otherwise(-1))
+        reach = running(ends, F.lit(-1), lambda a, b: F.greatest(a, b))
+        return let(reach, lambda r: F.transform(F.filter(
+            F.transform(both, lambda x, i: F.struct(x.alias("x"), F.get(r, i).alias("r"))),
+            lambda y: (y["x"]["own"] == 1) & (y["r"] < -y["x"]["back"])), lambda y: F.struct(
+                y["x"]["start"].alias("start"), (-y["x"]["back"]).alias("end"))))
+
+    return let(F.array_sort(F.concat(marked(spans, 1), marked(covers, 0))), clear)
 
 
 def _widest(spans: Column) -> Column:
-    """The spans that lie in no other."""
-    def inside(x, y):
-        return (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    """The spans (different ones) that lie in no other."""
+    def sure(both):
+        reach = running(F.transform(both, lambda x: -x["back"]), F.lit(-1), lambda a, b: F.greatest(a, b))
+        return let(reach, lambda r: F.transform(F.filter(
+            F.transform(both, lambda x, i: F.struct(x.alias("x"), F.get(r, i).alias("r"))),
+            lambda y: y["r"] < -y["x"]["back"]), lambda y: F.struct(
+                y["x"]["start"].alias("start"), (-y["x"]["back"]).alias("end"))))
 
-    return F.filter(spans, lambda x: ~F.exists(spans, lambda y: inside(x, y)))
+    order = F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), (-x["end"]).cast("int").alias("back")))
+    return let(F.array_sort(order), sure)
 
 
 def _tested(cut: Column) -> Column:
@@ -192,7 +218,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     found = let(_tested(_candidates(t)), lambda x: F.when(F.size(x) > 0, let(_accepted(x), _widest)))
 
     def add(base):
-        free = F.filter(found, lambda x: ~F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"])))
+        free = let(found, lambda x: _uncovered(x, base))
         return F.when(t.rlike(STANDARD) | t.rlike(URL_SAFE), F.array_sort(F.concat(base, F.coalesce(_spans("random", free), F.slice(base, 1, 0))))
                       ).otherwise(base)
 

@@ -98,3 +98,62 @@ def test_keys_after_names_and_paths(spark):
         ends = [[int(v) for v in s.split(":")[1:]] for s in r.spans.split(",") if s]
         hits[f].append(any(min(b, at + len(k)) - max(a, at) >= 0.6 * len(k) for a, b in ends))
     assert all(sum(h) >= 0.85 * len(h) for h in hits.values()), {f: sum(h) / len(h) for f, h in hits.items()}
+
+
+def step_up(tested, base_spans):
+    """Plain step-up over a text's tests, then the widest spans that no base span covers."""
+    if not tested:
+        return []
+    mean = sum(n for _, _, n, _ in tested) / len(tested)
+    weighted = [(a, b, [p * mean / n for p in ps]) for a, b, n, ps in tested]
+    ps = sorted(p for *_, own in weighted for p in own)
+    limit = max((p for i, p in enumerate(ps) if p <= S.RATE * (i + 1) / len(ps)), default=-1.0)
+    kept = {(a, b) for a, b, own in weighted if min(own) > limit}
+    wide = [x for x in kept if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in kept)]
+    return sorted(x for x in wide if not any(b[0] <= x[0] and x[1] <= b[2] for b in base_spans))
+
+
+def test_spans_equal_a_plain_step_up(spark):
+    rng = random.Random(31)
+
+    def token():
+        k = base64.b64encode(rng.randbytes(rng.randrange(12, 70))).decode()
+        return rng.choice([k, k[:20] + k[:20] * 3, rng.randbytes(20).hex(), f"name_{k}", f"dir/{k}", f"token={k}", "a1b2" * 9,
+                           f"{k}-{k}", "word" + str(rng.randrange(10**9)) * 2])
+
+    texts = [" ".join(token() for _ in range(rng.choice([1, 3, 10, 60]))) for _ in range(120)] + TEXTS
+    df = documents(spark, texts).withColumn("t", F.coalesce("text", F.lit("")))
+    tested = {r["doc_id"]: r["x"] for r in df.select("doc_id", S._tested(S._candidates(F.col("t"))).alias("x")).collect()}
+    got = {r.doc_id: [tuple(int(v) for v in s.split(":")[1:]) for s in r.spans.split(",") if s.startswith("random")]
+           for r in S.report(df).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        want = step_up([(x["start"], x["end"], x["n"], x["p"]) for x in tested[i] or []], base(t))
+        assert got[i] == want, t[:200]
+        found += len(want)
+    assert found > 100
+
+
+def test_many_keys_in_one_text_take_seconds(spark):
+    import time
+
+    rng = random.Random(5)
+    keys = [base64.b64encode(rng.randbytes(36)).decode() for _ in range(20_000)]
+    text = "\n".join(f"key {k}" if i % 4 else f"token={k}" for i, k in enumerate(keys))
+    began = time.time()
+    r = S.report(documents(spark, [text, "short"])).orderBy("doc_id").first()
+    assert time.time() - began < 60
+    assert r.n_assign == 5000 and r.n_random > 13_000
+    assert r.base_sha256 == hashlib.sha256(listed(base(text)).encode()).hexdigest()
+
+
+def test_running_values_over_slices(spark):
+    from gtspark.llm import matching
+
+    for n in (0, 1, 255, 256, 257, 2000):
+        df = spark.range(1).select(F.expr(f"transform(filter(sequence(0, {n}), i -> i < {n}), i -> i * 7 % 11)").alias("v"))
+        total = df.select(matching.running(F.col("v"), F.lit(0), lambda a, b: a + b).alias("x")).first()["x"]
+        top = df.select(matching.running(F.col("v"), F.lit(-1), lambda a, b: F.greatest(a, b)).alias("x")).first()["x"]
+        v = [i * 7 % 11 for i in range(n)]
+        assert total == [sum(v[:i]) for i in range(n)] and top == [max(v[:i], default=-1) for i in range(n)]
+        assert df.select(matching.distinct_sorted(F.col("v")).alias("x")).first()["x"] == sorted(set(v))
