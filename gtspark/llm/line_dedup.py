@@ -7,7 +7,8 @@ MinHash, empty bins filled from the next full one); ``bands`` keys of ``rows``
 minima each give candidates: 1 - (1 - s^5)^12 is 0.99 at similarity 0.8 and
 0.9999 at 0.9.  Every line marks its shingles in ``CELLS`` cells; a cell that
 only one line of a pair marks holds a shingle the other has not, which bounds
-the overlap from above without error.  Candidates within that bound are verified
+the overlap from above without error; lines that reach the second pass are
+marked in ``MORE_CELLS`` cells instead.  Candidates within the bound are verified
 by the exact Jaccard similarity of their shingle sets, and distributed union-find (see ``linking``) makes the
 components, of which one line stays: the first occurrence (smallest doc_id,
 then line number) of the line whose id is the component's.
@@ -34,10 +35,11 @@ from .linking import components, link
 from .sketch import sketch, thinned
 
 SHINGLE, BANDS, ROWS, PERCENT = 9, 12, 5, 80
-BINS = 64                # at least BANDS * ROWS; each also gives one bit of a line's 64-bit sketch
-MOST_BITS = 15           # a usual distance of such sketches; only measured in the tests, no candidate is judged by it
+BINS = 64                # at least BANDS * ROWS
 CELLS = 512              # marks of a line's shingles, 64 to a word
 MARKS = [f"m{i}" for i in range(CELLS // 64)]
+MORE_CELLS = 4096        # marks of the lines that reach the second pass
+MORE = [f"w{i}" for i in range(MORE_CELLS // 64)]
 _BLOCK = 1024            # lines whose signatures are made at once; 10 bits beside 54 of a shingle
 _U = np.uint64
 _CHARS = T.stream(31, 2 * 0x110000).reshape(2, -1)
@@ -87,7 +89,7 @@ class Chars:
 
 
 def band_keys(hashes, span, n: int, bands: int, rows: int):
-    """(n, bands) keys and n 64-bit sketches from one-permutation signatures of ``BINS`` bins."""
+    """(n, bands) keys from one-permutation signatures of ``BINS`` bins."""
     none = _U(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n * BINS, none, _U)
     cell = span * BINS + (hashes % _U(BINS)).astype(np.int64)
@@ -103,18 +105,17 @@ def band_keys(hashes, span, n: int, bands: int, rows: int):
     own = sig[:, :bands * rows].reshape(n, bands, rows)
     for j in range(rows):
         keys = T.mix(keys + own[:, :, j] + _U(j))
-    bits = ((T.mix(sig) & _U(1)) << np.arange(BINS, dtype=_U)).sum(1, dtype=_U)
-    return T.mix(keys + T.stream(33, bands)[None, :]), bits
+    return T.mix(keys + T.stream(33, bands)[None, :])
 
 
-def marks(hashes, span, n: int):
-    """n set sizes and (n, CELLS / 64) words of the cells that hold a shingle, for at most ``_BLOCK`` spans."""
+def marks(hashes, span, n: int, cells: int = CELLS):
+    """n set sizes and (n, cells / 64) words of the cells that hold a shingle, for at most ``_BLOCK`` spans."""
     key = np.sort((span.astype(_U) << _U(54)) | (hashes >> _U(10)))
     key = key[np.append(True, key[1:] != key[:-1])]
     size = np.bincount((key >> _U(54)).astype(np.int64), minlength=n)
-    held = np.zeros(n * CELLS, bool)
-    held[((key >> _U(54)) * _U(CELLS) + ((key >> _U(8)) & _U(CELLS - 1))).astype(np.int64)] = True
-    return size, np.packbits(held.reshape(n, CELLS), axis=1, bitorder="little").view(_U)
+    held = np.zeros(n * cells, bool)
+    held[((key >> _U(54)) * _U(cells) + ((key >> _U(8)) & _U(cells - 1))).astype(np.int64)] = True
+    return size, np.packbits(held.reshape(n, cells), axis=1, bitorder="little").view(_U)
 
 
 def _texts(col, size: int = 1 << 19):
@@ -154,7 +155,7 @@ def _lines(k: int, bands: int, rows: int):
                 for i in range(0, len(at), _BLOCK):
                     s, e = starts[i:i + _BLOCK], ends[i:i + _BLOCK]
                     own = c.shingles(s, e, k)
-                    keys[i:i + _BLOCK], _ = band_keys(*own, len(s), bands, rows)
+                    keys[i:i + _BLOCK] = band_keys(*own, len(s), bands, rows)
                     size[i:i + _BLOCK], held[i:i + _BLOCK] = marks(*own, len(s))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(c.hash(starts, ends, 1).view(np.int64)),
@@ -194,6 +195,21 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out, pa.string())], ["id", "line"])
 
 
+def _more_marks(k: int):
+    """Marks in ``MORE_CELLS`` cells of each line, and how many there are."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                c = Chars(part.column("line").to_pylist(), 1)
+                held = marks(*c.shingles(c.offs[:-1], c.offs[1:], k), part.num_rows, MORE_CELLS)[1]
+                set_ = np.unpackbits(held.view(np.uint8), axis=1).sum(1, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array(set_), *(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(held.T))],
+                    ["id", "marked", *MORE])
+    return run
+
+
 def _exact(k: int, percent: int):
     """Pairs whose shingle sets have 100 * overlap >= percent * union."""
     def run(batches):
@@ -239,28 +255,46 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     postings = reps.mapInArrow(_postings(sketch(keys)), "key long, id long, w long, size int, "
                                + ", ".join(f"{m} long" for m in MARKS))
 
+    def enough(overlap, x, y):
+        return (100 + percent) * overlap.cast("long") >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size"))
+
     def bound(x, y):
         def most(s, o):
             """No overlap is larger than the shingles of ``s`` less its cells that ``o`` does not mark."""
             alone = [F.bit_count(F.col(f"{s}.{m}").bitwiseAND(F.bitwise_not(f"{o}.{m}"))) for m in MARKS]
             return F.col(f"{s}.size") - sum(alone[1:], alone[0])
+        return enough(F.least(most(x, y), most(y, x)), x, y)
 
-        overlap = F.least(most(x, y), most(y, x)).cast("long")
-        return (100 + percent) * overlap >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def texts(ids: DataFrame) -> DataFrame:
+        """(id, line) of the wanted lines, stored."""
         want = (sound.join(ids, "id", "leftsemi").groupBy("doc_id")
                 .agg(F.collect_list(F.struct("id", "line_no")).alias("want")))
         want = store(want, "line_places")
         own = thinned(src, "doc_id", sketch(want.select("doc_id")))
-        text = store(own.join(want.hint("shuffle_hash"), "doc_id").select("text", "want")
+        return store(own.join(want.hint("shuffle_hash"), "doc_id").select("text", "want")
                      .mapInArrow(_extract, "id long, line string").dropDuplicates(["id"]), "line_texts")
+
+    def verify(pairs: DataFrame, text: DataFrame | None = None) -> DataFrame:
+        if text is None:
+            text = texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         both = (pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
                 .join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
         return both.select("a", "b", "x", "y").mapInArrow(_exact(shingle, percent), "a long, b long")
 
-    found = store(components(link(postings, verify, bound)), "line_components")
+    def detail(ids: DataFrame):
+        """More marks of the lines that reach the second pass: the same bound, from the cells that both mark."""
+        text = texts(ids)
+        more = store(text.mapInArrow(_more_marks(shingle), "id long, marked int, " + ", ".join(f"{m} long" for m in MORE)),
+                     "line_marks")
+
+        def closer(x, y):
+            both = [F.bit_count(F.col(f"{x}.{m}").bitwiseAND(F.col(f"{y}.{m}"))) for m in MORE]
+            alone = F.least(F.col(f"{x}.size") - F.col(f"{x}.marked"), F.col(f"{y}.size") - F.col(f"{y}.marked"))
+            return enough(alone + sum(both[1:], both[0]), x, y)
+
+        return more, closer, lambda pairs: verify(pairs, text)
+
+    found = store(components(link(postings, verify, bound, detail)), "line_components")
     kept = (found.where(F.col("id") == F.col("component")).select("component")
             .join(sound.select(F.col("id").alias("component"), F.col("doc_id").alias("keep_doc"),
                                F.col("line_no").alias("keep_line")), "component"))

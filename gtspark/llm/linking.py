@@ -52,19 +52,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
-         bound: Callable[[str, str], Column] | None = None) -> DataFrame:
+         bound: Callable[[str, str], Column] | None = None, detail: Callable | None = None) -> DataFrame:
     """Links (a, b) among ``postings`` (key, id, w, ...) that span their components.
 
     The id of the largest weight ``w`` leads a key.  ``verify`` keeps those
     pairs (a, b) that link; ``bound`` is a cheap necessary condition on the
-    postings of a pair, given their two aliases.
+    postings of a pair, given their two aliases.  ``detail`` takes the ids that
+    reach the second pass and gives (a frame of columns by id, the condition
+    of that pass on these, the key, ``size`` and ``component``, and its ``verify``).
     """
     shared = store(postings, "shared")
     own = F.struct(*[c for c in shared.columns if c != "key"])
     leads = (shared.groupBy("key").agg(F.count(F.lit(1)).alias("__n"), F.max_by(own, "w").alias("__l"))
              .where(F.col("__n") > 1).select("key", "__l.*"))
 
-    def candidates(x, y, on):
+    def candidates(x, y, on, bound=bound):
         on = (F.col("x.key") == F.col("y.key")) & on
         if bound is not None:
             on = on & bound("x", "y")
@@ -77,8 +79,14 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     tagged = shared.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where(F.col("lo") != F.col("hi")).select("key"))
+    if detail is not None:
+        tagged = tagged.select("key", "id", "size", "component")
     tagged = store(tagged.join(mixed, "key", "leftsemi"), "mixed")
+    closer = bound
+    if detail is not None:
+        more, closer, verify = detail(tagged.select("id").distinct())
+        tagged = tagged.join(more, "id")
     pairs = candidates(tagged, tagged, (F.col("x.id") < F.col("y.id"))
-                       & (F.col("x.component") != F.col("y.component"))).distinct()
+                       & (F.col("x.component") != F.col("y.component")), closer).distinct()
     second = store(verify(store(pairs, "pairs")), "links")
     return first.union(second)
