@@ -7,11 +7,12 @@ array on export, where a storm's track is written as its own record.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gtspark import config as C
 from gtspark.functions.scalar import in_box, saffir_simpson, title_name
+from gtspark.operators.marts import range_prefix
 
 
 def region_storms(storms: DataFrame, points: DataFrame, box=C.CAROLINA_BOX) -> DataFrame:
@@ -24,21 +25,26 @@ def track_rows(points: DataFrame) -> DataFrame:
     """Card track fields for fixes with wind, numbered in time order.
 
     lat/lon rounded to 1, time as 'yyyy-MM-dd HHZ', landfall flag, category,
-    label (TS or C1..C5) and hours since the first fix (index x 6).
+    label (TS or C1..C5) and hours since the first fix (index x 6).  Fixes are
+    numbered over range-sorted parts and counted from their storm's first
+    number, so a storm of any length is many tasks.
     """
     p = points.filter(F.col("max_wind_kt").isNotNull())
-    w = Window.partitionBy("storm_id").orderBy("obs_time", "line_no")
+    p = range_prefix(p, ["storm_id", "obs_time", "line_no"], seq="_seq")
+    first = p.groupBy(F.col("storm_id").alias("_of")).agg(F.min("_seq").alias("_first"))
+    p = p.join(first, F.col("storm_id").eqNullSafe(F.col("_of")))
+    seq = (F.col("_seq") - F.col("_first")).cast("int")
     cat = saffir_simpson("max_wind_kt")
     return p.select(
         "storm_id",
-        (F.row_number().over(w) - 1).alias("seq"),
+        seq.alias("seq"),
         F.round("lat", 1).alias("lat"), F.round("lon", 1).alias("lon"),
         F.col("max_wind_kt").alias("wind"), F.col("min_pressure_mb").alias("pres"),
         cat.alias("cat"),
         F.date_format("obs_time", "yyyy-MM-dd HH'Z'").alias("time"),
         F.coalesce(F.col("record_id") == "L", F.lit(False)).alias("landfall"),
         F.when(cat == 0, F.lit("TS")).otherwise(F.concat(F.lit("C"), cat.cast("string"))).alias("label"),
-        ((F.row_number().over(w) - 1) * 6).alias("hours"),
+        (seq * 6).alias("hours"),
     )
 
 

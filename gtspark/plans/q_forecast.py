@@ -8,6 +8,7 @@ from gtspark.operators import forecast
 from gtspark.plans.q_truth import cat_sql
 from gtspark.plans.registry import register
 from gtspark.plans.views import v_forecasts, v_points, v_storms, with_views
+from gtspark.session import scratch_path
 
 
 def _features_sql(src: str, pres: str) -> str:
@@ -123,3 +124,18 @@ def forecast_fit(spark, sf_dir):
     rep, _, _ = forecast.evaluate(feats)
     maj = forecast.majority_share(feats)
     return rep.withColumn("_k", F.lit(1)).join(maj.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+@register("persisted_predictions", TRACK_SQL + """,
+yrs AS (SELECT DISTINCT year FROM tf),
+held AS (SELECT year FROM yrs ORDER BY md5('3:' || CAST(year AS VARCHAR)), year
+         LIMIT (SELECT greatest(1, CAST(floor(COUNT(*) * 0.25) AS BIGINT)) FROM yrs))
+SELECT year AS storm_year, CASE WHEN year IN (SELECT year FROM held) THEN 'test' ELSE 'train' END AS split,
+       label AS actual_category, count(*) AS n, TRUE AS sound
+FROM tf GROUP BY ALL""")
+def persisted_predictions(spark, sf_dir):
+    """M8 SNK4: predictions of all rows written with their split and read back, totals by year and class."""
+    t = forecast.persist_predictions(features_df(spark, sf_dir), scratch_path(spark, "predictions"), rounds=10)
+    ok = F.col("predicted_category").between(0, 5) & (
+        F.col("correct") == (F.col("predicted_category") == F.col("actual_category"))) & F.col("run_ts").isNotNull()
+    return t.groupBy("storm_year", "split", "actual_category").agg(F.count(F.lit(1)).alias("n"), F.bool_and(ok).alias("sound"))
