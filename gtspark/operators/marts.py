@@ -160,7 +160,7 @@ def run_summary(evals: DataFrame, key: str = "run_id") -> DataFrame:
         F.sum("cost_usd").alias("total_cost_usd"))
     p50 = upper_median(evals, [key], "latency_ms", "p50_latency_ms")
     p50 = p50.withColumnRenamed(key, "_of")
-    return agg.join(p50, F.col(key).eqNullSafe(F.col("_of"))).drop("_of")
+    return agg.join(p50, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of")      # no latency at all: NULL
 
 
 def range_prefix(df: DataFrame, order_cols: list, seq: str | None = None, sums: dict | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gtspark import config as C
-from gtspark.operators import evaluate, medallion, retrieval
+from gtspark.operators import evaluate, marts, medallion, retrieval
 from gtspark.plans.q_retrieval import answer_ctes, answers_from_hits, hits_df, retrieve_sql
 from gtspark.plans.q_text import hashed_sql, sents_sql
 from gtspark.plans.q_truth import TRUTH_BODY, truth_df
@@ -151,15 +151,36 @@ def _run_sql() -> str:
     return views + ",\n" + body[len("WITH "):]
 
 
+def run_rows(spark, sf_dir):
+    return evaluate.evaluation_rows(generations(spark, sf_dir), truth_df(spark, sf_dir))
+
+
 @register("benchmark_run", _run_sql())
 def benchmark_run(spark, sf_dir):
     """The evaluation rows of three models over the storm cases."""
-    rows = evaluate.evaluation_rows(generations(spark, sf_dir), truth_df(spark, sf_dir))
+    rows = run_rows(spark, sf_dir)
     rounded = ("groundedness", "faithfulness", "context_relevance", "answer_relevance", "judge_score", "reward")
     return rows.select("run_id", "model", "question_id", "storm_id", "answer", "hallucinated", "cost_usd", "prompt_tokens",
                        "completion_tokens", *[F.round(c, 6).alias(c) for c in rounded])
 
 
+_SUMMARY = ("groundedness", "faithfulness", "context_relevance", "answer_relevance", "judge_score")
+
+
+@register("benchmark_summary", f"""
+WITH evaluated AS ({_run_sql()})
+SELECT run_id, {', '.join(f'round(avg({c}), 4) AS mean_{c}' for c in _SUMMARY)},
+       round(coalesce(avg(CASE WHEN hallucinated THEN 1.0 WHEN NOT hallucinated THEN 0.0 END), 0.0), 4)::DOUBLE AS hallucination_rate,
+       round(sum(cost_usd), 6) AS total_cost_usd, NULL::DOUBLE AS p50_latency_ms
+FROM evaluated GROUP BY 1""")
+def benchmark_summary(spark, sf_dir):
+    """Every mean of each model's run, its checked hallucination rate and cost."""
+    s = marts.run_summary(materialise(run_rows(spark, sf_dir), "evaluations"))
+    return s.select("run_id", *[F.round(f"mean_{c}", 4).alias(f"mean_{c}") for c in _SUMMARY],
+                    F.round("hallucination_rate", 4).alias("hallucination_rate"),
+                    F.round("total_cost_usd", 6).alias("total_cost_usd"), "p50_latency_ms")
+
+
 _GIVEN_SQL = with_views(f""", ans AS (SELECT aid AS query_id, question AS query, answer, contexts, expected, verdict FROM v_given)
 {_CLAIMS_SQL}{_REL_SQL}""", "v_pairs", "v_given")
 

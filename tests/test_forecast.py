@@ -41,3 +41,23 @@ def test_fit_beats_the_majority_class(spark):
     r = rep.first()
     assert r.accuracy > share + 0.2 and r.n_train + r.n_test == 400 and r.n_test == r.n
     assert confusion.agg({"n": "sum"}).first()[0] == r.n
+
+
+def test_persisted_predictions_cover_all_rows_with_their_split(spark, tmp_path):
+    rows = [(str(i), 1980 + i % 8, i % 2, *[float(i % 2) * 40 + i % 5] * 6) for i in range(40)]
+    feats = spark.createDataFrame(rows, ["storm_id", "year", "label", *forecast.FEATURES])
+    t = forecast.persist_predictions(feats, f"{tmp_path}/p", rounds=2)
+    got = t.collect()
+    assert len(got) == 40 and {r.split for r in got} == {"train", "test"}
+    assert all(r.correct == (r.predicted_category == r.actual_category) and r.run_ts for r in got)
+    assert sum(r.split == "test" for r in got) == 10                             # two of eight years
+
+
+def test_run_summary_without_latency(spark):
+    from gtspark.operators import marts
+
+    df = spark.createDataFrame([("a", 0.5, True, 0.1, None), ("a", 1.0, None, 0.2, None), ("b", 0.0, None, 0.0, 5.0)],
+                               "run_id string, groundedness double, hallucinated boolean, cost_usd double, latency_ms double")
+    got = {r.run_id: r for r in marts.run_summary(df).collect()}
+    assert got["a"].p50_latency_ms is None and got["a"].hallucination_rate == 1.0 and got["a"].mean_groundedness == 0.75
+    assert got["b"].p50_latency_ms == 5.0 and got["b"].hallucination_rate == 0.0
