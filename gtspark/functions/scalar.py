@@ -82,11 +82,6 @@ def celsius_to_fahrenheit(c) -> Column:
     return F.round(_col(c) * 9.0 / 5.0 + 32.0, 1)
 
 
-def approx_tokens(text) -> Column:
-    """max(1, length div 4)."""
-    return F.greatest(F.lit(1), F.floor(F.length(_col(text)) / 4).cast("int"))
-
-
 def reward(groundedness, hallucinated) -> Column:
     """Groundedness minus 1 when the structured check says TRUE."""
     return _col(groundedness) - F.when(F.coalesce(_col(hallucinated), F.lit(False)), 1.0).otherwise(0.0)
