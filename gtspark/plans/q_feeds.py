@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gtspark.operators import spatial
@@ -72,8 +73,11 @@ def catalogue_nearest(spark, sf_dir):
 
 # -- SRC7: the feed's own form -------------------------------------------------------------------
 
+FEED_ROWS = 20_000  # storms in one landed file: a file is one record, so one task reads it whole
+
+
 def _land_feed(spark, sf_dir, path):
-    """A day's fixes as one feed record: snapshots of the storms seen that day, a file a day."""
+    """A day's fixes as feed records: snapshots of the storms seen that day, a file a snapshot."""
     p, n = v_points(spark, sf_dir), F.col("line_no")
     s = p.select(
         F.date_format("obs_time", "yyyy-MM-dd").alias("day"), n, F.concat(F.lit("al"), n.cast("string")).alias("id"),
@@ -88,13 +92,16 @@ def _land_feed(spark, sf_dir, path):
     one = F.to_json(F.struct(*[c for c in s.columns if c not in ("day", "line_no")]))
     one = F.when(n % 3 == 0, F.concat(F.substring(one, F.lit(1), F.length(one) - 1), F.lit(',"publicAdvisory":"none"}'))).otherwise(one)
     lines = s.select("day", n, one.alias("line"))
-    ends = s.groupBy("day").agg(F.max("line_no").alias("last"))
-    body = lines.join(ends, "day").select("day", F.lit(1).alias("o"), n, F.when(n < F.col("last"), F.concat("line", F.lit(",")))
-                                          .otherwise(F.col("line")).alias("line"))
-    head = ends.select("day", F.lit(0).alias("o"), F.lit(0).cast("long").alias("line_no"), F.lit('{"activeStorms": [').alias("line"))
-    foot = ends.select("day", F.lit(2).alias("o"), F.lit(0).cast("long").alias("line_no"), F.lit("]}").alias("line"))
-    rows = body.unionByName(head).unionByName(foot).repartitionByRange(8, "day").sortWithinPartitions("day", "o", "line_no")
-    rows.select("line", "day").write.partitionBy("day").text(path)
+    # a day's storms stand in as many files as they need, at most about FEED_ROWS in each
+    files = s.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / FEED_ROWS).alias("files"))
+    lines = lines.join(files, "day").withColumn("part", F.pmod(F.xxhash64("line_no"), F.col("files"))).drop("files")
+    in_file = Window.partitionBy("day", "part")
+    rows = lines.select("day", "part", n, "line", F.max("line_no").over(in_file).alias("last"), F.count(F.lit(1)).over(in_file).alias("rows"),
+                        F.row_number().over(in_file.orderBy("line_no")).alias("at"))
+    rows = rows.select("day", "part", n, F.concat(
+        F.when(F.col("at") == 1, F.lit('{"activeStorms": [\n')).otherwise(""), F.col("line"), F.when(n < F.col("last"), F.lit(",")).otherwise(""),
+        F.when(F.col("at") == F.col("rows"), F.lit("\n]}")).otherwise("")).alias("line")).sortWithinPartitions("day", "part", "line_no")
+    rows.select("line", "day", "part").write.partitionBy("day", "part").text(path)
 
 
 @register("active_storm_feed", with_views("""
@@ -107,7 +114,7 @@ SELECT 'al' || line_no AS storm_id, CASE WHEN line_no % 5 > 0 THEN 'S' || storm_
        CASE WHEN line_no % 3 > 0 THEN 'https://example.org/' || line_no ELSE '' END AS advisory_url
 FROM v_points""", "v_points"))
 def active_storm_feed(spark, sf_dir):
-    """SRC7: active storms read from the feed's own form, one file a day."""
+    """SRC7: active storms read from the feed's own form, files by day."""
     path = scratch_path(spark, "feed")
     _land_feed(spark, sf_dir, path)
     return feeds.read_active_storms(spark, path, fetched_at=r"day=([0-9-]+)/")
