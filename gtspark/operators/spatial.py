@@ -30,11 +30,31 @@ def _guarantee_km(lat, size):
     return F.least(lat_part, lon_part)
 
 
+STATIONS_PER_CELL = 16
+FINEST = 8                   # halvings of a level that are looked at
+
+
+def _finer(st: DataFrame, size: float, most: int) -> list[float]:
+    """Levels below ``size``, the finest one with at most ``most`` positions to a cell as a position sees it."""
+    sizes = [size / 2 ** i for i in range(FINEST + 1)]
+    cell = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), *[c.alias(n) for c, n in zip(
+        _cells(F.col("_slat"), F.col("_slon"), s), ("a", "o"))]) for i, s in enumerate(sizes)])).alias("c")
+    held = (st.select(cell).filter("c.a IS NOT NULL AND c.o IS NOT NULL").groupBy("c").count()
+            .groupBy("c.i").agg((F.sum(F.col("count") * F.col("count")) / F.sum("count")).alias("n")).collect())
+    seen = {r["i"]: r["n"] for r in held}                        # one row a size
+    first = next((i for i in range(FINEST + 1) if seen.get(i, 0) <= most), FINEST)
+    return [sizes[i] for i in range(first, 0, -2)]
+
+
 def nearest_station(points: DataFrame, stations: DataFrame, point_id: str = "place_id",
                     station_id: str = "station_id", levels=(1.0, 8.0, 30.0, 90.0, 180.0),
-                    max_km: float | None = None) -> DataFrame:
+                    max_km: float | None = None, station_per_cell: int = STATIONS_PER_CELL) -> DataFrame:
     """Nearest station per point (ties: smaller station id); none -> NULL.
 
+    Stations at one position are one candidate, that of the smallest id.  If
+    the cells of the first level hold more than ``station_per_cell`` positions
+    on the average of their positions, finer levels come before it.
+
     Multi-level grid: at each level points meet only the stations of their
     3x3 cell block (an equi-join on cell keys); a point is settled when its
     best candidate lies within the block's guaranteed radius, otherwise it
@@ -45,6 +65,9 @@ def nearest_station(points: DataFrame, stations: DataFrame, point_id: str = "pla
     """
     st = stations.select(F.col(station_id).alias("_sid"), F.col("lat").alias("_slat"),
                          F.col("lon").alias("_slon"))
+    st = materialise(st.groupBy("_slat", "_slon").agg(F.min(F.struct("_sid")).alias("_s"))
+                     .select(F.col("_s._sid").alias("_sid"), "_slat", "_slon"), "stations")
+    levels = (*_finer(st, levels[0], station_per_cell), *levels)
     todo = points.select(F.col(point_id).alias("_pid"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon"))
     done = None
     for li, size in enumerate(levels):
