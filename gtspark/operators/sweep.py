@@ -74,9 +74,9 @@ def cell_hits(queries: DataFrame, docs: DataFrame, cells: list[Cell], dim: int =
     table = cell_rows(docs.sparkSession, cells)
     most = max(c.top_k for c in cells)
     chunks = materialise(chunk_cells(docs, cells), "chunks")
-    hits = retrieval.topk_dense(
-        retrieval.embed(queries, "query_id", "query", dim), retrieval.embed(chunks, "chunk_id", "text", dim), most, dim,
-        item_ids=chunks.select("chunk_id", F.col("chunking").alias("grp")), query_ids=queries.select("query_id").distinct())
+    grouped = chunks.withColumnRenamed("chunking", "grp")
+    hits = retrieval.topk_counted(retrieval.embed_packed(queries, "query_id", "query", dim),
+                                  retrieval.embed_packed(grouped, "chunk_id", "text", dim, keep=("grp",)), most, dim)
     hits = materialise(hits, "hits")                                   # at most k rows a query and chunking
     found = (hits.select("query_id", F.col("item_id").alias("chunk_id"), "score", "rank")
              .join(chunks.select("chunk_id", "chunking", "doc_id", "text"), "chunk_id")
