@@ -28,7 +28,7 @@ def whole_number(c) -> Column:
 
 FEED_STORM = ("id string, name string, classification string, intensity string, pressure string, "
               "latitudeNumeric string, longitudeNumeric string, movementDir string, movementSpeed string, "
-              "publicAdvisory string")
+              "publicAdvisory variant")
 
 
 def read_active_storms(spark: SparkSession, path, fetched_at: str = r"([^/]+)\.json$") -> DataFrame:
@@ -36,13 +36,14 @@ def read_active_storms(spark: SparkSession, path, fetched_at: str = r"([^/]+)\.j
 
     ``fetched_at`` takes the fetch time from the file's path.  ``movement`` is
     "direction speed kt"; ``advisory_url`` is the advisory's url if that is an
-    object, else empty (the JSON reader hands an object over as its text).
+    object, else empty (read as a variant: for an object asked for as a string
+    the JSON reader goes back to the file and reads its place again).
     """
     raw = (spark.read.schema(f"activeStorms array<struct<{_typed(FEED_STORM)}>>, {CORRUPT}")
            .option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path))
     when = F.regexp_extract(F.col("_metadata.file_path"), fetched_at, 1)
     s = raw.select(when.alias("fetched_at"), F.explode("activeStorms").alias("s")).filter("s IS NOT NULL")
-    advisory = F.col("s.publicAdvisory")
+    advisory = F.try_variant_get(F.col("s.publicAdvisory"), "$", "string")
     url = F.when(F.ltrim(advisory).startswith("{"), F.get_json_object(advisory, "$.url"))
     return s.select(
         _text("s.id").alias("storm_id"), F.coalesce("s.name", F.lit("UNNAMED")).alias("name"),

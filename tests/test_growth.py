@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gtspark.operators import evaluate, retrieval, search, spatial
 from gtspark.plans import q_feeds
+from gtspark.sources import feeds
 
 
 def _plan(df):
@@ -119,3 +120,12 @@ def test_a_day_of_the_feed_is_many_files(spark, tmp_path, monkeypatch):
     assert len(files) > 4 and max(len(f.read_text().splitlines()) for f in files) < 60
     got = q_feeds.active_storm_feed(spark, str(tmp_path)).collect()
     assert sorted(r.storm_id for r in got) == sorted(f"al{i}" for i in range(200))
+
+
+def test_advisories_are_read_in_one_pass(spark, tmp_path):
+    told = ['{"url": "u1", "n": [1, {"a": 2}]}', '"none"', "null", '"{\\"url\\": \\"u2\\"}"', '{"other": 1}', "7", "[1]"]
+    (tmp_path / "t.json").write_text('{"activeStorms": [' + ", ".join(
+        '{"id": "s%d", "publicAdvisory": %s}' % (i, v) for i, v in enumerate(told)) + "]}")
+    got = {r.storm_id: r.advisory_url for r in feeds.read_active_storms(spark, str(tmp_path / "t.json")).collect()}
+    assert got == {"s0": "u1", "s1": "", "s2": "", "s3": "u2", "s4": "", "s5": "", "s6": ""}
+    assert "publicAdvisory variant" in feeds.FEED_STORM          # a string would read each object's place again
