@@ -129,3 +129,57 @@ def test_advisories_are_read_in_one_pass(spark, tmp_path):
     got = {r.storm_id: r.advisory_url for r in feeds.read_active_storms(spark, str(tmp_path / "t.json")).collect()}
     assert got == {"s0": "u1", "s1": "", "s2": "", "s3": "u2", "s4": "", "s5": "", "s6": ""}
     assert "publicAdvisory variant" in feeds.FEED_STORM          # a string would read each object's place again
+
+
+def _within(fixes, obs, hours=3.0, km=150.0):
+    """The nearest observation of each fix by comparing all pairs."""
+    out = {}
+    for fid, ft, flat, flon in fixes:
+        best = None
+        for oid, ot, olat, olon in obs:
+            a = (math.sin(math.radians(olat - flat) / 2) ** 2
+                 + math.cos(math.radians(flat)) * math.cos(math.radians(olat)) * math.sin(math.radians(olon - flon) / 2) ** 2)
+            d = 2 * 6371.0 * math.asin(math.sqrt(a))
+            if abs((ot - ft).total_seconds()) <= hours * 3600 and d <= km:
+                best = min(best or (round(d, 9), oid), (round(d, 9), oid))
+        out[fid] = best and best[1]
+    return out
+
+
+def test_fixes_meet_places_not_observations(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    spots = [(25.0 + i / 7, 179.9 if i % 3 else -179.9) for i in range(6)]
+    start = datetime.datetime(1969, 12, 31, 12)
+
+    def rows(n, first, step):
+        return [(first + i, start + datetime.timedelta(seconds=int(rng.integers(0, 86_400 // step)) * step),
+                 *spots[int(rng.integers(0, len(spots)))]) for i in range(n)]
+
+    fixes, obs = rows(60, 0, 3600), rows(400, 1000, 1800)       # many observations exactly 3 hours off
+    obs += [(5000 + i, start + datetime.timedelta(days=3), 60.0 + i / 500, 10.0) for i in range(40)]   # a dense cell
+    fixes += [(100, start + datetime.timedelta(days=3, hours=3), 60.0101, 10.0), (101, start + datetime.timedelta(days=3), 61.0, 10.0),
+              (102, start + datetime.timedelta(days=3, hours=-3, seconds=-1), 60.0, 10.0), (103, start, -60.0, 10.0)]
+    near, store = [], spatial.materialise
+
+    def kept(df, name):
+        out = store(df, name)
+        if name == "near_places":
+            near.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "materialise", kept)
+    schema = "{} int, obs_time timestamp_ntz, lat double, lon double"
+    got = spatial.nearest_within(spark.createDataFrame(fixes, schema.format("fix_id")),
+                                 spark.createDataFrame(obs, schema.format("obs_id")))
+    assert {r.fix_id: r.obs_id for r in got.collect()} == _within(fixes, obs)
+    assert len(near) > 1 and sum(near) < 20 * len(fixes)        # all pairs in reach are about 90 a fix
+
+
+def test_a_repeated_or_empty_fix_keeps_its_rows(spark):
+    at = datetime.datetime(2024, 1, 1)
+    fixes = [(1, at, 10.0, 10.0), (1, at, 10.5, 10.0), (2, None, 10.0, 10.0), (None, at, 10.0, 10.0)]
+    obs = [(7, at, 10.4, 10.0), (8, at, 10.2, 10.0), (9, None, 10.5, 10.0), (3, at, None, 10.0)]
+    schema = "{} int, obs_time timestamp_ntz, lat double, lon double"
+    got = spatial.nearest_within(spark.createDataFrame(fixes, schema.format("fix_id")),
+                                 spark.createDataFrame(obs, schema.format("obs_id")))
+    assert sorted(((r.fix_id, r.obs_id) for r in got.collect()), key=str) == [(1, 7), (1, 7), (2, None), (None, None)]
