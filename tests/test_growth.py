@@ -1,6 +1,7 @@
 """Steps whose tasks, copies and files must stay bounded as tables grow, and their exact results."""
 
 import datetime
+import hashlib
 import math
 
 import numpy as np
@@ -30,6 +31,35 @@ def test_grams_are_counted_as_rows_stream_by(spark):
     assert packed["b"]["b"] == [] and packed["b"]["norm"] == 0.0
 
 
+def test_counts_not_texts_are_sorted_in_partitions_that_grow_in_number(spark, monkeypatch):
+    rows = [(f"d{i % 90}", i % 3, " ".join(f"w{j * i % 17}" for j in range(i % 7))) for i in range(400)] + [(None, 0, "x y")] * 3
+    df = spark.createDataFrame(rows, "id string, k int, text string")
+    monkeypatch.setattr(retrieval, "HELD_COUNTS", 200)
+    monkeypatch.setattr(retrieval, "PART_BYTES", 100_000)
+    packed = retrieval.embed_packed(df, keep=("k",))
+    plan = _plan(packed)
+    assert plan.index("Sort [") < plan.rindex("MapInArrow")                # the sort is above the counting
+    assert packed.rdd.getNumPartitions() == retrieval._parts(403, 256) > 8
+    want = {}
+    for i, k, text in rows:
+        n, c = want.setdefault((i, k), [0, {}])
+        want[i, k][0] += 1
+        tok = text.split()
+        for g in tok + [f"{x}_{y}" for x, y in zip(tok, tok[1:])]:
+            b = int(hashlib.md5(g.encode()).hexdigest(), 16) % 256
+            c[b] = c.get(b, 0) + 1
+    got = packed.collect()
+    assert len(got) == len(want) and {(r.id, r.k): [r.n, dict(zip(r.b, r.c))] for r in got} == want
+    assert all(r.norm == math.sqrt(sum(x * x for x in r.c)) for r in got)
+
+
+def test_texts_of_hits_are_found_without_a_sort(spark):
+    items = spark.createDataFrame([("a", "x y"), ("b", "z")], "item_id string, text string")
+    hits = spark.createDataFrame([("q", "b", 0.5, 1)], "query_id string, item_id string, score double, rank int")
+    r = retrieval.rerank(hits, spark.createDataFrame([("q", "z")], "query_id string, query string"), items)
+    assert "ShuffledHashJoin" in _plan(r) and [(x.text, x.rank) for x in r.collect()] == [("z", 1)]
+
+
 def test_blocks_grow_before_copies_do():
     assert retrieval._block_rows(1_000) == retrieval.BLOCK_ROWS
     assert math.ceil(200_000 / retrieval._block_rows(200_000)) <= retrieval.COPIES
