@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gtspark import config as C
 from gtspark.functions import text as X
 from gtspark.functions.scalar import celsius_to_fahrenheit, metres_to_feet, missing_double
+from gtspark.sources.sinks import PACK_END
 
 EVENT_FIELDS = ("EVENT_ID", "EPISODE_ID", "STORM_ID", "STATE", "YEAR", "EVENT_TYPE", "BEGIN_DATE_TIME", "CZ_NAME",
                 "DAMAGE_PROPERTY", "DEATHS_DIRECT", "EPISODE_NARRATIVE", "EVENT_NARRATIVE")
@@ -74,15 +75,29 @@ def read_buoys(spark: SparkSession, path) -> DataFrame:
     return raw.select("station", "obs_time", *[missing_double(c).alias(c) for c in BUOY_VALUES])
 
 
-def read_buoy_realtime(spark: SparkSession, path, station: str = r"/([^/.]+)\.[^/]*$") -> DataFrame:
+def _file_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, block, pos, value): the lines of text files, in order within a file."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"))
+
+
+def _packed_lines(spark: SparkSession, path) -> DataFrame:
+    """The same of the files in packs (``sinks.pack_files``)."""
+    files = spark.read.option("lineSep", PACK_END).text(path)
+    lines = files.select(F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "line"),
+                         F.substring_index("value", "\n", 1).alias("file")).filter(F.col("pos") > 0)
+    return lines.select(F.col("line").alias("value"), "file", F.lit(0).alias("block"), "pos")
+
+
+def read_buoy_realtime(spark: SparkSession, path, station: str = r"/([^/.]+)\.[^/]*$", packed: bool = False) -> DataFrame:
     """SRC6 + W9 + P12: the newest observation of each station's file, in feet, seconds and Fahrenheit.
 
     ``station`` takes the station from the file's path (its name up to the
     dot); the newest line is the first that is neither blank nor a comment.
+    ``packed``: the stations' files lie in packs, many to a stored file.
     """
-    lines = (spark.read.text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos"))
+    lines = ((_packed_lines if packed else _file_lines)(spark, path)
              .filter((F.length("value") > 0) & ~F.col("value").startswith("#")))
     newest = lines.groupBy("file").agg(F.min_by("value", F.struct("block", "pos")).alias("value"))
     cols = F.split(F.regexp_replace("value", r"^\s+", ""), r"\s+")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gtspark.session import materialise
 
+PACK_END = "\f\n"         # ends a file in a pack; a form feed inside a file becomes a blank
+
 
 def overwrite_table(df: DataFrame, path: str, partition_by: tuple = (), fmt: str = "parquet") -> None:
     """SNK1: the whole table anew, with ``_ingest_ts``; a rerun gives the same rows."""
@@ -67,3 +69,15 @@ def replace_rows(df: DataFrame, path: str, keys: tuple, fmt: str = "parquet") ->
 def append_run_log(runs: DataFrame, path: str) -> None:
     """SNK6: one JSON line per run: run_id, model, ts, params, metrics."""
     runs.select("run_id", "model", "ts", "params", "metrics").write.mode("append").json(path)
+
+
+def pack_files(df: DataFrame, path: str) -> None:
+    """The small text files of ``df`` (file, value), many to a stored one: the name, then the lines.
+
+    Making, listing and opening a file costs far more than its few lines, and
+    nothing but the number of tasks sets how many packs there are.  Rows of one
+    name are one file.
+    """
+    files = df.groupBy("file").agg(F.concat_ws("\n", F.sort_array(F.collect_list("value"))).alias("value"))
+    (files.select(F.concat_ws("\n", "file", F.translate("value", "\f", " ")).alias("value"))
+     .write.option("lineSep", PACK_END).text(path))

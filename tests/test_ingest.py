@@ -21,6 +21,31 @@ def test_events_products_and_buoys(spark, tmp_path):
     assert [tuple(r) for r in got] == [("41X", 3.3, None, 68.0), ("42Y", None, None, None)]
 
 
+def test_packed_station_files_read_as_single_ones(spark, tmp_path):
+    line, old = "2030 1 1 0 0 1 2 3 %s MM 4 5 6 7 20.0", "2030 1 1 0 0 1 2 3 9.0 9 4 5 6 7 9"
+    texts = {f"s{i}": "\n".join(["#h", "", line % (i % 9)] + [old] * (i % 3)) + "\n" * (i % 2) for i in range(40)}
+    texts |= {"short": "#h\n1 2\n", "none": "#h\n", "feed": f"#h\f\r\n{line % 'MM'}\r\n{old}"}
+    single, packs = tmp_path / "single", tmp_path / "packs"
+    single.mkdir()
+    for n, t in texts.items():
+        (single / f"{n}.txt").write_text(t)
+    rows = [(f"/{n}.txt", t) for n, t in texts.items()]
+    sinks.pack_files(spark.createDataFrame(rows + rows[:1], "file string, value string"), str(packs))
+    want, got = (sorted((tuple(r) for r in d.collect()), key=str) for d in (
+        ingest.read_buoy_realtime(spark, str(single)), ingest.read_buoy_realtime(spark, str(packs), packed=True)))
+    assert got == want and len(got) == 42
+
+
+def test_stations_do_not_make_a_file_each(spark, tmp_path, monkeypatch):
+    from gtspark.plans import q_ingest
+
+    spark.range(300).select(F.col("id").alias("s_suppkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(q_ingest, "scratch_path", lambda spark, name: str(tmp_path / "landed"))
+    got = {r.station: r for r in q_ingest.buoy_realtime(spark, str(tmp_path)).collect()}
+    assert len(got) == 300 and tuple(got["B7"])[1:] == (5.7, 7.0, 38.3) and got["B0"].wave_height_ft is None
+    assert len(list((tmp_path / "landed").rglob("part-*"))) < 30
+
+
 def test_sinks_rerun_to_the_same_table(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", "m"), (2, "b", "m")], "id int, v string, model string")
     p = str(tmp_path / "t")
