@@ -9,13 +9,14 @@
    ``DEGREE`` neighbours, to which ``RANDOM`` pseudo-random ones are added so
    that a dense group is not cut off.  A node's adjacency lists from all its
    shards are united.
-4. Search: in each pair of blocks, every node is searched greedily over the
-   united graph from the blocks' medoids; once the beam settles, the search
-   goes on through every node found within the threshold less ``SLACK``.
+4. Search: in each pair of blocks, every node of the one is searched greedily
+   over the united graph of the other from its medoid (in a block with itself
+   every node over its own); once the beam settles, the search goes on through
+   every node found within the threshold less ``SLACK``.
 5. Audit and verify: links are pairs whose cosine in double precision reaches
    the threshold.  In every task ``AUDIT`` nodes are compared with all others;
    below ``RECALL`` the search is repeated with twice the beam and slack, and
-   at last all pairs of the block pair are compared.
+   at last all pairs of the two blocks are compared.
 
 A pair that shares several shards is counted in the smallest of them.  Tasks
 return counts and spanning links per node, never pairs.  Vectors are told
@@ -140,10 +141,16 @@ def medoid(x) -> int:
 
 
 class Search:
-    """All links among the nodes ``x`` over the neighbour matrix ``adj`` (padded with own numbers)."""
+    """Links from nodes ``x`` over the neighbour matrix ``adj`` (padded with own numbers).
 
-    def __init__(self, x, adj, entries, threshold):
+    ``own`` are the numbers searched for, ``others`` those that ``entries`` and
+    their lists lead to (all nodes where not given).
+    """
+
+    def __init__(self, x, adj, entries, threshold, own=None, others=None):
         self.x, self.adj, self.entries, self.threshold = x, adj, np.unique(entries), threshold
+        self.own = np.arange(len(x)) if own is None else own
+        self.others = np.arange(len(x)) if others is None else others
 
     def _sims(self, q, node):
         out = np.empty(len(q))
@@ -215,28 +222,29 @@ class Search:
 
     def all_links(self, queries):
         """The same by comparing with every node."""
-        out = [np.nonzero(self.x[queries[i:i + 256]] @ self.x.T >= self.threshold)
+        y = self.x[self.others]
+        out = [np.nonzero(self.x[queries[i:i + 256]] @ y.T >= self.threshold)
                for i in range(0, len(queries), 256)]
         q = np.concatenate([queries[i * 256:][a] for i, (a, _) in enumerate(out)])
-        v = np.concatenate([b for _, b in out])
+        v = self.others[np.concatenate([b for _, b in out])]
         return q[q != v], v[q != v]
 
     def audited(self, beam: int = BEAM, slack: float = SLACK, audit: int = AUDIT, recall: float = RECALL):
-        """Symmetric links of all nodes, and the (found, true) counts of the last audit."""
-        n = len(self.x)
-        probe = np.unique(np.linspace(0, n - 1, min(audit, n)).astype(int))
+        """Symmetric links of the nodes, and the (found, true) counts of the last audit."""
+        n, own, most = len(self.x), self.own, len(self.others)
+        probe = own[np.unique(np.linspace(0, len(own) - 1, min(audit, len(own))).astype(int))]
         true = set(zip(*(z.tolist() for z in self.all_links(probe))))
         while True:
-            if beam >= n:
-                parts = [self.all_links(np.arange(n))]
+            if beam >= most:
+                parts = [self.all_links(own)]
             else:
-                parts = [self.links(np.arange(i, min(i + 256, n)), beam, slack) for i in range(0, n, 256)]
+                parts = [self.links(own[i:i + 256], beam, slack) for i in range(0, len(own), 256)]
             u, v = (np.concatenate(z) for z in zip(*parts))
             key = np.unique(np.concatenate([u * n + v, v * n + u]))
             u, v = key // n, key % n
             mine = np.isin(u, probe)
             found = len(true & set(zip(u[mine].tolist(), v[mine].tolist())))
-            if found >= recall * len(true) or beam >= n:
+            if found >= recall * len(true) or beam >= most:
                 return u, v, found, len(true)
             beam, slack = 2 * beam, 2 * slack
 
@@ -299,11 +307,16 @@ def _search(threshold: float):
             pos = np.minimum(np.searchsorted(keys[order], near), len(keys) - 1)
             here = keys[order][pos] == near
             row, near = row[here], order[pos[here]]
+            here = block[row] == block[near]            # a search stays in the block that it entered
+            row, near = row[here], near[here]
             size = np.bincount(row, minlength=len(keys))
             adj = np.repeat(np.arange(len(keys))[:, None], max(1, int(size.max())), 1)
             adj[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = near
-            entries = np.flatnonzero([shard in s for s in t.column("medoids").to_pylist()])
-            s = Search(x, adj, entries if len(entries) else [0], threshold)
+            own, others = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if len(own) == 0 or len(others) == 0:
+                continue
+            entries = others[[shard in s for s in t.column("medoids").take(pa.array(others)).to_pylist()]]
+            s = Search(x, adj, entries if len(entries) else others[:1], threshold, own, others)
             u, v, found, true = s.audited()
             shards = _matrix(t.column("shards").chunk(0))
             common = np.full(len(u), np.iinfo(np.int64).max)

@@ -83,3 +83,41 @@ def test_search_on_graph_reaches_dense_groups():
     assert (np.einsum("ij,ij->i", x[u], x[v]) >= 0.9).all()
     label = G.spanning(len(x), u, v)
     assert len(set(label[300:].tolist())) == 1
+
+
+def test_a_pair_of_blocks_searches_one_in_the_graph_of_the_other(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(150, 16))
+    x = centres[np.arange(1500) % 150] + rng.normal(size=(1500, 16)) * 0.12
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    block = rng.integers(0, 2, 1500)
+    near, medoids = [None] * 1500, [[] for _ in range(1500)]
+    for b in (0, 1):
+        own = np.flatnonzero(block == b)
+        for i, a in zip(own, G.build(x[own])):
+            near[i] = own[np.unique(a)].tolist()
+        medoids[own[G.medoid(x[own])]] = [0]
+    passes, calls, one = [], [], G.Search.links
+
+    def counted(self, queries, beam, slack):
+        passes.append(beam)
+        calls.append(queries)
+        return one(self, queries, beam, slack)
+
+    monkeypatch.setattr(G.Search, "links", counted)
+    n = pa.array(np.arange(1500))
+    batch = pa.RecordBatch.from_pydict({
+        "shard": pa.array(np.zeros(1500, np.int64)), "i": pa.array(np.zeros(1500, np.int64)),
+        "j": pa.array(np.ones(1500, np.int64)), "block": pa.array(block), "key": n, "m": pa.array(np.ones(1500, np.int64)),
+        "v": pa.array(x.tolist()), "shards": pa.array([[0]] * 1500), "near": pa.array(near, pa.list_(pa.int64())),
+        "medoids": pa.array(medoids, pa.list_(pa.int64()))})
+    out = [r for b in G._search(0.9)(iter([batch])) for r in b.to_pylist()]
+    true = ((x @ x.T >= 0.9) & (block[:, None] != block)).sum(1)
+    got = np.zeros(1500, np.int64)
+    for r in out:
+        if r["key"] is not None:
+            got[r["key"]] = r["links"]
+    assert (got <= true).all() and got.sum() >= 0.98 * true.sum() > 5000
+    assert sum(map(len, calls)) == (block == 0).sum() and set(passes) == {G.BEAM}
