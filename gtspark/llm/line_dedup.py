@@ -5,7 +5,8 @@ lines are never touched.  Equal lines collapse first.  A distinct line's
 signature is one minimum per bin over its character shingles (one-permutation
 MinHash, empty bins filled from the next full one); ``bands`` keys of ``rows``
 minima each give candidates: 1 - (1 - s^5)^12 is 0.99 at similarity 0.8 and
-0.9999 at 0.9.  Every line marks its shingles in ``CELLS`` cells; a cell that
+0.9999 at 0.9.  A key is its band and 32 bits, which keeps the stored lines small;
+the few pairs that meet by chance are rejected like other candidates.  Every line marks its shingles in ``CELLS`` cells; a cell that
 only one line of a pair marks holds a shingle the other has not, which bounds
 the overlap from above without error; lines that reach the second pass are
 marked in ``MORE_CELLS`` cells instead.  Candidates within the bound are verified
@@ -132,7 +133,7 @@ def _texts(col, size: int = 1 << 19):
 
 
 LINES = ("id long, check long, doc_id long, line_no int, n int, size int, "
-         + "".join(f"{m} long, " for m in MARKS) + "bands array<long>")
+         + "".join(f"{m} long, " for m in MARKS) + "bands array<int>")
 
 
 def _lines(k: int, bands: int, rows: int):
@@ -162,20 +163,29 @@ def _lines(k: int, bands: int, rows: int):
                      ids.take(pa.array(lo + text)), pa.array(number, pa.int32()), pa.array(n, pa.int32()),
                      pa.array(size, pa.int32()), *(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(held.T)),
                      pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * bands,
-                                              pa.array(keys.ravel().view(np.int64)))],
+                                              pa.array((keys.ravel() >> _U(32)).astype(np.uint32).view(np.int32)))],
                     [x.split()[0] for x in LINES.split(", ")])
     return run
 
 
+def _posted(reps: DataFrame) -> DataFrame:
+    """The keys of all bands: the band's number above its 32 stored bits."""
+    band = reps.select(F.posexplode("bands").alias("band", "bits"))
+    low = F.col("bits").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    return band.select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(low).alias("key"))
+
+
 def _postings(keys):
     """Band keys that may be shared, one row each."""
     def run(batches):
         for batch in batches:
             bands = batch.column("bands")
             first = bands.offsets.to_numpy()
-            own = bands.values.to_numpy(zero_copy_only=False)[first[0]:first[-1]]
+            bits = bands.values.to_numpy(zero_copy_only=False)[first[0]:first[-1]]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            own = (np.arange(len(bits)) - (first[:-1] - first[0])[row]) << 32 | bits.view(np.uint32).astype(np.int64)
             at = np.flatnonzero(keys.value.has(own))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(first))[at]
+            row = row[at]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own[at]), *(batch.column(c).take(pa.array(row)) for c in ("id", "w", "size", *MARKS))],
                 ["key", "id", "w", "size", *MARKS])
@@ -250,7 +260,7 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     reps = lines.drop("n").join(sound.select("id", "doc_id", "line_no", "n"), ["id", "doc_id", "line_no"])
     often = F.col("n") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))       # the most frequent line leads
     reps = store(reps.select("id", often.alias("w"), "size", *MARKS, "bands"), "line_reps")
-    keys = (reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
+    keys = (_posted(reps).groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
             .where(F.col("__n") > 1).select("key"))
     postings = reps.mapInArrow(_postings(sketch(keys)), "key long, id long, w long, size int, "
                                + ", ".join(f"{m} long" for m in MARKS))

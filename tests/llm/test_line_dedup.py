@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from helpers import documents, smallest, words
 
 from gtspark.llm import line_dedup as L
@@ -128,3 +129,22 @@ def test_marks_bound_the_overlap(spark, monkeypatch):
         monkeypatch.setattr(L, "MORE", [f"w{i}" for i in range(cells // 64)])
         got = L.report(documents(spark, lines)).collect()
         assert sum(r.n_removed for r in got) == len(lines) - len(groups)
+
+
+def test_band_keys_are_stored_in_32_bits_beside_their_band(spark):
+    import pyarrow as pa
+
+    class Every:
+        value = type("All", (), {"has": staticmethod(lambda keys: np.ones(len(keys), bool))})
+
+    texts = [("a line of some length, number %d" % i) + "\nand another, %d" % (7 * i) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = docs.mapInArrow(L._lines(L.SHINGLE, L.BANDS, L.ROWS), L.LINES)
+    assert dict(lines.dtypes)["bands"] == "array<int>"
+    posted = sorted(r.key for r in L._posted(lines).collect())
+    batch = pa.Table.from_batches(lines.withColumn("w", lines.n.cast("long")).toArrow().to_batches()).combine_chunks().to_batches()[0]
+    got = pa.Table.from_batches(L._postings(Every)(iter([batch.slice(3)])))
+    kept = [r for b in batch.slice(3).column("bands").to_pylist() for r in b]
+    assert [k & 0xFFFFFFFF for k in got["key"].to_pylist()] == [r & 0xFFFFFFFF for r in kept]
+    assert {k >> 32 for k in posted} == set(range(L.BANDS)) and not set(got["key"].to_pylist()) - set(posted)
+    assert len(posted) == 60 * L.BANDS
