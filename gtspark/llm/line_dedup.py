@@ -6,7 +6,8 @@ signature is one minimum per bin over its character shingles (one-permutation
 MinHash, empty bins filled from the next full one); ``bands`` keys of ``rows``
 minima each give candidates: 1 - (1 - s^5)^12 is 0.99 at similarity 0.8 and
 0.9999 at 0.9.  A key is its band and 32 bits, which keeps the stored lines small;
-the few pairs that meet by chance are rejected like other candidates.  Every line marks its shingles in ``CELLS`` cells; a cell that
+the few pairs that meet by chance are rejected like other candidates.  Every line that
+may share a key has its text read once more and marks its shingles in ``CELLS`` cells; a cell that
 only one line of a pair marks holds a shingle the other has not, which bounds
 the overlap from above without error; lines that reach the second pass are
 marked in ``MORE_CELLS`` cells instead.  Candidates within the bound are verified
@@ -36,16 +37,15 @@ from .linking import components, link
 from .sketch import sketch, thinned
 
 SHINGLE, BANDS, ROWS, PERCENT = 9, 12, 5, 80
-BINS = 64                # at least BANDS * ROWS
+BINS = 64                # at least BANDS * ROWS, a power of two
 CELLS = 512              # marks of a line's shingles, 64 to a word
 MARKS = [f"m{i}" for i in range(CELLS // 64)]
 MORE_CELLS = 4096        # marks of the lines that reach the second pass
 MORE = [f"w{i}" for i in range(MORE_CELLS // 64)]
-_BLOCK = 1024            # lines whose signatures are made at once; 10 bits beside 54 of a shingle
+_SPAN = 1 << 15          # characters whose shingles are hashed at once: what a core's cache holds
 _U = np.uint64
 _CHARS = T.stream(31, 2 * 0x110000).reshape(2, -1)
 _CHARS[:, 65:91] = _CHARS[:, 97:123]
-_SPACE = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
 class Chars:
@@ -56,9 +56,12 @@ class Chars:
         self.offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         f, self.inv = T._power(len(self.code) + 1)
         self.sums = []
+        at = self.code.astype(np.intp)
         for t in _CHARS[:families]:
             acc = np.zeros(len(self.code) + 1, _U)
-            np.cumsum(t[self.code] * f[:len(self.code)], out=acc[1:])
+            own = t[at]
+            own *= f[:len(at)]
+            np.cumsum(own, out=acc[1:])
             self.sums.append(acc)
 
     def hash(self, starts, ends, which: int = 0):
@@ -72,36 +75,50 @@ class Chars:
             return z, z, z, z
         cut = self.code == 10
         starts, ends = T.runs(~cut, self.offs)
-        solid = np.flatnonzero(~np.isin(self.code, _SPACE))
+        solid = np.flatnonzero((self.code - np.uint32(9) > 4) & (self.code != 32))        # not 9 to 13, not a blank
         lo, hi = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
         some = lo < hi
         starts, ends = solid[lo[some]], solid[hi[some] - 1] + 1
         text = T.row_of(self.offs, starts)
-        breaks = np.concatenate([[0], np.cumsum(cut)])
-        return text, breaks[starts] - breaks[self.offs[text]], starts, ends
+        breaks = np.flatnonzero(cut)
+        return text, np.searchsorted(breaks, starts) - np.searchsorted(breaks, self.offs)[text], starts, ends
 
     def shingles(self, starts, ends, k: int):
         """(hash, span number) of every k-character shingle of the spans."""
         n = np.maximum(ends - starts - k + 1, 1)
         upto = np.concatenate([[0], np.cumsum(n)])
         span = np.repeat(np.arange(len(n)), n)
-        at = np.arange(upto[-1]) - upto[span] + starts[span]
-        return self.hash(at, np.minimum(at + k, ends[span])), span
+        if not len(n):
+            return np.zeros(0, _U), span
+        # the k characters from every position between the spans' borders, then the spans' own positions
+        lo, hi = int(starts.min()), int(ends.max())
+        hi = max(hi - k + 1, lo)
+        acc, out = self.sums[0], np.zeros(upto[-1], _U)
+        if hi > lo:
+            every = acc[lo + k:hi + k] - acc[lo:hi]
+            every *= self.inv[lo:hi]
+            every += _U(k)
+            at = np.arange(upto[-1]) + np.repeat(starts - lo - upto[:-1], n)
+            out = T.mix(every).take(at, mode="clip")
+        short = np.flatnonzero(ends - starts < k)
+        out[upto[short]] = self.hash(starts[short], ends[short])
+        return out, span
 
 
 def band_keys(hashes, span, n: int, bands: int, rows: int):
     """(n, bands) keys from one-permutation signatures of ``BINS`` bins."""
     none = _U(0xFFFFFFFFFFFFFFFF)
     sig = np.full(n * BINS, none, _U)
-    cell = span * BINS + (hashes % _U(BINS)).astype(np.int64)
+    cell = span * BINS + (hashes & _U(BINS - 1)).view(np.int64)
     np.minimum.at(sig, cell, T.mix(hashes))
     sig = sig.reshape(n, BINS)
-    for _ in range(BINS):
-        empty = sig == none
-        if not empty.any():
-            break
-        sig = np.where(empty, np.roll(sig, -1, axis=1) + _U(1), sig)
-        sig[empty & (sig == _U(0))] = none                     # the next bin was empty too
+    some = np.flatnonzero((sig == none).any(axis=1))
+    if len(some):                                              # an empty bin: the next full one's minimum, plus its distance
+        bins, part = np.arange(BINS), sig[some]
+        full = np.where(part != none, bins, 2 * BINS)
+        after = np.concatenate([full, full + BINS], axis=1)[:, ::-1]
+        after = np.minimum.accumulate(after, axis=1)[:, ::-1][:, :BINS]
+        sig[some] = np.take_along_axis(part, after % BINS, axis=1) + (after - bins).astype(_U)
     keys = np.zeros((n, bands), _U)
     own = sig[:, :bands * rows].reshape(n, bands, rows)
     for j in range(rows):
@@ -110,7 +127,7 @@ def band_keys(hashes, span, n: int, bands: int, rows: int):
 
 
 def marks(hashes, span, n: int, cells: int = CELLS):
-    """n set sizes and (n, cells / 64) words of the cells that hold a shingle, for at most ``_BLOCK`` spans."""
+    """n set sizes and (n, cells / 64) words of the cells that hold a shingle, for at most 1,024 spans."""
     key = np.sort((span.astype(_U) << _U(54)) | (hashes >> _U(10)))
     key = key[np.append(True, key[1:] != key[:-1])]
     size = np.bincount((key >> _U(54)).astype(np.int64), minlength=n)
@@ -132,8 +149,7 @@ def _texts(col, size: int = 1 << 19):
         yield lo, own
 
 
-LINES = ("id long, check long, doc_id long, line_no int, n int, size int, "
-         + "".join(f"{m} long, " for m in MARKS) + "bands array<int>")
+LINES = "id long, check long, doc_id long, line_no int, n int, bands array<int>"
 
 
 def _lines(k: int, bands: int, rows: int):
@@ -151,17 +167,15 @@ def _lines(k: int, bands: int, rows: int):
                 at = np.flatnonzero(first)
                 n = np.diff(np.append(at, len(h)))
                 text, number, starts, ends, h = (x[order][at] for x in (text, number, starts, ends, h))
-                keys, held = np.zeros((len(at), bands), _U), np.zeros((len(at), len(MARKS)), _U)
-                size = np.zeros(len(at), np.int64)
-                for i in range(0, len(at), _BLOCK):
-                    s, e = starts[i:i + _BLOCK], ends[i:i + _BLOCK]
-                    own = c.shingles(s, e, k)
-                    keys[i:i + _BLOCK] = band_keys(*own, len(s), bands, rows)
-                    size[i:i + _BLOCK], held[i:i + _BLOCK] = marks(*own, len(s))
+                near = np.argsort(starts, kind="stable")
+                text, number, n, starts, ends, h = (x[near] for x in (text, number, n, starts, ends, h))
+                keys = np.zeros((len(at), bands), _U)
+                cuts = np.flatnonzero(np.diff(starts // _SPAN, prepend=-1)).tolist() + [len(at)]
+                for i, j in zip(cuts, cuts[1:]):
+                    keys[i:j] = band_keys(*c.shingles(starts[i:j], ends[i:j], k), j - i, bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h.view(np.int64)), pa.array(c.hash(starts, ends, 1).view(np.int64)),
                      ids.take(pa.array(lo + text)), pa.array(number, pa.int32()), pa.array(n, pa.int32()),
-                     pa.array(size, pa.int32()), *(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(held.T)),
                      pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * bands,
                                               pa.array((keys.ravel() >> _U(32)).astype(np.uint32).view(np.int32)))],
                     [x.split()[0] for x in LINES.split(", ")])
@@ -175,6 +189,47 @@ def _posted(reps: DataFrame) -> DataFrame:
     return band.select(F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(low).alias("key"))
 
 
+def _turned(keys):
+    """Longs with their halves swapped; a key's 32 bits come first."""
+    keys = keys.view(_U)
+    return keys << _U(32) | keys >> _U(32)
+
+
+def _dealt(parts: int, size: int = 1 << 20):
+    """Keys in ``parts`` ranges of their 32 bits, a row for each range of about ``size`` keys: sorted, none more than twice."""
+    bounds = np.array([-(-(i << 64) // parts) for i in range(1, parts)], _U)
+
+    def rows(own):
+        key = np.sort(_turned(np.concatenate(own)))
+        key = key[np.append([True, True], key[2:] != key[:-2])[:len(key)]]
+        cuts = np.concatenate([[0], np.searchsorted(key, bounds), [len(key)]])
+        some = np.flatnonzero(np.diff(cuts))
+        offsets = np.append(cuts[some], len(key)).astype(np.int32) * np.int32(8)
+        held = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(key)])
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), held], ["part", "keys"])
+
+    def run(batches):
+        own, n = [], 0
+        for batch in batches:
+            own.append(batch.column("key").to_numpy())
+            n += len(own[-1])
+            if n >= size:
+                yield rows(own)
+                own, n = [], 0
+        if n:
+            yield rows(own)
+    return run
+
+
+def _repeated(batches):
+    """The keys that come more than once; all rows of a range are in one task."""
+    own = [np.frombuffer(x, _U) for batch in batches for x in batch.column("keys").to_pylist()]
+    if own:
+        key = np.sort(np.concatenate(own))
+        key = np.unique(key[1:][key[1:] == key[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(_turned(key).view(np.int64))], ["key"])
+
+
 def _postings(keys):
     """Band keys that may be shared, one row each."""
     def run(batches):
@@ -187,8 +242,8 @@ def _postings(keys):
             at = np.flatnonzero(keys.value.has(own))
             row = row[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[at]), *(batch.column(c).take(pa.array(row)) for c in ("id", "w", "size", *MARKS))],
-                ["key", "id", "w", "size", *MARKS])
+                [pa.array(own[at]), *(batch.column(c).take(pa.array(row)) for c in ("id", "w", "doc_id", "line_no"))],
+                ["key", "id", "w", "doc_id", "line_no"])
     return run
 
 
@@ -205,6 +260,20 @@ def _extract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out, pa.string())], ["id", "line"])
 
 
+def _marked(k: int):
+    """Lines with their number of shingles and their marks."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                c = Chars(part.column("line").to_pylist(), 1)
+                size, held = marks(*c.shingles(c.offs[:-1], c.offs[1:], k), part.num_rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), part.column("line"), pa.array(size, pa.int32()),
+                     *(pa.array(x.view(np.int64)) for x in np.ascontiguousarray(held.T))], ["id", "line", "size", *MARKS])
+    return run
+
+
 def _more_marks(k: int):
     """Marks in ``MORE_CELLS`` cells of each line, and how many there are."""
     def run(batches):
@@ -253,17 +322,23 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     src = src.where(F.col("doc_id").isNotNull())
     lines = store(src.mapInArrow(_lines(shingle, bands, rows), LINES), "lines")
-    classes = store(lines.groupBy("id").agg(
+    # two bands to a long: equal lines have equal bands, and longs are aggregated by hash
+    pairs = [F.shiftleft(F.col("bands")[i].cast("long"), 32).bitwiseOR(
+        F.col("bands")[min(i + 1, bands - 1)].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"b{i}")
+        for i in range(0, bands, 2)]
+    halves = [F.shiftright(x, 32).cast("int") for i in range(0, bands, 2) for x in (F.col(f"b{i}"), F.shiftleft(f"b{i}", 32))]
+    classes = store(lines.select("id", "check", "doc_id", "line_no", "n", *pairs).groupBy("id").agg(
         F.min("doc_id").alias("doc_id"), F.min_by("line_no", "doc_id").alias("line_no"),
-        F.sum("n").alias("n"), (F.min("check") != F.max("check")).alias("clash")), "line_classes")
+        F.sum("n").alias("n"), (F.min("check") != F.max("check")).alias("clash"),
+        *(F.max(f"b{i}").alias(f"b{i}") for i in range(0, bands, 2))), "line_classes")
     sound = classes.where(~F.col("clash"))
-    reps = lines.drop("n").join(sound.select("id", "doc_id", "line_no", "n"), ["id", "doc_id", "line_no"])
     often = F.col("n") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))       # the most frequent line leads
-    reps = store(reps.select("id", often.alias("w"), "size", *MARKS, "bands"), "line_reps")
-    keys = (_posted(reps).groupBy("key").agg(F.count(F.lit(1)).alias("__n"))
-            .where(F.col("__n") > 1).select("key"))
-    postings = reps.mapInArrow(_postings(sketch(keys)), "key long, id long, w long, size int, "
-                               + ", ".join(f"{m} long" for m in MARKS))
+    reps = sound.select("id", often.alias("w"), "doc_id", "line_no", F.array(*halves[:bands]).alias("bands"))
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = (_posted(reps).mapInArrow(_dealt(parts), "part int, keys binary").repartition("part")
+            .mapInArrow(_repeated, "key long"))
+    places = store(reps.mapInArrow(_postings(sketch(keys)), "key long, id long, w long, doc_id long, line_no int"),
+                   "line_postings")
 
     def enough(overlap, x, y):
         return (100 + percent) * overlap.cast("long") >= percent * (F.col(f"{x}.size") + F.col(f"{y}.size"))
@@ -275,34 +350,33 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS,
             return F.col(f"{s}.size") - sum(alone[1:], alone[0])
         return enough(F.least(most(x, y), most(y, x)), x, y)
 
-    def texts(ids: DataFrame) -> DataFrame:
-        """(id, line) of the wanted lines, stored."""
-        want = (sound.join(ids, "id", "leftsemi").groupBy("doc_id")
-                .agg(F.collect_list(F.struct("id", "line_no")).alias("want")))
-        want = store(want, "line_places")
-        own = thinned(src, "doc_id", sketch(want.select("doc_id")))
-        return store(own.join(want.hint("shuffle_hash"), "doc_id").select("text", "want")
-                     .mapInArrow(_extract, "id long, line string").dropDuplicates(["id"]), "line_texts")
-
-    def verify(pairs: DataFrame, text: DataFrame | None = None) -> DataFrame:
-        if text is None:
-            text = texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    # the lines that may share a key: their texts, numbers of shingles and marks
+    want = (places.select("id", "doc_id", "line_no").distinct().groupBy("doc_id")
+            .agg(F.collect_list(F.struct("id", "line_no")).alias("want")))
+    want = store(want, "line_places")
+    own = thinned(src, "doc_id", sketch(want.select("doc_id")))
+    text = store(own.join(want.hint("shuffle_hash"), "doc_id").select("text", "want")
+                 .mapInArrow(_extract, "id long, line string").dropDuplicates(["id"])
+                 .mapInArrow(_marked(shingle), "id long, line string, size int, " + ", ".join(f"{m} long" for m in MARKS)),
+                 "line_texts")
+    postings = places.select("key", "id", "w").join(text.drop("line"), "id")
+
+    def verify(pairs: DataFrame) -> DataFrame:
         both = (pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
                 .join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b"))
         return both.select("a", "b", "x", "y").mapInArrow(_exact(shingle, percent), "a long, b long")
 
     def detail(ids: DataFrame):
         """More marks of the lines that reach the second pass: the same bound, from the cells that both mark."""
-        text = texts(ids)
-        more = store(text.mapInArrow(_more_marks(shingle), "id long, marked int, " + ", ".join(f"{m} long" for m in MORE)),
-                     "line_marks")
+        more = store(text.select("id", "line").join(ids, "id", "leftsemi").mapInArrow(
+            _more_marks(shingle), "id long, marked int, " + ", ".join(f"{m} long" for m in MORE)), "line_marks")
 
         def closer(x, y):
             both = [F.bit_count(F.col(f"{x}.{m}").bitwiseAND(F.col(f"{y}.{m}"))) for m in MORE]
             alone = F.least(F.col(f"{x}.size") - F.col(f"{x}.marked"), F.col(f"{y}.size") - F.col(f"{y}.marked"))
             return enough(alone + sum(both[1:], both[0]), x, y)
 
-        return more, closer, lambda pairs: verify(pairs, text)
+        return more, closer, verify
 
     found = store(components(link(postings, verify, bound, detail)), "line_components")
     kept = (found.where(F.col("id") == F.col("component")).select("component")
@@ -318,22 +392,23 @@ def _strip(batches):
     """Remove the lines whose ids are listed, but for those at a kept place."""
     for batch in batches:
         text, drop, keep = (batch.column(x).to_pylist() for x in ("text", "__drop", "__keep"))
+        bad = {}                                               # numbers of the lines to remove, by row
+        hit = np.array([i for i, d in enumerate(drop) if d], np.int64)
+        for lo, own in _texts(batch.column("text").take(pa.array(hit))):
+            c = Chars(own, 1)
+            which, number, starts, ends = c.lines()
+            rows = hit[lo + which].tolist()
+            gone = {i: set(drop[i]) for i in hit[lo:lo + len(own)].tolist()}
+            for i, at, h in zip(rows, number.tolist(), c.hash(starts, ends).view(np.int64).tolist()):
+                if h in gone[i] and at not in (keep[i] or ()):
+                    bad.setdefault(i, set()).add(at)
         out, removed, total = [], [], []
-        for t, d, kept in zip(text, drop, keep):
+        for i, t in enumerate(text):
             own = (t or "").split("\n")
-            solid = sum(1 for x in own if x.strip(" \t\r\x0b\x0c"))
-            total.append(solid)
-            if not d:
-                out.append(t)
-                removed.append(0)
-                continue
-            c = Chars([t])
-            _, number, starts, ends = c.lines()
-            gone = np.isin(c.hash(starts, ends), np.array(d, np.int64).view(_U))
-            gone &= ~np.isin(number, np.array(kept or [], np.int64))
-            bad = set(number[gone].tolist())
-            out.append("\n".join(x for i, x in enumerate(own) if i not in bad))
-            removed.append(len(bad))
+            total.append(sum(1 for x in own if x.strip(" \t\r\x0b\x0c")))
+            gone = bad.get(i, ())
+            out.append("\n".join(x for j, x in enumerate(own) if j not in gone) if gone else t)
+            removed.append(len(gone))
         cols = {n: batch.column(n) for n in batch.schema.names}
         cols |= {"text": pa.array(out, pa.string()), "__lines": pa.array(total, pa.int64()),
                  "__removed": pa.array(removed, pa.int64())}

@@ -148,3 +148,37 @@ def test_band_keys_are_stored_in_32_bits_beside_their_band(spark):
     assert [k & 0xFFFFFFFF for k in got["key"].to_pylist()] == [r & 0xFFFFFFFF for r in kept]
     assert {k >> 32 for k in posted} == set(range(L.BANDS)) and not set(got["key"].to_pylist()) - set(posted)
     assert len(posted) == 60 * L.BANDS
+
+
+def test_keys_that_repeat_are_found_by_ranges(spark):
+    """Keys are dealt by ranges, sorted; those that come more than once are found wherever their rows were, once each."""
+    rng = random.Random(3)
+    keys = [rng.randrange(12) << 32 | rng.randrange(1 << 32) for _ in range(500)] + [5, 0xFFFFFFFF, 3 << 32]
+    keys += rng.sample(keys, 60) + [keys[-1]] * 40
+    posted = spark.createDataFrame([(k,) for k in keys], "key long").repartition(5)
+    dealt = posted.mapInArrow(L._dealt(7, 50), "part int, keys binary")
+    rows = dealt.collect()
+    assert max(r.part for r in rows) == 6 and len(rows) > 7
+    assert all(len(r["keys"]) <= 8 * 102 for r in rows)
+    got = [r.key for r in dealt.repartition(4, "part").mapInArrow(L._repeated, "key long").collect()]
+    assert sorted(got) == sorted(k for k in set(keys) if keys.count(k) > 1)
+    assert spark.createDataFrame([], "key long").mapInArrow(L._dealt(7), "part int, keys binary").count() == 0
+
+
+def test_lines_are_stored_without_marks_and_hashed_like_single_ones(spark):
+    """Only lines that may share a key are marked; blocks of lines hash as each line does alone."""
+    rng = random.Random(5)
+    own = ["x", "", " \t", "日本語の行です", "A" * 9, "b" * 8] + ["".join(rng.choice("abcXYZ é") for _ in range(rng.randrange(1, 900)))
+                                                           for _ in range(200)]
+    docs = spark.createDataFrame([(1, "\n".join(own + own[:5])), (2, "\r\n".join(own[:40])), (3, None)], "doc_id long, text string")
+    lines = docs.mapInArrow(L._lines(L.SHINGLE, L.BANDS, L.ROWS), L.LINES)
+    assert lines.columns == ["id", "check", "doc_id", "line_no", "n", "bands"]
+    got = [r for r in lines.collect() if r.doc_id == 1]
+    assert len(got) == len({low(x) for x in own} - {""})
+    for r in got:
+        c = L.Chars([low(own[r.line_no])])
+        sh, span = c.shingles(c.offs[:-1], c.offs[1:], L.SHINGLE)
+        assert len(set(sh.tolist())) == len({low(own[r.line_no])[i:i + 9] for i in range(max(1, len(low(own[r.line_no])) - 8))})
+        key = L.band_keys(sh, span, 1, L.BANDS, L.ROWS)[0] >> np.uint64(32)
+        assert [b & 0xFFFFFFFF for b in r.bands] == key.tolist()
+        assert r.id == int(c.hash(c.offs[:-1], c.offs[1:]).view(np.int64)[0])
