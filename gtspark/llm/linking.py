@@ -22,17 +22,19 @@ from pyspark.sql import functions as F
 from .common import store
 
 
-def _state(e: DataFrame):
-    r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return tuple(r)
+def _stars(e: DataFrame) -> bool:
+    """Whether every id has one edge up, or only edges down: the edges (a, b), a > b, are the components."""
+    ends = e.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        e.select("b", F.lit(0), F.lit(1)))
+    own = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return own.where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every end of an edge (a, b); component is the smallest id reachable."""
     e = store(edges.where(F.col("a") != F.col("b"))
               .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = _state(e)
-    while seen[0]:
+    while not _stars(e):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = (both.where(F.col("b") > F.col("a")).join(low, "a")
@@ -43,17 +45,13 @@ def components(edges: DataFrame) -> DataFrame:
                  .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low.select("a", F.col("m").alias("b"))).distinct())
         e = store(small, "edges")
-        now = _state(e)
-        if now == seen:
-            break
-        seen = now
     return (e.select(F.col("a").alias("id"), F.col("b").alias("component"))
             .union(e.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct())
 
 
 def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
          bound: Callable[[str, str], Column] | None = None, detail: Callable | None = None) -> DataFrame:
-    """Links (a, b) among ``postings`` (key, id, w, ...) that span their components.
+    """Edges (a, b) that span the components of the links among ``postings`` (key, id, w, ...).
 
     The id of the largest weight ``w`` leads a key.  ``verify`` keeps those
     pairs (a, b) that link; ``bound`` is a cheap necessary condition on the
@@ -75,7 +73,7 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     star = (candidates(leads, shared, F.col("x.id") != F.col("y.id")).groupBy("a", "b").count()
             .groupBy("b").agg(F.max_by("a", "count").alias("a")).select("a", "b"))
     first = store(verify(store(star, "pairs")), "links")
-    own = components(first)
+    own = store(components(first), "components")
     tagged = shared.join(own, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .where(F.col("lo") != F.col("hi")).select("key"))
@@ -89,4 +87,4 @@ def link(postings: DataFrame, verify: Callable[[DataFrame], DataFrame],
     pairs = candidates(tagged, tagged, (F.col("x.id") < F.col("y.id"))
                        & (F.col("x.component") != F.col("y.component")), closer).distinct()
     second = store(verify(store(pairs, "pairs")), "links")
-    return first.union(second)
+    return own.select(F.col("id").alias("a"), F.col("component").alias("b")).union(second)
