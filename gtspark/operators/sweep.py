@@ -10,6 +10,7 @@ as their run id.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +22,7 @@ from gtspark.operators import evaluate, retrieval
 from gtspark.session import materialise
 
 STRATEGIES = ("none", "lexical")
+PART_CHARS = 32_000_000      # of texts, most that a partition gets where they are dealt out
 MOST_CELLS = 1000            # a sweep's cells are configuration: they are written into the plan
 
 
@@ -60,26 +62,50 @@ def cell_rows(spark: SparkSession, cells: list[Cell], templates: dict | None = N
         "cell string, chunking string, strategy string, template string, body string, top_k int")
 
 
-def chunk_cells(docs: DataFrame, cells: list[Cell]) -> DataFrame:
+def chunk_cells(docs: DataFrame, cells: list[Cell], keep: tuple = ()) -> DataFrame:
     """(chunking, doc_id, chunk_id, ordinal, text) of every different chunking; chunk ids start with it."""
     ways = sorted({(c.chunking, c.chunk_size, c.overlap) for c in cells})
     way = F.array(*[F.struct(F.lit(n).alias("chunking"), F.lit(s).alias("size"), F.lit(o).alias("overlap")) for n, s, o in ways])
-    each = docs.select("doc_id", "text", F.explode(way).alias("w")).select("doc_id", "text", "w.*")
-    chunks = retrieval.chunk_docs(each, F.col("size"), F.col("overlap"), keep=("chunking",))
+    words = docs.select("doc_id", *keep, F.explode(F.array(X.words("text"))).alias("_words"))      # once for all chunkings
+    each = words.select("*", F.explode(way).alias("w")).select("doc_id", *keep, "_words", "w.*")
+    chunks = retrieval.chunk_docs(each, F.col("size"), F.col("overlap"), keep=("chunking", *keep), words_col="_words")
     return chunks.withColumn("chunk_id", F.concat_ws("|", "chunking", "chunk_id"))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """The documents as they are read or, where one task would read much more than its share (a file in one piece), dealt out."""
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    most, total = (docs.groupBy(F.spark_partition_id().alias("_p")).agg(F.sum(F.length("text")).alias("_n"))
+                   .agg(F.max("_n"), F.sum("_n")).first())
+    if tasks * (most or 0) <= 2 * (total or 0):
+        return docs
+    return docs.repartition(max(2 * tasks, math.ceil(total / PART_CHARS)), "doc_id", "text")
+
+
+def hit_chunks(docs: DataFrame, cells: list[Cell], hits: DataFrame) -> DataFrame:
+    """The chunks that ``hits`` (item_id, grp) names, cut again from their documents: no other text is kept or moved."""
+    doc = F.regexp_replace(F.expr("substring(item_id, length(grp) + 2)"), r"::[0-9]+\z", "")
+    wanted = (hits.select("item_id", F.when(F.col("item_id") != F.col("grp"), doc).alias("_doc"))     # no document id: the chunking alone
+              .groupBy("_doc").agg(F.collect_set("item_id").alias("_ids")))
+    own = docs.join(wanted, F.col("doc_id").cast("string").eqNullSafe(F.col("_doc"))).drop("_doc")
+    return chunk_cells(own, cells, keep=("_ids",)).filter(F.array_contains("_ids", F.col("chunk_id"))).drop("_ids")
+
+
 def cell_hits(queries: DataFrame, docs: DataFrame, cells: list[Cell], dim: int = C.EMBEDDING_DIM) -> DataFrame:
-    """(cell, query_id, rank, chunk_id, doc_id, text, score): T9 for every cell."""
+    """(cell, query_id, rank, chunk_id, doc_id, text, score): T9 for every cell.
+
+    All chunkings together are several times the corpus, so their texts are
+    never stored or dealt out: they are counted as they are cut, and the texts
+    of the hits are cut a second time.
+    """
     table = cell_rows(docs.sparkSession, cells)
     most = max(c.top_k for c in cells)
-    chunks = materialise(chunk_cells(docs, cells), "chunks")
-    grouped = chunks.withColumnRenamed("chunking", "grp")
-    hits = retrieval.topk_counted(retrieval.embed_packed(queries, "query_id", "query", dim),
-                                  retrieval.embed_packed(grouped, "chunk_id", "text", dim, keep=("grp",)), most, dim)
+    grouped = chunk_cells(spread(docs), cells).withColumnRenamed("chunking", "grp")
+    hits = retrieval.topk_counted(retrieval.embed_packed(queries, "query_id", "query", dim, bits=True),
+                                  retrieval.embed_packed(grouped, "chunk_id", "text", dim, keep=("grp",), bits=True), most, dim)
     hits = materialise(hits, "hits")                                   # at most k rows a query and chunking
     found = (hits.select("query_id", F.col("item_id").alias("chunk_id"), "score", "rank")
-             .join(chunks.select("chunk_id", "chunking", "doc_id", "text"), "chunk_id")
+             .join(hit_chunks(docs, cells, hits).select("chunk_id", "chunking", "doc_id", "text"), "chunk_id")
              .join(queries.select("query_id", "query"), "query_id")
              .join(table.select("cell", "chunking", "strategy", "top_k"), "chunking")
              .filter(F.col("rank") <= F.col("top_k")))

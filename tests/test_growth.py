@@ -3,13 +3,18 @@
 import datetime
 import hashlib
 import math
+import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gtspark.operators import evaluate, retrieval, search, spatial
+from gtspark.operators import evaluate, retrieval, search, spatial, sweep
 from gtspark.plans import q_feeds
+from gtspark.session import shared_dir
 from gtspark.sources import feeds
 
 
@@ -53,6 +58,90 @@ def test_counts_not_texts_are_sorted_in_partitions_that_grow_in_number(spark, mo
     assert all(r.norm == math.sqrt(sum(x * x for x in r.c)) for r in got)
 
 
+def _bytes_stored(spark):
+    top = Path(shared_dir(spark).removeprefix("file:"))
+    return sum(f.stat().st_size for f in top.rglob("*") if f.is_file())
+
+
+def test_a_sweep_stores_and_deals_out_less_than_its_corpus(spark):
+    rnd = random.Random(5)
+    texts = [" ".join("%010x" % rnd.getrandbits(40) for _ in range(500)) for _ in range(120)]
+    docs = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string")
+    q = spark.createDataFrame([("q", " ".join(texts[3].split()[:160]))], "query_id string, query string")
+    cells = [sweep.Cell(f"{s}/{o}", s, o, top_k=2) for s, o in ((320, 48), (320, 96), (160, 48))]
+    before = _bytes_stored(spark)
+    hits = sweep.cell_hits(q, docs, cells)
+    assert _bytes_stored(spark) - before < sum(map(len, texts)) / 2             # three chunkings are four times the corpus
+    got = {(r.cell, r.rank): r for r in hits.collect()}
+    assert len(got) == 6 and all(got[c.label, 1].doc_id == "d3" and got[c.label, 1].text in texts[3] for c in cells)
+    cut = sweep.chunk_cells(docs, cells).withColumnRenamed("chunking", "grp")
+    packed = retrieval.embed_packed(cut, "chunk_id", "text", keep=("grp",), bits=True)
+    assert "Exchange" not in _plan(packed)                                      # texts are counted where they are cut
+
+
+def test_sweep_hits_with_repeated_and_missing_ids(spark):
+    rnd = random.Random(6)
+    say = lambda n: " ".join(rnd.choice(["Hail", "roof,", "w1", "w2", "\u212aite", "\u0130x", "caf\u00e9", "9-1", "--", "sea\u00a0wall"]) for _ in range(n))
+    docs = [(rnd.choice([None, "a", "a::1", "b|c", "d", "e"]), say(rnd.randrange(40))) for _ in range(40)] + [("z", None), ("z", " ")]
+    asked = [("q1", say(6)), ("q1", say(6)), (None, say(6)), ("q2", "--"), ("q3", None)]
+    cells = [sweep.Cell("x", 8, 3, "none", top_k=5), sweep.Cell("y", 12, 0, "none", top_k=4)]
+    hits = sweep.cell_hits(spark.createDataFrame(asked, "query_id string, query string"),
+                           spark.createDataFrame(docs, "doc_id string, text string"), cells)
+    got = {}
+    for r in hits.collect():
+        got.setdefault((r.cell, r.query_id), []).append((r.chunk_id, r.score, r.doc_id, r.text))
+
+    def vector(texts):
+        v = np.zeros(256)
+        for t in texts:
+            tok = re.findall("[a-z0-9]+", (t or "").lower().replace("\u0130", "i\u0307"))
+            for g in tok + [f"{x}_{y}" for x, y in zip(tok, tok[1:])]:
+                v[int(hashlib.md5(g.encode()).hexdigest(), 16) % 256] += 1
+        return v / (np.sqrt((v * v).sum()) or 1)
+
+    for c in cells:
+        chunks, step = {}, max(1, c.chunk_size - c.overlap)
+        for i, t in docs:
+            w = (t or "").split()
+            for k in range(min(max(0, -(-(len(w) - c.chunk_size) // step)), -(-len(w) // step) - 1) + 1 if w else 0):
+                name = c.chunking if i is None else f"{c.chunking}|{i}::{k}"
+                chunks.setdefault(name, []).append((i, " ".join(w[k * step:k * step + c.chunk_size])))
+        for name in {i for i, _ in asked}:
+            q = vector([t for i, t in asked if i == name] if name else [])      # questions of an id are one, a null id is nothing
+            order = sorted((-round(float(q @ vector([t for _, t in v])) / (1 + 1e-9), 9), k) for k, v in chunks.items())
+            want = [(k, -s) for s, k in order for _ in chunks[k]][:c.top_k]     # an id takes as many places as it has rows
+            if name is None:
+                assert (c.label, None) not in got                               # and joins no question
+                continue
+            own = got[c.label, name]
+            assert {(k, round(s, 8)) for k, s, _, _ in own} == {(k, round(s, 8)) for k, s in want}
+            assert all((d, t) in chunks[k] for k, _, d, t in own)
+            asks = sum(i == name for i, _ in asked)
+            assert len(own) == sum(len(chunks[k]) for k, _ in want) * asks      # every text of a hit, for every question of its id
+
+
+def test_counts_travel_as_bits():
+    rng = np.random.default_rng(7)
+    for dim in (1, 5, 256, 300):
+        c = rng.poisson(rng.choice([0, 0.1, 1.25, 5, 3000], 200)[:, None], (200, dim))
+        c[0, 0] = 10 ** 7
+        rows = retrieval._to_bits(c)
+        assert np.array_equal(retrieval._from_bits([None, *rows], dim)[1:], c) and retrieval._from_bits([None], dim).sum() == 0
+    assert max(map(len, retrieval._to_bits(rng.poisson(1.25, (50, 256))))) < 90
+    grams = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in range(70)] * 2
+    for dim in (256, 7, 2 ** 31 - 1):
+        assert retrieval._buckets(pa.array(grams, pa.large_binary()), dim).tolist() == [int(hashlib.md5(g).hexdigest(), 16) % dim for g in grams]
+
+
+def test_a_corpus_in_one_piece_is_dealt_out(spark):
+    rows = [(f"d{i}", f"text {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert sweep.spread(docs) is docs
+    dealt = sweep.spread(docs.coalesce(1))
+    assert dealt.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert sorted(map(tuple, dealt.collect())) == sorted(rows)
+
+
 def test_texts_of_hits_are_found_without_a_sort(spark):
     items = spark.createDataFrame([("a", "x y"), ("b", "z")], "item_id string, text string")
     hits = spark.createDataFrame([("q", "b", 0.5, 1)], "query_id string, item_id string, score double, rank int")
